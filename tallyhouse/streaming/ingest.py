@@ -12,6 +12,8 @@ def ingest_files(
 ) -> StreamingQuery:
     """Append all files not taken yet to ``table``, in batches of at most ``files_per_batch`` files, then stop.
 
+    ``landing`` is a folder, or a glob that may match single files.
+
     The checkpoint remembers the files taken and the sink the batches committed: a repeated run, or one restarted
     after a loss, adds nothing twice. The last batch may be smaller.
     """
