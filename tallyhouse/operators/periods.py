@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyhouse.session import broadcast_within
+
 GRAINS = {"day": "DD", "month": "MM", "year": "YEAR"}
 
 
@@ -32,6 +34,7 @@ def match_periods(
     Each period is repeated once per calendar bucket it covers, clipped to the dates that occur in ``events``, and
     the equi-join runs on (key, bucket): a key that holds a large share of the events or of the periods is spread
     over its buckets, and rows only meet within one bucket. An event lies in one bucket, so no pair appears twice.
+    The repeated periods are broadcast if their measured size allows it.
     """
     if how not in ("inner", "left"):
         raise ValueError("how must be 'inner' or 'left'")
@@ -61,4 +64,4 @@ def match_periods(
     bucketed = events.withColumn("_bucket", _bucket(F.col(date), grain))
     kept = [F.col(f"e.{c}") for c in events.columns]
     kept += [F.col(f"p.{c}") for c in periods.columns if c != on]
-    return bucketed.alias("e").join(spread.alias("p"), covered, how).select(*kept)
+    return bucketed.alias("e").join(broadcast_within(spread).alias("p"), covered, how).select(*kept)

@@ -71,12 +71,13 @@ def composite_scores(
     area, enter as one scalar subquery, so the surveys are neither joined nor shuffled.
     """
     wanted = weights.filter(F.col("hazard_area").isin(*areas))
-    by_area = F.map_from_entries(F.collect_list(F.struct("hazard_area", "area_weight")))
-    lookup = wanted.agg(by_area.alias("w")).scalar()
+    by_area = wanted.agg(F.map_from_entries(F.collect_list(F.struct("hazard_area", "area_weight"))).alias("w"))
+    filled = [F.coalesce(F.try_element_at("w", F.lit(a)), F.lit(unweighted)) for a in areas]
+    lookup = by_area.select(F.array(*filled)).scalar()
     total = F.lit(0.0)
     used = F.lit(0.0)
-    for area in areas:
-        weight = F.coalesce(F.try_element_at(F.col("_weights"), F.lit(area)), F.lit(unweighted))
+    for position, area in enumerate(areas):
+        weight = F.col("_weights")[position]
         total = total + F.coalesce(F.col(score_column(area)), F.lit(unassessed)) * weight
         used = used + weight
     value = ratio(total, used) if normalise else total

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyhouse.functions.text import file_slug, name_slug
 from tallyhouse.operators.benchmarks import cost_ratios, flag_deviating, performance_index
-from tallyhouse.operators.embedding import Embedder, fit_embedder
+from tallyhouse.operators.embedding import embed_corpus
 from tallyhouse.operators.paths import Edge, Node, match_path
 from tallyhouse.operators.periods import match_periods
 from tallyhouse.operators.scoring import composite_scores, losses_by_account, rating_scores, segment_weights
@@ -79,16 +79,13 @@ def costliest_accounts(benchmarks: DataFrame, n: int = 5) -> DataFrame:
     )
 
 
-def search_texts(
-    texts: DataFrame, question: str, k: int = 2, *, key: str, text: str, embedder: Embedder | None = None
-) -> DataFrame:
+def search_texts(texts: DataFrame, question: str, k: int = 2, *, key: str, text: str) -> DataFrame:
     """The ``k`` texts nearest to a question, with their distance to three digits."""
-    embedder = embedder or fit_embedder(texts, text)
-    corpus = embedder.transform(texts, key, text, "_vector")
-    asked = texts.sparkSession.createDataFrame([("question", question)], "q string, t string")
-    query = embedder.transform(asked, "q", "t", "_vector").select("_vector")
+    embedder, corpus = embed_corpus(texts, key, text, "_vector")
+    asked = texts.sparkSession.createDataFrame([(0, question)], "_question long, _words string")
+    query = embedder.transform(asked, "_question", "_words", "_vector").select("_vector")
     found = nearest(corpus, query, k, key=key, vector="_vector")
-    # Texts are fetched for the k keys only.
+    # Only the k keys go back to the texts.
     return (
         texts.select(key, text)
         .join(F.broadcast(found), key)
@@ -101,8 +98,7 @@ def search_texts_for_each(
     texts: DataFrame, questions: DataFrame, k: int = 2, *, key: str, text: str, question_key: str, question: str
 ) -> DataFrame:
     """The ``k`` nearest texts of every question row, as (question_key, key, distance)."""
-    embedder = fit_embedder(texts, text)
-    corpus = embedder.transform(texts, key, text, "_vector")
+    embedder, corpus = embed_corpus(texts, key, text, "_vector")
     asked = embedder.transform(questions, question_key, question, "_vector")
     return nearest_for_each(
         corpus, asked, k, key=key, vector="_vector", query_key=question_key, query_vector="_vector"

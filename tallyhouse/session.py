@@ -17,6 +17,8 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+BROADCAST_BYTES = 64 * 1024 * 1024
+
 _local_scratch: dict[str, str] = {}
 
 
@@ -74,7 +76,26 @@ def _row_bytes(df: DataFrame) -> Column:
     return total
 
 
-def broadcast_within(df: DataFrame, limit_bytes: int = 64 * 1024 * 1024) -> DataFrame:
-    """Hint a broadcast only if the measured size of ``df`` stays within ``limit_bytes``; else leave it to AQE."""
-    measured = df.agg(F.coalesce(F.sum(_row_bytes(df)), F.lit(0)).alias("b")).first()["b"]
-    return F.broadcast(df) if measured <= limit_bytes else df
+def measured_bytes(df: DataFrame) -> int:
+    """Size of all rows from their column widths; one aggregation pass."""
+    return df.agg(F.coalesce(F.sum(_row_bytes(df)), F.lit(0)).alias("b")).first()["b"]
+
+
+def broadcast_within(df: DataFrame, limit_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The build side of a join: broadcast if its measured size stays within the limit, else a sort-merge join.
+
+    The planner's own estimate can be far off (an exploded table counts as large as its source), so it is overridden
+    both ways. A sort-merge join spills, and AQE splits its hot keys.
+    """
+    return F.broadcast(df) if measured_bytes(df) <= limit_bytes else df.hint("merge")
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give a table that lies in fewer splits than there are cores a partition per core, before costly row work.
+
+    Such a table is at most a split per core in size, so the exchange is small; a larger table is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, F.xxhash64(F.col(key)))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def scan_parquet(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+def scan_parquet(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     """Parquet files or a Hive-partitioned tree; with a schema the files are read as declared, without inference."""
     reader = spark.read if schema is None else spark.read.schema(schema)
     return reader.parquet(path)

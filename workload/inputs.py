@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyhouse.functions.labels import HAZARD_AREAS
 from tallyhouse.operators.scoring import rating_column
+from tallyhouse.session import stage
 from tallyhouse.sources.files import scan_parquet
 
 PREFIX = "vault/sample-survey-"
@@ -21,13 +22,27 @@ CAUSE_OF_TYPE = {
     "PROMO": "SLIP_09",
     "STANDARD": "CLERICAL",
 }
+# Declared, so that no query starts with a job that infers a schema from the files.
+TABLES = {
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz",
+    "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
+    "documents": "doc_id long, text string, lang string, source string, n_chars long",
+    "embeddings": "vec_id long, embedding array<float>, label int",
+    "benchmark": "item_id long, text string",
+}
 YEAR_SHIFT = 24  # the test tables start in 1995, the reports in 2020
 MODEL = "Brand#17"
 RULE_TICKER = "purchase"
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return scan_parquet(spark, f"{sf}/{name}.parquet")
+    return scan_parquet(spark, f"{sf}/{name}.parquet", TABLES[name])
 
 
 def _recode(column: str, mapping: dict[str, str]) -> Column:
@@ -106,7 +121,10 @@ def claims(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def accounts(spark: SparkSession, sf: str) -> DataFrame:
-    """Revenue and cost per customer and year. Lines are folded per order before they meet the orders."""
+    """Revenue and cost per customer and year, as a written table.
+
+    Lines are folded per order before they meet the orders.
+    """
     per_order = (
         table(spark, sf, "lineitem")
         .groupBy(F.col("l_orderkey").alias("o_orderkey"))
@@ -124,13 +142,14 @@ def accounts(spark: SparkSession, sf: str) -> DataFrame:
         .agg(F.sum("revenue").alias("revenue"), F.sum("total_costs").alias("total_costs"))
     )
     key = F.col("o_custkey").cast("string")
-    return yearly.select(
+    records = yearly.select(
         F.concat(F.lit("ACC_"), key).alias("account_id"),
         F.concat(F.lit("REC_"), F.col("record_year").cast("string"), F.lit("_"), key).alias("record_id"),
         "record_year",
         "revenue",
         "total_costs",
     )
+    return stage(records, "accounts")
 
 
 def network(spark: SparkSession, sf: str) -> dict[str, DataFrame]:

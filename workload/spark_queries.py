@@ -56,7 +56,7 @@ def a2_scan_partitioned(spark, sf):
 @query
 def a3_declared_schema(spark, sf):
     declared = "p_partkey long, p_name string, p_brand string, p_size long, p_retailprice double"
-    return files.scan_parquet(spark, f"{sf}/part.parquet", T._parse_datatype_string(declared))
+    return files.scan_parquet(spark, f"{sf}/part.parquet", declared)
 
 
 @query
@@ -568,7 +568,7 @@ def j2_vector_search(spark, sf):
 @query
 def j3_embedding(spark, sf):
     documents = inputs.table(spark, sf, "documents")
-    vectors = embedding.fit_embedder(documents, "text").transform(documents, "doc_id", "text", "vector")
+    _, vectors = embedding.embed_corpus(documents, "doc_id", "text", "vector")
     entries = vectors.select("doc_id", F.posexplode("vector").alias("bucket", "weight"))
     return entries.filter(F.col("weight") > 0).select(
         "doc_id", F.col("bucket").cast("long").alias("bucket"), _r("weight", 9)
