@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyhouse.functions.text import word_buckets
-from tallyhouse.session import spread, stage
+from tallyhouse.session import stage
 
 DIM = 256
 BUCKETS = "_buckets"
@@ -42,7 +42,7 @@ class Embedder:
 
 def bucket_words(df: DataFrame, key: str, text: str, dim: int) -> DataFrame:
     """(key, bucket number of every word), split and hashed in the JVM."""
-    return spread(df.select(key, text), key).select(key, word_buckets(F.col(text), dim).alias(BUCKETS))
+    return df.select(key, word_buckets(F.col(text), dim).alias(BUCKETS))
 
 
 def fit_embedder(bucketed: DataFrame, dim: int) -> Embedder:

@@ -91,9 +91,9 @@ def broadcast_within(df: DataFrame, limit_bytes: int = BROADCAST_BYTES) -> DataF
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give a table that lies in fewer splits than there are cores a partition per core, before costly row work.
+    """Give a file scan of fewer splits than there are cores a partition per core, before costly row work.
 
-    Such a table is at most a split per core in size, so the exchange is small; a larger table is left as it is.
+    Such a scan is at most a split per core in size, so the exchange is small; a larger one is left as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores:

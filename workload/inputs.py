@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyhouse.functions.labels import HAZARD_AREAS
 from tallyhouse.operators.scoring import rating_column
-from tallyhouse.session import stage
+from tallyhouse.session import spread, stage
 from tallyhouse.sources.files import scan_parquet
 
 PREFIX = "vault/sample-survey-"
@@ -36,6 +36,7 @@ TABLES = {
     "embeddings": "vec_id long, embedding array<float>, label int",
     "benchmark": "item_id long, text string",
 }
+DIMENSIONS = 64  # of the embeddings
 YEAR_SHIFT = 24  # the test tables start in 1995, the reports in 2020
 MODEL = "Brand#17"
 RULE_TICKER = "purchase"
@@ -45,6 +46,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return scan_parquet(spark, f"{sf}/{name}.parquet", TABLES[name])
 
 
+def texts(spark: SparkSession, sf: str) -> DataFrame:
+    return spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+
+
 def _recode(column: str, mapping: dict[str, str]) -> Column:
     value = F.lit(None).cast("string")
     for key, label in mapping.items():
@@ -175,11 +180,9 @@ def network(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
 
 
 def mean_vectors(spark: SparkSession, sf: str, *by: str) -> DataFrame:
-    """Mean embedding per group, over all vectors: one array of as many entries as a vector has."""
-    entries = table(spark, sf, "embeddings").select(*by, F.posexplode("embedding"))
-    means = entries.groupBy(*by, "pos").agg(F.avg("col").alias("mean"))
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "mean")))
-    return means.groupBy(*by).agg(F.transform(ordered, lambda e: e["mean"]).alias("query"))
+    """Mean embedding per group, over all vectors."""
+    means = [F.avg(F.get("embedding", F.lit(i)).cast("double")) for i in range(DIMENSIONS)]
+    return table(spark, sf, "embeddings").groupBy(*by).agg(F.array(*means).alias("query"))
 
 
 def grants(spark: SparkSession, sf: str) -> DataFrame:

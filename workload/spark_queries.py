@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from tallyhouse.functions import labels, text
 from tallyhouse.functions.numbers import ratio
 from tallyhouse.operators import benchmarks, embedding, features, grouping, outliers, scoring, tenancy, topk
+from tallyhouse.operators.paths import Edge, Node, match_path
 from tallyhouse.operators.vector_search import nearest, nearest_for_each
 from tallyhouse.plans import lakehouse, sales as sales_plan, surveys as survey_plan, trades as trade_plan
 from tallyhouse.session import broadcast_within, scratch_path
@@ -137,6 +138,28 @@ def a14_typed_table(spark, sf):
     return tables.scan_table(spark, f"{schema}.trades")
 
 
+@query
+def a15_append_visible(spark, sf):
+    first, later = _halves(spark, sf)
+    table = VersionedTable.create(spark, scratch_path(spark, "a15"), first.schema)
+    seen = []
+    for step, batch in (("first", first), ("second", later.drop("cat_compliance"))):
+        table.append(batch)
+        facts = table.read().agg(F.count(F.lit(1)).alias("n_rows"), F.max("trade_timestamp").alias("latest"))
+        seen.append(facts.select(F.lit(step).alias("after_append"), "n_rows", "latest"))
+    return tables.union_by_position(*seen)
+
+
+@query
+def a16_schema(spark, sf):
+    table, (before, _, after) = _life(spark, sf)
+    shown = [
+        files.schema_rows(table.read(snapshot)).select(F.lit(label).alias("snapshot"), "name", "type")
+        for label, snapshot in (("first", before), ("last", after))
+    ]
+    return tables.union_by_position(*shown)
+
+
 # --- projections and filters -----------------------------------------------------------------------------------
 
 
@@ -273,7 +296,16 @@ def c5_zscores(spark, sf):
 
 @query
 def c6_equipment_paths(spark, sf):
-    return survey_plan.shared_equipment(**inputs.network(spark, sf), model_name=inputs.MODEL)
+    net = inputs.network(spark, sf)
+    found = match_path(
+        [
+            Node("i", net["inspectors"], "inspector_id", ["inspector_id"]),
+            Node("p", net["policyholders"], "policyholder_id", ["policyholder_id"]),
+            Node("m", net["machinery"], "machine_id", ["machine_id"], F.col("model_name") == inputs.MODEL),
+        ],
+        [Edge(net["inspects"], "inspector_id", "policyholder_id"), Edge(net["operates"], "policyholder_id", "machine_id")],
+    )
+    return found.toDF("inspector_id", "policyholder_id", "machine_id")
 
 
 @query
@@ -567,7 +599,7 @@ def j2_vector_search(spark, sf):
 
 @query
 def j3_embedding(spark, sf):
-    documents = inputs.table(spark, sf, "documents")
+    documents = inputs.texts(spark, sf)
     _, vectors = embedding.embed_corpus(documents, "doc_id", "text", "vector")
     entries = vectors.select("doc_id", F.posexplode("vector").alias("bucket", "weight"))
     return entries.filter(F.col("weight") > 0).select(
@@ -737,7 +769,7 @@ def m7_costliest_accounts(spark, sf):
 
 @query
 def m8_text_search(spark, sf):
-    documents = inputs.table(spark, sf, "documents")
+    documents = inputs.texts(spark, sf)
     found = survey_plan.search_texts(documents, QUESTION, 2, key="doc_id", text="text")
     return found.select("doc_id", "text", "cosine_distance")
 
@@ -745,7 +777,7 @@ def m8_text_search(spark, sf):
 @query
 def m8_passage_search(spark, sf):
     found = survey_plan.search_texts_for_each(
-        inputs.table(spark, sf, "documents"),
+        inputs.texts(spark, sf),
         inputs.table(spark, sf, "benchmark").withColumnRenamed("text", "passage"),
         key="doc_id",
         text="text",
@@ -757,10 +789,7 @@ def m8_passage_search(spark, sf):
 
 @query
 def m9_shared_equipment(spark, sf):
-    paths = survey_plan.shared_equipment(**inputs.network(spark, sf), model_name=inputs.MODEL)
-    return paths.groupBy("inspector_name", "model_name").agg(
-        F.count_distinct("policyholder_id").alias("n_policyholders"), F.count(F.lit(1)).alias("n_paths")
-    )
+    return survey_plan.shared_equipment(**inputs.network(spark, sf), model_name=inputs.MODEL)
 
 
 @query
