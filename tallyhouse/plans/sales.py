@@ -6,7 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhouse.operators.grouping import tier_summary
-from tallyhouse.sources.files import scan_parquet, write_parquet
+from tallyhouse.sources import generate
+from tallyhouse.sources.files import scan_parquet, write_clustered, write_parquet, write_partitioned
+
+SALES = "sales_transactions.parquet"
+CUSTOMERS = "customer_master.parquet"
 
 SUMMARY_SQL = """
 WITH spend AS (
@@ -34,8 +38,32 @@ def sales_summary_sql(spark: SparkSession, sales: DataFrame, customers: DataFram
     return spark.sql(SUMMARY_SQL, sales=sales, customers=customers)
 
 
+def generate_sales_dataset(
+    spark: SparkSession,
+    path: str,
+    num_customers: int = 50_000_000,
+    num_transactions: int = 20_000_000_000,
+    tasks: int = 4000,
+) -> None:
+    """Write the skewed dimension and the fact table partitioned by region.
+
+    No exchange: a task draws its rows in all four regions and writes a file for each.
+    """
+    write_parquet(generate.customers(spark.range(num_customers)), f"{path}/{CUSTOMERS}")
+    facts = generate.sales(spark.range(0, num_transactions, 1, tasks), num_customers)
+    write_partitioned(facts, f"{path}/{SALES}", "region", balance=False)
+
+
+def load_clustered(spark: SparkSession, input_path: str, output_path: str) -> None:
+    """Copy both tables into files sorted by customer, replacing what is there."""
+    sales = scan_parquet(spark, f"{input_path}/{SALES}")
+    customers = scan_parquet(spark, f"{input_path}/{CUSTOMERS}")
+    write_clustered(sales, f"{output_path}/{SALES}", "customer_id", "transaction_id")
+    write_clustered(customers, f"{output_path}/{CUSTOMERS}", "customer_id", "name")
+
+
 def run_sales_summary(spark: SparkSession, input_path: str, output_path: str) -> None:
     """Read the two tables, write the report. One pass over the sales: nothing is cached or counted on the way."""
-    sales = scan_parquet(spark, f"{input_path}/sales_transactions.parquet")
-    customers = scan_parquet(spark, f"{input_path}/customer_master.parquet")
+    sales = scan_parquet(spark, f"{input_path}/{SALES}")
+    customers = scan_parquet(spark, f"{input_path}/{CUSTOMERS}")
     write_parquet(sales_summary(sales, customers), f"{output_path}/final_summary")

@@ -28,13 +28,16 @@ def write_parquet(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def write_partitioned(df: DataFrame, path: str, *columns: str, rows_per_file: int = 20_000_000) -> None:
+def write_partitioned(
+    df: DataFrame, path: str, *columns: str, rows_per_file: int = 20_000_000, balance: bool = True
+) -> None:
     """Hive-partitioned Parquet, replacing the path.
 
     The rebalance hint brings the rows of a partition value together, so files do not multiply by tasks, and AQE
-    splits a value that holds a large share of the rows over several writers.
+    splits a value that holds a large share of the rows over several writers. ``balance=False`` saves that exchange
+    where every task holds large enough shares of few values.
     """
-    balanced = df.hint("rebalance", *[F.col(c) for c in columns])
+    balanced = df.hint("rebalance", *[F.col(c) for c in columns]) if balance else df
     balanced.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).partitionBy(*columns).parquet(path)
 
 

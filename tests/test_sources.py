@@ -7,7 +7,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyhouse import session
+from tallyhouse import jobs, session
 from tallyhouse.operators import tenancy
 from tallyhouse.plans import lakehouse
 from tallyhouse.sources import files, schemas, tables
@@ -252,3 +252,20 @@ def test_shared_folder_comes_from_the_session(spark, path):
     assert session.scratch_path(spark, "a") != session.scratch_path(spark, "a")
     staged = session.stage(spark.range(3))
     assert staged.inputFiles()[0].startswith("file:") and session.shared_folder(spark) in staged.inputFiles()[0]
+
+
+def test_jobs(spark, path, capsys):
+    jobs.main(["generate-sales", f"{path}/raw", "--customers", "50", "--transactions", "600", "--tasks", "3"])
+    jobs.main(["load-clustered", f"{path}/raw", f"{path}/clustered"])
+    summaries = []
+    for layout in ("raw", "clustered"):
+        jobs.main(["sales-summary", f"{path}/{layout}", f"{path}/{layout}-out"])
+        summary = files.scan_parquet(spark, f"{path}/{layout}-out/final_summary")
+        assert summary.agg(F.sum("distinct_customers")).first()[0] <= 50
+        summaries.append(sorted((r["region"], r["state"], round(r["total_sales"], 6)) for r in summary.collect()))
+    assert summaries[0] == summaries[1] and summaries[0]
+    spark.createDataFrame([("a line of finance data",)], "v string").write.text(f"{path}/text")
+    jobs.main(["show-text", f"{path}/text"])
+    assert "a line of finance data" in capsys.readouterr().out
+    with pytest.raises(AnalysisException):
+        jobs.main(["show-text", f"{path}/missing"])

@@ -97,8 +97,8 @@ def a7_catalog_table(spark, sf):
 def a9_parquet_sink(spark, sf):
     path = scratch_path(spark, "a9")
     source, target = f"{path}/in", f"{path}/out"
-    files.write_parquet(inputs.sales(spark, sf), f"{source}/sales_transactions.parquet")
-    files.write_parquet(inputs.customers(spark, sf), f"{source}/customer_master.parquet")
+    files.write_parquet(inputs.sales(spark, sf), f"{source}/{sales_plan.SALES}")
+    files.write_parquet(inputs.customers(spark, sf), f"{source}/{sales_plan.CUSTOMERS}")
     sales_plan.run_sales_summary(spark, source, target)
     return _summary(files.scan_parquet(spark, f"{target}/final_summary"))
 
@@ -714,10 +714,12 @@ def m2_sales_summary_sql(spark, sf):
 @query
 def m2_sales_summary_clustered(spark, sf):
     path = scratch_path(spark, "m2")
-    files.write_clustered(inputs.sales(spark, sf), f"{path}/sales", "customer_id", "transaction_id")
-    files.write_clustered(inputs.customers(spark, sf), f"{path}/customers", "customer_id", "name")
-    sales = files.scan_parquet(spark, f"{path}/sales")
-    return _summary(sales_plan.sales_summary_sql(spark, sales, files.scan_parquet(spark, f"{path}/customers")))
+    files.write_parquet(inputs.sales(spark, sf), f"{path}/raw/{sales_plan.SALES}")
+    files.write_parquet(inputs.customers(spark, sf), f"{path}/raw/{sales_plan.CUSTOMERS}")
+    sales_plan.load_clustered(spark, f"{path}/raw", f"{path}/clustered")
+    sales = files.scan_parquet(spark, f"{path}/clustered/{sales_plan.SALES}")
+    customers = files.scan_parquet(spark, f"{path}/clustered/{sales_plan.CUSTOMERS}")
+    return _summary(sales_plan.sales_summary_sql(spark, sales, customers))
 
 
 @query
