@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyhouse.session import broadcast_within, stage
+
 
 def readable_rows(data: DataFrame, grants: DataFrame, principal: str, tenant: str = "tenant") -> DataFrame:
-    """Rows of the tenants granted to ``principal``; a repeated grant repeats no row."""
-    granted = grants.filter(F.col("principal") == principal).select(tenant)
-    return data.join(granted, tenant, "left_semi")
+    """Rows of the tenants granted to ``principal``; a repeated grant repeats no row.
+
+    The tenants of one principal are measured and normally broadcast, so the data is filtered in place.
+    """
+    granted = stage(grants.filter(F.col("principal") == principal).select(tenant).distinct(), "grants")
+    return data.join(broadcast_within(granted), tenant, "left_semi")
 
 
 def require_grant(grants: DataFrame, principal: str, tenant: str, column: str = "tenant") -> None:

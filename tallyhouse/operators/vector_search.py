@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,20 +38,19 @@ def nearest_for_each(
     vector: str,
     query_key: str,
     query_vector: str,
-    block: int = 1024,
+    block: int = 4096,
 ) -> DataFrame:
     """The ``k`` nearest corpus rows of every query, as (query_key, key, distance).
 
-    Queries are taken in blocks of ``block`` vectors, one corpus pass per block. Within a task each Arrow batch is
-    one matrix product, and only the k best rows per query survive the batch, so (query, corpus) pairs are neither
-    written out nor shuffled; the final ranking sees k rows per query and batch.
+    Queries are taken in blocks of ``block`` vectors, one corpus pass per block. Within a task each slice of rows is
+    one matrix product, and a task returns the k best rows per query, so (query, corpus) pairs are neither written
+    out nor shuffled; the final ranking sees k rows per query and task. Distances are compared at 12 digits, so that
+    equal vectors tie however the rows were batched, and ties are broken by key.
     """
-    spark = corpus.sparkSession
-    fields = corpus.schema
     schema = T.StructType(
         [
             T.StructField(query_key, queries.schema[query_key].dataType),
-            T.StructField(key, fields[key].dataType),
+            T.StructField(key, corpus.schema[key].dataType),
             T.StructField("distance", T.DoubleType()),
         ]
     )
@@ -60,52 +60,66 @@ def nearest_for_each(
         best = usable.mapInPandas(_block_search(names, vectors, k, key, vector, query_key), schema)
         partial = best if partial is None else partial.unionAll(best)
     if partial is None:
-        return spark.createDataFrame([], schema)
+        return corpus.sparkSession.createDataFrame([], schema)
     ranked = Window.partitionBy(query_key).orderBy("distance", key)
     return partial.withColumn("_rank", F.row_number().over(ranked)).filter(F.col("_rank") <= k).drop("_rank")
 
 
-def _blocks(queries: DataFrame, block: int) -> Iterator[tuple[list, list]]:
+def _blocks(queries: DataFrame, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Names and unit vectors of the queries that have a direction."""
     names, vectors = [], []
-    for name, vector in queries.toLocalIterator():
-        if vector is None:
-            continue
-        names.append(name)
-        vectors.append(list(vector))
+    for name, vector in queries.filter(F.col(queries.columns[1]).isNotNull()).toLocalIterator():
+        length = np.linalg.norm(np.asarray(vector, dtype="float64"))
+        if length > 0:
+            names.append(name)
+            vectors.append(np.asarray(vector, dtype="float64") / length)
         if len(names) == block:
-            yield names, vectors
+            yield np.asarray(names), np.stack(vectors)
             names, vectors = [], []
     if names:
-        yield names, vectors
+        yield np.asarray(names), np.stack(vectors)
 
 
-def _block_search(names: list, vectors: list, k: int, key: str, vector: str, query_key: str):
+def _block_search(names: np.ndarray, targets: np.ndarray, k: int, key: str, vector: str, query_key: str):
     # A closure with local imports only, so that executors need no installed copy of this package.
     def search(batches):
         import numpy as np
         import pandas as pd
 
-        targets = np.asarray(vectors, dtype="float64")
-        norms = np.linalg.norm(targets, axis=1)
-        known = norms > 0
-        targets = targets[known] / norms[known, None]
-        labels = np.asarray(names, dtype=object)[known]
+        step = max(1, 4_000_000 // len(names))
+        best_distances = best_ids = None
         for batch in batches:
-            if batch.empty or not len(labels):
-                continue
-            points = np.stack(batch[vector].to_numpy()).astype("float64")
-            lengths = np.linalg.norm(points, axis=1)
-            alive = lengths > 0
-            points, ids = points[alive], batch[key].to_numpy()[alive]
-            if not len(ids):
-                continue
-            # Compared at 12 digits, so that equal vectors tie however the rows were batched.
-            distances = np.round(1.0 - targets @ (points / lengths[alive, None]).T, 12)
-            for row, label in zip(distances, labels):
-                near = np.arange(len(row))
-                if len(row) > k:
-                    near = np.flatnonzero(row <= np.partition(row, k - 1)[k - 1])
-                near = near[np.lexsort((ids[near], row[near]))][:k]
-                yield pd.DataFrame({query_key: label, key: ids[near], "distance": row[near]})
+            for start in range(0, len(batch), step):
+                part = batch.iloc[start : start + step].sort_values(key)
+                points = np.stack(part[vector].to_numpy()).astype("float64")
+                ids = part[key].to_numpy()
+                if ids.dtype == object:
+                    ids = ids.astype(str)
+                lengths = np.linalg.norm(points, axis=1)
+                alive = lengths > 0
+                if not alive.any():
+                    continue
+                points, ids = points[alive] / lengths[alive, None], ids[alive]
+                distances = np.round(1.0 - targets @ points.T, 12)
+                if len(ids) > k:
+                    # Exactly k columns per query: all below the k-th distance, then ties at it by ascending id.
+                    edge = np.partition(distances, k - 1, axis=1)[:, k - 1 : k]
+                    below, ties = distances < edge, distances == edge
+                    room = k - below.sum(axis=1, keepdims=True)
+                    columns = np.nonzero(below | (ties & (np.cumsum(ties, axis=1) <= room)))[1].reshape(-1, k)
+                    distances, near = np.take_along_axis(distances, columns, axis=1), ids[columns]
+                else:
+                    near = np.broadcast_to(ids, distances.shape)
+                if best_ids is not None:
+                    distances = np.hstack([best_distances, distances])
+                    near = np.hstack([best_ids, near])
+                order = np.lexsort((near, distances), axis=1)[:, :k]
+                best_distances = np.take_along_axis(distances, order, axis=1)
+                best_ids = np.take_along_axis(near, order, axis=1)
+        if best_ids is not None:
+            found = best_ids.shape[1]
+            yield pd.DataFrame(
+                {query_key: np.repeat(names, found), key: best_ids.ravel(), "distance": best_distances.ravel()}
+            )
 
     return search

@@ -10,7 +10,6 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Sequence
-from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -123,17 +122,18 @@ class VersionedTable:
         kept = operation == "alter"
         parent_id = parent["snapshot_id"] if parent else None
         snapshot_id = parent_id if kept else (None if operation == "create" else uuid.uuid4().hex)
-        row = (
-            parent["version"] + 1 if parent else 0,
-            snapshot_id,
-            parent["parent_id"] if kept and parent else parent_id,
-            datetime.now(timezone.utc),
-            operation,
-            list(folders),
-            rows,
-            schema.json(),
-        )
-        self.spark.createDataFrame([row], LOG).coalesce(1).write.mode("append").parquet(f"{self.path}/log")
+        values = {
+            "version": F.lit(parent["version"] + 1 if parent else 0),
+            "snapshot_id": F.lit(snapshot_id),
+            "parent_id": F.lit(parent["parent_id"] if kept and parent else parent_id),
+            "made_current_at": F.current_timestamp(),
+            "operation": F.lit(operation),
+            "folders": F.split(F.lit(" ".join(folders)), " ") if folders else F.array(),
+            "row_count": F.lit(rows),
+            "schema_json": F.lit(schema.json()),
+        }
+        row = [values[f.name].cast(f.dataType).alias(f.name) for f in LOG.fields]
+        self.spark.range(0, 1, 1, 1).select(*row).write.mode("append").parquet(f"{self.path}/log")
         return snapshot_id
 
 
