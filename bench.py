@@ -45,15 +45,13 @@ def run(spark, name: str, sf_dir: str) -> float:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    work = tempfile.mkdtemp(prefix="bench-")
     spark = build_session(
         "tallyhouse-bench",
         f"local[{cpus}]",
         spark__sql__shuffle__partitions=cpus,
         spark__ui__enabled="false",
         spark__driver__memory="12g",
-        spark__checkpoint__dir=f"{work}/shared",
-        spark__sql__warehouse__dir=f"{work}/warehouse",
+        spark__sql__warehouse__dir=tempfile.mkdtemp(prefix="bench-"),
     )
     spark.sparkContext.setLogLevel("ERROR")
     rows = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet").count() for t in sorted(set(HEADLINE.values()))}

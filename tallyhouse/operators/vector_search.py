@@ -16,16 +16,16 @@ def nearest(corpus: DataFrame, query: DataFrame, k: int, *, key: str, vector: st
     """The ``k`` corpus rows nearest to the one vector that ``query`` returns, ties broken by key.
 
     The query enters as a scalar subquery (more than one row is an error). Only key and distance take part in the
-    ordering, which keeps k rows per task; a zero or missing vector has no distance and is left out.
+    ordering, which keeps k rows per task; a zero or missing vector has no distance, sorts last and is left out.
     """
     distance = cosine_distance(F.col(vector), F.col("_query"))
     return (
         corpus.select(key, vector)
         .withColumn("_query", query.scalar())
         .select(key, distance.alias("distance"))
-        .filter(F.col("distance").isNotNull())
-        .orderBy("distance", key)
+        .orderBy(F.col("distance").asc_nulls_last(), key)
         .limit(k)
+        .filter(F.col("distance").isNotNull())
     )
 
 

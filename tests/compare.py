@@ -31,7 +31,7 @@ def _key(value):
     if value is None:
         return ""
     if isinstance(value, float):
-        return "nan" if math.isnan(value) else repr(value + 0.0)
+        return "nan" if math.isnan(value) else repr(value)
     return str(value)
 
 
