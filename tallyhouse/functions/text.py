@@ -27,9 +27,5 @@ def words(text: Column) -> Column:
 
 
 def word_buckets(text: Column, dim: int) -> Column:
-    """One bucket number in ``[0, dim)`` per word, from the first 16 bits of the word's MD5."""
-
-    def bucket(word: Column) -> Column:
-        return (F.conv(F.substring(F.md5(word), 1, 4), 16, 10).cast("int") % F.lit(dim)).cast("int")
-
-    return F.transform(words(text), bucket)
+    """One bucket number in ``[0, dim)`` per word: the CRC-32 of its UTF-8 bytes modulo ``dim``."""
+    return F.transform(words(text), lambda word: (F.crc32(word) % dim).cast("int"))

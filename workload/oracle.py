@@ -196,23 +196,48 @@ distances AS (
   SELECT grp, vec_id, list_cosine_distance(CAST(embedding AS DOUBLE[]), q) AS distance FROM embeddings, queries)"""
 
 
-WORDS = r"""words AS (
-  SELECT doc_id, CAST('0x' || md5(w)[1:4] AS INTEGER) % 256 AS bucket
-  FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS w FROM documents)),
+def _crc_table() -> list[int]:
+    """Remainders of the 256 byte values for the reflected CRC-32 polynomial."""
+    table = []
+    for value in range(256):
+        for _ in range(8):
+            value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+        table.append(value)
+    return table
+
+
+# CRC-32 of the UTF-8 bytes of w, byte by byte.
+_CRC = """xor(list_reduce(
+    list_transform(range(strlen(w)), lambda i: CAST('0x' || substr(hex(w), 2 * i + 1, 2) AS BIGINT)),
+    lambda a, b: xor(a >> 8, crc_table[(xor(a, b) & 255) + 1]), CAST(4294967295 AS BIGINT)), CAST(4294967295 AS BIGINT))"""
+
+
+def _buckets(name: str, key: str, text: str, source: str) -> str:
+    return f"""{name}_split AS (
+  SELECT {key}, unnest(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}]+')) AS w FROM {source}),
+{name}_codes AS (
+  SELECT w, {_CRC} % 256 AS bucket
+  FROM (SELECT DISTINCT w FROM {name}_split), (SELECT CAST({_crc_table()} AS BIGINT[]) AS crc_table)),
+{name} AS (SELECT {key}, bucket FROM {name}_split JOIN {name}_codes USING (w))"""
+
+
+WORDS = (
+    _buckets("words", "doc_id", "text", "documents")
+    + """,
 tf AS (SELECT doc_id, bucket, count(*) AS n FROM words GROUP BY 1, 2),
 df AS (SELECT bucket, count(*) AS n FROM tf GROUP BY 1),
 idf AS (SELECT bucket, ln((total + 1) / (n + 1)::DOUBLE) AS weight FROM df, (SELECT count(*) AS total FROM documents)),
 raw AS (SELECT doc_id, bucket, n * weight AS x FROM tf JOIN idf USING (bucket)),
 norms AS (SELECT doc_id, sqrt(sum(x * x)) AS norm FROM raw GROUP BY 1 HAVING sum(x * x) > 0),
 docs AS (SELECT doc_id, bucket, x / norm AS x FROM raw JOIN norms USING (doc_id))"""
+)
 
 
 def _search(questions: str, k: int) -> str:
     return (
         f"{WORDS},\nquestions AS ({questions}),\n"
-        r"""qwords AS (
-  SELECT qid, CAST('0x' || md5(w)[1:4] AS INTEGER) % 256 AS bucket
-  FROM (SELECT qid, unnest(regexp_extract_all(lower(q), '[\p{L}\p{N}]+')) AS w FROM questions)),
+        + _buckets("qwords", "qid", "q", "questions")
+        + """,
 qraw AS (
   SELECT qid, bucket, n * coalesce(weight, (SELECT ln((count(*) + 1)::DOUBLE) FROM documents)) AS x
   FROM (SELECT qid, bucket, count(*) AS n FROM qwords GROUP BY 1, 2) LEFT JOIN idf USING (bucket)),
