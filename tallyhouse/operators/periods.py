@@ -5,13 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyhouse.session import broadcast_within
+from tallyhouse.session import build_side, row_bytes
 
-GRAINS = {"day": "DD", "month": "MM", "year": "YEAR"}
+GRAINS = ("day", "month", "year")
+MAX_REPEATS = 16
 
 
 def _bucket(date: Column, grain: str) -> Column:
-    return date if grain == "day" else F.trunc(date, GRAINS[grain])
+    return date if grain == "day" else F.trunc(date, grain)
+
+
+def _bucket_count(first: Column, last: Column, grain: str) -> Column:
+    years = F.year(last) - F.year(first)
+    if grain == "day":
+        return F.datediff(last, first) + 1
+    if grain == "month":
+        return years * 12 + F.month(last) - F.month(first) + 1
+    return years + 1
 
 
 def match_periods(
@@ -24,7 +34,7 @@ def match_periods(
     end: str,
     how: str = "inner",
     closed: str = "both",
-    grain: str = "month",
+    grain: str | None = None,
 ) -> DataFrame:
     """Events with every period of the same key that covers their date.
 
@@ -34,26 +44,36 @@ def match_periods(
     Each period is repeated once per calendar bucket it covers, clipped to the dates that occur in ``events``, and
     the equi-join runs on (key, bucket): a key that holds a large share of the events or of the periods is spread
     over its buckets, and rows only meet within one bucket. An event lies in one bucket, so no pair appears twice.
-    The repeated periods are broadcast if their measured size allows it.
+
+    One aggregation over the periods counts the buckets. It picks the grain, unless given: the finest that repeats
+    periods at most ``MAX_REPEATS`` times on average. And it yields the size of the repeated periods, which decides
+    between a broadcast and a sort-merge join.
     """
     if how not in ("inner", "left"):
         raise ValueError("how must be 'inner' or 'left'")
     if closed not in ("both", "left"):
         raise ValueError("closed must be 'both' or 'left'")
-    if grain not in GRAINS:
-        raise ValueError(f"grain must be one of {sorted(GRAINS)}")
+    if grain is not None and grain not in GRAINS:
+        raise ValueError(f"grain must be one of {GRAINS}")
     span = events.agg(F.struct(F.min(date).alias("lo"), F.max(date).alias("hi")).alias("span")).scalar()
-    first = _bucket(F.greatest(F.col(start), F.col("_span.lo")), grain)
-    last = _bucket(F.least(F.col(end), F.col("_span.hi")), grain)
-    step = F.expr(f"interval 1 {grain}")
-    spread = (
+    clipped = (
         periods.withColumn("_span", span)
-        .withColumn("_first", first)
-        .withColumn("_last", last)
+        .withColumn("_first", F.greatest(F.col(start), F.col("_span.lo")))
+        .withColumn("_last", F.least(F.col(end), F.col("_span.hi")))
         .filter(F.col("_span.lo").isNotNull() & (F.col("_first") <= F.col("_last")))
-        .withColumn("_bucket", F.explode(F.sequence("_first", "_last", step)))
-        .drop("_span", "_first", "_last")
+        .drop("_span")
     )
+    width = row_bytes(periods) + 8
+    counts = {g: _bucket_count(F.col("_first"), F.col("_last"), g).cast("long") for g in GRAINS}
+    sums = [F.coalesce(F.sum(counts[g]), F.lit(0)).alias(f"{g}_rows") for g in GRAINS]
+    sums += [F.coalesce(F.sum(counts[g] * width), F.lit(0)).alias(f"{g}_bytes") for g in GRAINS]
+    facts = clipped.agg(F.count(F.lit(1)).alias("n"), *sums).first()
+    if grain is None:
+        fitting = [g for g in GRAINS if facts[f"{g}_rows"] <= MAX_REPEATS * facts["n"]]
+        grain = fitting[0] if fitting else GRAINS[-1]
+
+    buckets = F.sequence(_bucket(F.col("_first"), grain), _bucket(F.col("_last"), grain), F.expr(f"interval 1 {grain}"))
+    repeated = clipped.withColumn("_bucket", F.explode(buckets)).drop("_first", "_last")
     before_end = F.col(f"e.{date}") <= F.col(f"p.{end}") if closed == "both" else F.col(f"e.{date}") < F.col(f"p.{end}")
     covered = (
         (F.col(f"e.{on}") == F.col(f"p.{on}"))
@@ -64,4 +84,5 @@ def match_periods(
     bucketed = events.withColumn("_bucket", _bucket(F.col(date), grain))
     kept = [F.col(f"e.{c}") for c in events.columns]
     kept += [F.col(f"p.{c}") for c in periods.columns if c != on]
-    return bucketed.alias("e").join(broadcast_within(spread).alias("p"), covered, how).select(*kept)
+    build = build_side(repeated, facts[f"{grain}_bytes"])
+    return bucketed.alias("e").join(build.alias("p"), covered, how).select(*kept)

@@ -26,7 +26,7 @@ def assign_policies(
     separator: str = " ",
     how: str = "inner",
     closed: str = "both",
-    grain: str = "month",
+    grain: str | None = None,
 ) -> DataFrame:
     """Surveys with the policies of the account named in the file that cover the survey date."""
     named = surveys.withColumn("_slug", file_slug(F.col("survey_filename"), prefix, suffix))

@@ -63,7 +63,8 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _row_bytes(df: DataFrame) -> Column:
+def row_bytes(df: DataFrame) -> Column:
+    """Width of a row: eight bytes per fixed-size value, the actual length of text and nested values."""
     total = F.lit(0).cast("long")
     for name, kind in df.dtypes:
         if kind in ("string", "binary"):
@@ -78,16 +79,21 @@ def _row_bytes(df: DataFrame) -> Column:
 
 def measured_bytes(df: DataFrame) -> int:
     """Size of all rows from their column widths; one aggregation pass."""
-    return df.agg(F.coalesce(F.sum(_row_bytes(df)), F.lit(0)).alias("b")).first()["b"]
+    return df.agg(F.coalesce(F.sum(row_bytes(df)), F.lit(0)).alias("b")).first()["b"]
 
 
 def broadcast_within(df: DataFrame, limit_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """The build side of a join: broadcast if its measured size stays within the limit, else a sort-merge join.
+    """The build side of a join: broadcast if its measured size stays within the limit, else a sort-merge join."""
+    return build_side(df, measured_bytes(df), limit_bytes)
+
+
+def build_side(df: DataFrame, size: int, limit_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Fix the join strategy from a known size.
 
     The planner's own estimate can be far off (an exploded table counts as large as its source), so it is overridden
     both ways. A sort-merge join spills, and AQE splits its hot keys.
     """
-    return F.broadcast(df) if measured_bytes(df) <= limit_bytes else df.hint("merge")
+    return F.broadcast(df) if size <= limit_bytes else df.hint("merge")
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:

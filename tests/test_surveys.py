@@ -31,7 +31,7 @@ def _slug(path):
     return path.removeprefix(rows.PREFIX).removesuffix(".pdf")
 
 
-@pytest.mark.parametrize("grain", ["day", "month", "year"])
+@pytest.mark.parametrize("grain", [None, "day", "month", "year"])
 def test_assignment_keeps_surveys_inside_their_period(surveys, policies, grain):
     assigned = plan.assign_policies(surveys, policies, prefix=rows.PREFIX, grain=grain)
     assert assigned.columns == [
@@ -78,7 +78,9 @@ def test_period_ends_and_open_ended_periods(spark):
         pairs(how="outer")
 
 
-def test_hot_account_matches_brute_force(spark):
+@pytest.mark.parametrize("strategy", ["broadcast", "merge"])
+def test_hot_account_matches_brute_force(spark, monkeypatch, strategy):
+    monkeypatch.setattr("tallyhouse.operators.periods.build_side", lambda df, size: df.hint(strategy))
     events = spark.range(600).select(
         F.col("id"),
         F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), F.col("id") % 17)).alias("k"),
@@ -97,6 +99,20 @@ def test_hot_account_matches_brute_force(spark):
     )
 
 
+def test_grain_follows_the_length_of_the_periods(spark):
+    events = spark.createDataFrame([("a", date(2010, 1, 1)), ("a", date(2029, 12, 31))], "k string, d date")
+
+    def bucket_of(end):
+        periods = spark.createDataFrame([("a", date(2020, 5, 17), end)], "k string, s date, e date")
+        matched = match_periods(events, periods, on="k", date="d", start="s", end="e")
+        text = matched._jdf.queryExecution().optimizedPlan().toString()
+        return next((g for g in ("DAY", "MONTH", "YEAR") if f"INTERVAL '1' {g}" in text), None)
+
+    assert bucket_of(date(2020, 5, 20)) == "DAY"
+    assert bucket_of(date(2021, 5, 17)) == "MONTH"
+    assert bucket_of(date(2028, 1, 1)) == "YEAR"
+
+
 def test_weights(claims):
     weights = {r["hazard_area"]: r["area_weight"] for r in segment_weights(losses_by_account(claims)).collect()}
     total = sum(rows.LOSSES.values())
