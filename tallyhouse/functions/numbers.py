@@ -16,10 +16,13 @@ def ratio(numerator: Column, denominator: Column) -> Column:
 def draw(id_: Column, stream: int) -> Column:
     """Repeatable integer in ``[0, PRIME)`` from an id; ``stream`` keeps the columns of a row independent.
 
-    Depends on the id only, so a retried task or another partitioning draws the same values. Every intermediate
-    value stays below 2**62.
+    Depends on the id only, so a retried task or another partitioning draws the same values. The bits of the id above
+    the 31st change the offset of each stream, so tables of many billion rows do not repeat. Every intermediate value
+    stays below 2**62.
     """
-    first = (F.pmod(id_.cast("long"), F.lit(PRIME)) * 48271 + 7 + 7919 * stream) % PRIME
+    whole = id_.cast("long")
+    offset = F.pmod((F.shiftright(whole, 31) * 15485863 + 7919) * stream, F.lit(PRIME))
+    first = (F.pmod(whole, F.lit(PRIME)) * 48271 + offset + 7) % PRIME
     return ((first * first) % PRIME * 69621 + 104729 * stream) % PRIME
 
 

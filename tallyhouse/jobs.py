@@ -1,9 +1,9 @@
-"""Command line jobs for spark-submit.
+"""Command line jobs, run with the package on the Python path (``python -m tallyhouse.jobs`` or spark-submit).
 
-    spark-submit tallyhouse/jobs.py generate-sales OUT [--customers N] [--transactions N] [--tasks N]
-    spark-submit tallyhouse/jobs.py sales-summary IN OUT
-    spark-submit tallyhouse/jobs.py load-clustered IN OUT
-    spark-submit tallyhouse/jobs.py show-text PATH
+    generate-sales OUT [--customers N] [--transactions N] [--tasks N]
+    sales-summary IN OUT
+    load-clustered IN OUT
+    show-text PATH
 """
 
 from __future__ import annotations

@@ -111,6 +111,26 @@ def test_generated_rows_do_not_depend_on_partitioning(spark, generated):
     assert sales.exceptAll(other).isEmpty() and other.exceptAll(sales).isEmpty()
 
 
+def test_ids_above_31_bits_draw_other_rows(spark):
+    low = generate.sales(spark.range(1000), 400).drop("transaction_id")
+    for block in (2147483647, 2147483648, 3 * 2147483648, 10**15):
+        high = generate.sales(spark.range(block, block + 1000), 400)
+        assert high.agg(F.min("customer_id") >= 0, F.max("transaction_amount") < 500).first() == (True, True)
+        assert low.intersect(high.drop("transaction_id")).count() <= 1
+
+
+def test_zscores_through_a_shuffled_join(spark, trades):
+    broadcast = sorted(map(str, outliers.trade_zscores(trades).collect()))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        scored = outliers.trade_zscores(trades)
+        assert "SortMergeJoin" in scored._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(str, scored.collect())) == broadcast
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 def test_generated_values(generated):
     sales, customers = generated
     shares = {r["state"]: r["count"] / 400 for r in customers.groupBy("state").count().collect()}

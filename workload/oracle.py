@@ -6,7 +6,8 @@ P = 2147483647
 
 
 def draw(id_: str, stream: int) -> str:
-    first = f"(((({id_}) % {P}) * 48271 + 7 + 7919 * {stream}) % {P})"
+    offset = f"((((({id_}) >> 31) * 15485863 + 7919) * {stream}) % {P})"
+    first = f"(((({id_}) % {P}) * 48271 + {offset} + 7) % {P})"
     return f"((({first} * {first}) % {P} * 69621 + 104729 * {stream}) % {P})"
 
 
