@@ -32,12 +32,14 @@ def customer_tier(state: Column, gold: Sequence[str] = GOLD_STATES) -> Column:
     return F.when(state.isin(*gold), F.lit("Gold")).otherwise(F.lit("Silver"))
 
 
-def rating_score(rating: Column, points: Mapping[str, float] = RATING_POINTS) -> Column:
+def rating_points(points: Mapping[str, float] = RATING_POINTS) -> Column:
+    """The scale as a constant map, to be shared by all rating columns."""
+    return F.create_map(*[F.lit(entry) for label, value in points.items() for entry in (label, float(value))])
+
+
+def rating_score(rating: Column, scale: Column | None = None) -> Column:
     """Points of a rating as double, NULL if it is not on the scale."""
-    score = F.lit(None).cast("double")
-    for label, value in reversed(list(points.items())):
-        score = F.when(rating == label, F.lit(float(value))).otherwise(score)
-    return score
+    return F.try_element_at(rating_points() if scale is None else scale, rating)
 
 
 def hazard_area(

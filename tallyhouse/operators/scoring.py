@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyhouse.functions.labels import HAZARD_AREAS, hazard_area, rating_score
+from tallyhouse.functions.labels import HAZARD_AREAS, hazard_area, rating_points, rating_score
 from tallyhouse.functions.numbers import ratio
 
 # Fixed values of the composite: stand-ins for an unassessed area and for an area without losses.
@@ -26,7 +26,8 @@ def rating_column(area: str) -> str:
 
 def rating_scores(surveys: DataFrame, keep: Sequence[str], areas: Sequence[str] = HAZARD_AREAS) -> DataFrame:
     """One score column per rating column, plus the ``keep`` columns."""
-    scores = [rating_score(F.col(rating_column(a))).alias(score_column(a)) for a in areas]
+    scale = rating_points()
+    scores = [rating_score(F.col(rating_column(a)), scale).alias(score_column(a)) for a in areas]
     return surveys.select(*keep, *scores)
 
 
@@ -74,13 +75,13 @@ def composite_scores(
     by_area = wanted.agg(F.map_from_entries(F.collect_list(F.struct("hazard_area", "area_weight"))).alias("w"))
     filled = [F.coalesce(F.try_element_at("w", F.lit(a)), F.lit(unweighted)) for a in areas]
     lookup = by_area.select(F.array(*filled)).scalar()
+    missing = F.lit(unassessed)
     total = F.lit(0.0)
-    used = F.lit(0.0)
     for position, area in enumerate(areas):
-        weight = F.col("_weights")[position]
-        total = total + F.coalesce(F.col(score_column(area)), F.lit(unassessed)) * weight
-        used = used + weight
-    value = ratio(total, used) if normalise else total
+        total = total + F.coalesce(score_column(area), missing) * F.col("_weights")[position]
+    value = total
+    if normalise:
+        value = ratio(total, F.aggregate("_weights", F.lit(0.0), lambda used, weight: used + weight))
     if digits is not None:
         value = F.round(value, digits)
     return scores.withColumn("_weights", lookup).select(*keep, value.alias("loss_weighted_composite_score"))
