@@ -2,21 +2,42 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tallyhouse.functions.labels import HAZARD_AREAS
 from tallyhouse.functions.text import file_slug, name_slug
 from tallyhouse.operators.benchmarks import cost_ratios, flag_deviating, performance_index
 from tallyhouse.operators.embedding import embed_corpus
+from tallyhouse.operators.features import parse_payload
 from tallyhouse.operators.paths import Edge, Node, match_path
 from tallyhouse.operators.periods import match_periods
-from tallyhouse.operators.scoring import composite_scores, losses_by_account, rating_scores, segment_weights
+from tallyhouse.operators.scoring import (
+    composite_scores,
+    losses_by_account,
+    rating_column,
+    rating_scores,
+    segment_weights,
+)
 from tallyhouse.operators.topk import largest_rows
 from tallyhouse.operators.vector_search import nearest, nearest_for_each
 
 ASSIGNED = ("survey_filename", "policy_id", "account_id", "earned_premium")
 
 
+def extract_ratings(outputs: DataFrame, payload: str = "payload", areas: Sequence[str] = HAZARD_AREAS) -> DataFrame:
+    """Rating columns and survey date from the JSON that a model returned per document.
+
+    A document whose JSON is bad keeps its row, with NULL ratings and ``is_parsed`` false.
+    """
+    fields = [T.StructField(rating_column(a), T.StringType()) for a in areas]
+    schema = T.StructType([*fields, T.StructField("survey_date", T.DateType())])
+    return parse_payload(outputs, payload, schema).drop(payload)
+
+
 def assign_policies(
     surveys: DataFrame,
     policies: DataFrame,

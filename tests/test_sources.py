@@ -29,6 +29,20 @@ def test_partitioned_round_trip_prunes(spark, path):
     assert "PartitionFilters: [isnotnull(region" in plan
 
 
+def test_a_hot_partition_value_gets_several_writers(spark, path):
+    df = spark.range(300_000).select(F.xxhash64("id").alias("x"), F.when(F.col("id") % 3 > 0, "hot").otherwise("cold").alias("r"))
+    plan = df.hint("rebalance", F.col("r"))._jdf.queryExecution().executedPlan().toString()
+    assert "REBALANCE_PARTITIONS_BY_COL" in plan
+    size = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "400KB")
+    try:
+        files.write_partitioned(df.repartition(16), path, "r")
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", size)
+    assert 1 < len(glob.glob(f"{path}/r=hot/*.parquet")) < 16
+    assert files.scan_parquet(spark, path).count() == 300_000
+
+
 def test_partitioned_write_replaces(spark, path):
     files.write_partitioned(spark.range(5).withColumn("region", F.lit("a")), path, "region")
     files.write_partitioned(spark.range(3).withColumn("region", F.lit("b")), path, "region")
@@ -221,6 +235,15 @@ def test_stream_takes_each_file_once(spark, path):
     assert files.scan_parquet(spark, f"{path}/out").count() == 130
 
 
+def test_tenant_files(spark, path):
+    for tenant in ("finance", "marketing"):
+        spark.createDataFrame([(f"{tenant} data",)], "v string").write.text(f"{path}/{tenant}")
+    grants = spark.createDataFrame([("ann", "finance"), ("bob", "marketing")], "principal string, tenant string")
+    assert tenancy.read_tenant_text(spark, path, grants, "ann", "finance").first()["value"] == "finance data"
+    with pytest.raises(PermissionError):
+        tenancy.read_tenant_text(spark, path, grants, "ann", "marketing")
+
+
 def test_tenants(spark):
     data = spark.createDataFrame([("finance", "f"), ("marketing", "m"), (None, "x")], "tenant string, line string")
     grants = spark.createDataFrame(

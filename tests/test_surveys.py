@@ -41,6 +41,19 @@ def test_assignment_keeps_surveys_inside_their_period(surveys, policies, grain):
     assert got == {k: v[:2] for k, v in rows.ASSIGNED.items()}
 
 
+def test_ratings_from_stored_model_output(spark, surveys):
+    payload = F.to_json(F.struct(*[c for c in surveys.columns if c != "survey_filename"]))
+    outputs = surveys.select("survey_filename", payload.alias("payload"))
+    bad = spark.createDataFrame([("bad", "no json"), ("none", None)], "survey_filename string, payload string")
+    extracted = plan.extract_ratings(outputs.union(bad))
+    assert sorted(map(str, extracted.filter("is_parsed").select(*surveys.columns).collect())) == sorted(
+        map(str, surveys.collect())
+    )
+    broken = extracted.filter("not is_parsed").collect()
+    assert {r["survey_filename"] for r in broken} == {"bad", "none"}
+    assert all(r["rating_lifting"] is None and r["survey_date"] is None for r in broken)
+
+
 def test_left_assignment_keeps_all_surveys(surveys, policies):
     assigned = plan.assign_policies(surveys, policies, prefix=rows.PREFIX, how="left")
     assert assigned.count() == 10

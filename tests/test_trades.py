@@ -163,6 +163,10 @@ def test_generated_trades(spark):
     assert trades.select("ticker").distinct().count() == 60
     assert trades.select("trade_id").distinct().count() == 3000
     assert {r[0] for r in trades.select("executing_account").distinct().collect()} == {f"ACC-TRD-0{i}" for i in range(1, 6)}
+    now = generate.trades(spark.range(3), at=F.current_timestamp())
+    assert now.select("trade_timestamp").distinct().count() == 1
+    with pytest.raises(ValueError):
+        generate.trades(spark.range(3))
     with_record = trades.withColumn("cat_compliance", generate.compliance(F.xxhash64("trade_id"), F.col("trade_timestamp")))
     assert [f.name for f in with_record.schema["cat_compliance"].dataType] == schemas.CAT_COMPLIANCE.names
     codes = trade_plan.handling_features(with_record).select("handling_type", "handling_index").distinct().collect()
