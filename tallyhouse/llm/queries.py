@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import decontamination, packing
+from tallyhouse.llm import decontamination, packing, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -78,3 +78,22 @@ def tokenizer_path() -> str:
 @query
 def op5_packing(spark, sf):
     return packing.pack_documents(_table(spark, sf, "documents"), tokenizer_path(), with_ids=False).drop("ids")
+
+
+@query
+def op3_warc(spark, sf):
+    return warc.round_trip(_table(spark, sf, "pages")).drop("url")
+
+
+ORACLE["op3_warc"] = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest,
+    coalesce(html, '') AS html
+  FROM pages),
+m AS (
+  SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY html) ELSE page_id END AS best FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN page_id IS DISTINCT FROM best THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM best THEN best END AS refers_to
+FROM m
+"""
