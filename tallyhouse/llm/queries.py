@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import decontamination, packing, topk_search, warc
+from tallyhouse.llm import decontamination, licenses, packing, secret_scan, topk_search, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -118,3 +118,13 @@ p AS (
 o AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS n FROM p)
 SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM o WHERE n <= 20
 """
+
+
+@query
+def op7_licenses(spark, sf):
+    return licenses.detect(_table(spark, sf, "documents"))
+
+
+@query
+def op6_secrets(spark, sf):
+    return secret_scan.list_findings(_table(spark, sf, "documents"))
