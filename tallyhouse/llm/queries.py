@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import decontamination, licenses, packing, secret_scan, topk_search, warc
+from tallyhouse.llm import decontamination, licenses, packing, secret_scan, topk_search, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -128,3 +128,8 @@ def op7_licenses(spark, sf):
 @query
 def op6_secrets(spark, sf):
     return secret_scan.list_findings(_table(spark, sf, "documents"))
+
+
+@query
+def op4_toxicity(spark, sf):
+    return toxicity.judge(_table(spark, sf, "documents"), _table(spark, sf, "labels"))

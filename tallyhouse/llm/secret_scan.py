@@ -26,7 +26,7 @@ THRESHOLD = 0.5
 MASK = "[SECRET]"
 
 SPACES = r"[ \t\n\x0B\f\r]+"
-VALUE = r"""(?:^|[=:"'`(<\[{,;])([A-Za-z0-9+/_.\-]{12,}={0,2})["'`)>\]},;.!?]*$"""
+VALUE = r"(?:^|[^A-Za-z0-9+/_.\-])([A-Za-z0-9+/_.\-]{12,}={0,2})[^A-Za-z0-9]*$"
 
 # Openings of keys that services give out.
 PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "sk_live_", "rk_live_", "xoxb-", "xoxp-", "AIza", "npm_", "SG.", "hf_")
