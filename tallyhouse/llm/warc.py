@@ -37,6 +37,9 @@ LEAST_REVISIT = 1000
 GAP_BYTES = 64 << 10
 READ_BYTES = 4 << 20
 
+#: Archived bytes that one reading task takes on.
+TASK_BYTES = 32 << 20
+
 #: Fixed values of the WARC 1.1 standard.
 VERSION = "WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -190,7 +193,9 @@ def read_records(selected: DataFrame, with_payload: bool = True) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     columns = ["file", "offset", "length"]
-    sorted_ranges = selected.select(*columns).repartitionByRange(*columns[:2]).sortWithinPartitions(*columns[:2])
+    size = selected.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("n")).first()["n"]
+    tasks = max(1, -(-size // TASK_BYTES))
+    sorted_ranges = selected.select(*columns).repartitionByRange(tasks, *columns[:2]).sortWithinPartitions(*columns[:2])
     return sorted_ranges.mapInArrow(read, RECORD_SCHEMA)
 
 
