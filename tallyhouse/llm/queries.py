@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import decontamination, licenses, packing, secret_scan, topk_search, toxicity, warc
+from tallyhouse.llm import decontamination, licenses, packing, phrases, secret_scan, topk_search, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -133,3 +133,32 @@ def op6_secrets(spark, sf):
 @query
 def op4_toxicity(spark, sf):
     return toxicity.judge(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
+
+
+@query
+def op10_phrases(spark, sf):
+    return phrases.remove_repeated(_table(spark, sf, "documents"))
+
+
+ORACLE["op10_phrases"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+win AS (
+  SELECT r, i, md5(array_to_string(w[i : i + 34], ' ')) AS h
+  FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+again AS (SELECT h FROM win GROUP BY h HAVING count(*) > 1),
+gone AS (
+  SELECT r, list(DISTINCT p) AS ps
+  FROM (SELECT r, unnest(range(i, i + 35)) AS p FROM win JOIN again USING (h)) GROUP BY r),
+kept AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(len(ps), 0) AS n_removed, w, list_sort(coalesce(ps, [])) AS ps, r
+  FROM d LEFT JOIN gone USING (r)),
+words AS (
+  SELECT r, string_agg(x, ' ' ORDER BY i) AS t
+  FROM (SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM d)
+  WHERE NOT EXISTS (
+    SELECT 1 FROM (SELECT r AS gr, unnest(ps) AS p FROM gone) g WHERE g.gr = r AND g.p = i)
+  GROUP BY r)
+SELECT doc_id, n_words, n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM kept LEFT JOIN words USING (r)
+"""
