@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tallyhouse.llm import regions
 from tallyhouse.llm.shipping import ship
-from tallyhouse.llm.words import Words, mix, owners, prefix_hash, row_blocks, span_hash, spaced_words, text_bytes
+from tallyhouse.llm.words import mix, prefix_hash, row_blocks, span_hash, spaced_words, text_bytes
 from tallyhouse.session import stage
 
 WINDOW = 35
@@ -35,26 +35,6 @@ AUTOMATON_CHARS = 1 << 20
 PASSAGE_WORDS = 4000
 
 
-def _regions(words: Words, window: int, gram: int):
-    """Per region: text, first window (in all words), number of windows, anchor, and two hashes of its words."""
-    h, rows = words.hash, words.rows()
-    if len(h) < window:
-        return None
-    prefix = prefix_hash(h)
-    other = prefix_hash(mix(h))
-    at = np.arange(len(h) - gram + 1)
-    grams = span_hash(prefix, at, at + gram)
-    anchor, first, last = owners(grams, window - gram + 1)
-    whole = rows[: len(h) - window + 1] == rows[window - 1 :]
-    before = np.concatenate([[0], np.cumsum(whole)])
-    n = before[last] - before[first]
-    keep = n > 0
-    anchor, n = anchor[keep], n[keep]
-    start = np.flatnonzero(whole)[before[first[keep]]]
-    end = start + n + window - 1
-    return rows[start], start, n, grams[anchor], span_hash(prefix, start, end), span_hash(other, start, end)
-
-
 def _scan(window: int, gram: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -62,13 +42,9 @@ def _scan(window: int, gram: int):
             ids, hashes = (batch.column(c).to_numpy() for c in (0, 1))
             for a, b in row_blocks(offsets):
                 words = spaced_words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                found = _regions(words, window, gram)
-                if found is None:
-                    continue
-                row, start, n, *marks = found
-                columns = [ids[a + row], hashes[a + row], start - words.first[row], n.astype(np.int32)]
-                arrays = [pa.array(c) for c in [*columns, *(m.view(np.int64) for m in marks)]]
-                yield pa.RecordBatch.from_arrays(arrays, [f.split()[0] for f in regions.REGION_SCHEMA.split(", ")])
+                found = regions.find(words.hash, mix(words.hash), words.rows(), window, gram)
+                place = found[1] - words.first[found[0]]
+                yield regions.region_batch(ids[a:b], hashes[a:b], place, found)
 
     return scan
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import decontamination, licenses, packing, phrases, secret_scan, topk_search, toxicity, warc
+from tallyhouse.llm import decontamination, licenses, packing, phrases, secret_scan, substrings, topk_search, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -162,3 +162,8 @@ words AS (
   GROUP BY r)
 SELECT doc_id, n_words, n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM kept LEFT JOIN words USING (r)
 """
+
+
+@query
+def op1_substrings(spark, sf):
+    return substrings.remove_repeated(_table(spark, sf, "documents"), with_kept=False).drop("kept")

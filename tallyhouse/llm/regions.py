@@ -12,13 +12,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyhouse.llm.words import owners, prefix_hash, span_hash
 from tallyhouse.session import stage
 
-REGION_SCHEMA = "doc_id long, row_hash long, place long, n int, anchor long, c1 long, c2 long"
+REGION_SCHEMA = "doc_id long, row_hash long, place long, n int, lead int, anchor long, c1 long, c2 long"
 KEY = ["doc_id", "row_hash"]
 
 #: Given to null ids, so that they can be joined on; they come back as null.
@@ -49,6 +51,37 @@ def unpacked(z: bytes, size: int) -> bytes:
     return pa.decompress(z, size, "zstd", asbytes=True) if size else b""
 
 
+def find(hashes: np.ndarray, others: np.ndarray, rows: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Regions of the windows of ``window`` neighbours that lie within one row.
+
+    ``hashes`` and ``others`` are two independent hashes of each unit (byte or word). Returns, for each region, its row,
+    first window, number of windows, units from there to the anchor, anchor, and two hashes of its units.
+    """
+    if len(hashes) < window:
+        return tuple(np.zeros(0, np.int64) for _ in range(4)) + tuple(np.zeros(0, np.uint64) for _ in range(3))
+    first_prefix, other_prefix = prefix_hash(hashes), prefix_hash(others)
+    at = np.arange(len(hashes) - gram + 1)
+    grams = span_hash(first_prefix, at, at + gram)
+    anchor, first, last = owners(grams, window - gram + 1)
+    whole = rows[: len(hashes) - window + 1] == rows[window - 1 :]
+    before = np.concatenate([[0], np.cumsum(whole)])
+    n = before[last] - before[first]
+    keep = n > 0
+    anchor, n = anchor[keep], n[keep]
+    start = np.flatnonzero(whole)[before[first[keep]]]
+    end = start + n + window - 1
+    content = span_hash(first_prefix, start, end), span_hash(other_prefix, start, end)
+    return rows[start], start, n, anchor - start, grams[anchor], *content
+
+
+def region_batch(ids: np.ndarray, hashes: np.ndarray, place: np.ndarray, found: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+    """``found`` regions as rows, for rows with these ids and row hashes, at ``place`` within their rows."""
+    row, _, n, lead, *marks = found
+    columns = [ids[row], hashes[row], place, n.astype(np.int32), lead.astype(np.int32)]
+    arrays = [pa.array(c) for c in [*columns, *(m.view(np.int64) for m in marks)]]
+    return pa.RecordBatch.from_arrays(arrays, [f.split()[0] for f in REGION_SCHEMA.split(", ")])
+
+
 def recurring(docs: DataFrame, scan: Callable) -> DataFrame:
     """Regions whose anchor stands at least twice, written once; ``mixed`` where its regions differ.
 
@@ -69,7 +102,7 @@ def representatives(found: DataFrame) -> DataFrame:
     return (
         found.filter("mixed")
         .groupBy("anchor", "c1", "c2")
-        .agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct(*KEY, "place", "n")).alias("at"))
+        .agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct(*KEY, "place", "n", "lead")).alias("at"))
         .select("anchor", "c1", "c2", "copies", "at.*")
     )
 
