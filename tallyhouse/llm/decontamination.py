@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from tallyhouse.llm.shipping import ship
 from tallyhouse.llm.words import alphanumeric_words, row_blocks, text_bytes
-from tallyhouse.session import scratch_path
+from tallyhouse.session import scratch_path, stage
 
 WINDOW = 13
 
@@ -327,14 +327,27 @@ def _matcher(shared, slack: int):
     return match
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slack: int = 2) -> DataFrame:
-    """``contamination`` of whole documents: doc_id, n_words, n_hit, items and whether a twentieth of the words is hit."""
+def _judged(docs: DataFrame, keep: list[str], benchmark: DataFrame, window: int, slack: int) -> DataFrame:
     path = scratch_path(ship(docs.sparkSession), "positions")
-    index = build_index(docs, "text", ["doc_id"], path)
-    keep = T.StructType([docs.schema["doc_id"]])
-    found = find_items(index, keep, benchmark, "item_id", "text", window, slack)
-    return (
-        found.withColumn("n_hit", hit_words("hit_runs"))
-        .withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
-        .select("doc_id", "n_words", "n_hit", "items", "near_items", "hit_runs", "contaminated")
+    index = build_index(docs, "text", keep, path)
+    kept = T.StructType([docs.schema[c] for c in keep])
+    found = find_items(index, kept, benchmark, "item_id", "text", window, slack)
+    return found.withColumn("n_hit", hit_words("hit_runs")).withColumn(
+        "contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
     )
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slack: int = 2) -> DataFrame:
+    """``contamination`` of whole documents: doc_id, n_words, n_hit, items and whether a twentieth of the words is hit."""
+    found = _judged(docs.select("doc_id", "text"), ["doc_id"], benchmark, window, slack)
+    return found.select("doc_id", "n_words", "n_hit", "items", "near_items", "hit_runs", "contaminated")
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``docs`` without those of which a twentieth of the words stands in windows of the benchmark."""
+    row_hash = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+    hashed = docs.select("doc_id", "text", row_hash.alias("__row_hash"))
+    judged = _judged(hashed, ["doc_id", "__row_hash"], benchmark, window, 0).filter("contaminated")
+    gone = judged.select(F.col("doc_id").alias("__doc_id"), F.col("__row_hash").alias("__gone"))
+    same = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (row_hash == F.col("__gone"))
+    return docs.join(stage(gone, "contaminated"), same, "left_anti")

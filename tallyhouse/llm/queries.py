@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import decontamination, licenses, packing, phrases, secret_scan, substrings, topk_search, toxicity, warc
+from tallyhouse.llm import decontamination, jaccard_join, licenses, packing, phrases, secret_scan, substrings, topk_search, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -167,3 +167,32 @@ SELECT doc_id, n_words, n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM k
 @query
 def op1_substrings(spark, sf):
     return substrings.remove_repeated(_table(spark, sf, "documents"), with_kept=False).drop("kept")
+
+
+@query
+def op2_jaccard_join(spark, sf):
+    found = jaccard_join.similar_classes(_table(spark, sf, "documents"))
+    return found.select("doc_id", "class_id", "n_links", "n_copies")
+
+
+# Signatures decide which pairs are looked at; this states the exact join.
+ORACLE["op2_jaccard_join"] = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, md5_number(array_to_string(w[i : i + 4], ' ')) AS h
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+inter AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.h = y.h AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+link AS (
+  SELECT a, b FROM inter JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 9 * k >= 4 * (p.n + q.n)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+cls AS (SELECT a, min(b) AS class_id FROM reach GROUP BY 1),
+cnt AS (SELECT a, count(*) AS n_links FROM link GROUP BY 1),
+same AS (SELECT w, count(*) AS k FROM d GROUP BY 1)
+SELECT d.doc_id, class_id, coalesce(n_links, 0) AS n_links, CASE WHEN len(d.w) = 0 THEN 1 ELSE same.k END AS n_copies
+FROM d JOIN cls ON cls.a = d.doc_id LEFT JOIN cnt ON cnt.a = d.doc_id JOIN same ON same.w = d.w
+"""

@@ -31,7 +31,7 @@ def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, row_hash and text; null texts are empty."""
     text = F.coalesce(F.col("text"), F.lit(""))
     doc_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    return docs.select(doc_id.alias("doc_id"), F.xxhash64("doc_id", text).alias("row_hash"), text.alias("text"))
+    return docs.select(doc_id.alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("row_hash"), text.alias("text"))
 
 
 def packed(docs: DataFrame) -> DataFrame:
