@@ -1,6 +1,7 @@
 """Text embedding: hashed word counts weighted by rarity, scaled to unit length.
 
-A lexical stand-in for a remote embedding model: texts are near when they share uncommon words.
+A lexical stand-in for a remote embedding model: texts are near when they share uncommon words. Vectors are sparse: the
+buckets that a text has words in, with their weights.
 """
 
 from __future__ import annotations
@@ -15,29 +16,36 @@ from pyspark.sql import types as T
 from tallyhouse.functions.text import word_buckets
 from tallyhouse.session import stage
 
-DIM = 256
+#: Buckets that words are hashed to; their weights are the only fitted numbers (8 bytes each).
+DIM = 1 << 18
 BUCKETS = "_buckets"
 
 
 @dataclass(frozen=True)
 class Embedder:
-    """Word buckets and their fitted weights; ``dim`` numbers, whatever the size of the corpus."""
+    """Word buckets and their fitted weights; at most ``dim`` numbers, whatever the size of the corpus.
+
+    A bucket that ``weights`` lacks has the weight ``unseen``.
+    """
 
     dim: int
-    weights: tuple[float, ...]
+    weights: dict[int, float]
+    unseen: float
 
     def transform(self, df: DataFrame, key: str, text: str, vector: str) -> DataFrame:
-        """(key, vector) for every row, NULL for a NULL text; row-local, no shuffle."""
+        """(key, vector) for every row, NULL for a NULL text; row-local, no shuffle. Weights of 0 are left out."""
         return self.weigh(bucket_words(df, key, text, self.dim), key, vector)
 
     def weigh(self, bucketed: DataFrame, key: str, vector: str) -> DataFrame:
         """Vectors of rows whose words are bucketed already.
 
-        Counting runs on Arrow batches of bucket numbers with one bincount per batch: a JVM count would either
-        explode and regroup every word or scan the words once per bucket.
+        Counting runs on Arrow batches of bucket numbers, over the buckets that occur: a JVM count would explode and
+        regroup every word.
         """
-        schema = T.StructType([bucketed.schema[key], T.StructField(vector, T.ArrayType(T.DoubleType()))])
-        return bucketed.select(key, BUCKETS).mapInArrow(_count_words(self.dim, self.weights, key, vector), schema)
+        entry = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("weight", T.DoubleType())])
+        schema = T.StructType([bucketed.schema[key], T.StructField(vector, T.ArrayType(entry))])
+        count = _count_words(self.dim, self.weights, self.unseen, key, vector)
+        return bucketed.select(key, BUCKETS).mapInArrow(count, schema)
 
 
 def bucket_words(df: DataFrame, key: str, text: str, dim: int) -> DataFrame:
@@ -46,14 +54,14 @@ def bucket_words(df: DataFrame, key: str, text: str, dim: int) -> DataFrame:
 
 
 def fit_embedder(bucketed: DataFrame, dim: int) -> Embedder:
-    """Weights ``ln((n + 1) / (df + 1))`` per bucket; one aggregation that brings ``dim + 1`` numbers to the driver."""
+    """Weights ``ln((n + 1) / (df + 1))`` per bucket; one aggregation that brings ``dim + 1`` numbers at most."""
     none = F.array().cast("array<int>")
     # A leading -1 per row counts the rows in the same aggregation.
     marked = F.concat(F.array(F.lit(-1)), F.coalesce(F.array_distinct(BUCKETS), none))
-    counts = bucketed.select(F.explode(marked).alias("bucket")).groupBy("bucket").count().collect()
-    found = {row["bucket"]: row["count"] for row in counts}
-    n = found.get(-1, 0)
-    return Embedder(dim, tuple(math.log((n + 1) / (found.get(b, 0) + 1)) for b in range(dim)))
+    counts = bucketed.select(F.explode(marked).alias("bucket")).groupBy("bucket").count().toPandas()
+    found = dict(zip(counts["bucket"].tolist(), counts["count"].tolist()))
+    n = found.pop(-1, 0)
+    return Embedder(dim, {b: math.log((n + 1) / (df + 1)) for b, df in found.items()}, math.log(n + 1))
 
 
 def embed_corpus(df: DataFrame, key: str, text: str, vector: str, dim: int = DIM) -> tuple[Embedder, DataFrame]:
@@ -67,24 +75,36 @@ def embed_corpus(df: DataFrame, key: str, text: str, vector: str, dim: int = DIM
     return embedder, embedder.weigh(bucketed, key, vector)
 
 
-def _count_words(dim: int, weights: tuple[float, ...], key: str, vector: str):
+def _count_words(dim: int, weights: dict[int, float], unseen: float, key: str, vector: str):
+    import numpy as np
+
     # A closure with local imports only, so that executors need no installed copy of this package.
+    known = np.array(sorted(weights), dtype="int64")
+    values = np.array([weights[b] for b in known.tolist()], dtype="float64")
+
     def count(batches):
         import numpy as np
         import pyarrow as pa
 
-        scale = np.asarray(weights, dtype="float64")
         for batch in batches:
             n = batch.num_rows
             lists = batch.column(1)
             lengths = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype("int64")
             flat = lists.flatten().to_numpy(zero_copy_only=False).astype("int64")
-            rows = np.repeat(np.arange(n, dtype="int64"), lengths)
-            values = np.bincount(rows * dim + flat, minlength=n * dim).reshape(n, dim) * scale
-            norms = np.linalg.norm(values, axis=1, keepdims=True)
-            values = np.divide(values, norms, out=np.zeros_like(values), where=norms > 0)
-            offsets = pa.array(np.arange(0, (n + 1) * dim, dim, dtype="int32"))
-            vectors = pa.ListArray.from_arrays(offsets, pa.array(values.ravel()), mask=lists.is_null())
+            pairs, times = np.unique(np.repeat(np.arange(n), lengths) * dim + flat, return_counts=True)
+            row, bucket = pairs // dim, pairs % dim
+            weight = np.full(len(pairs), unseen)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, bucket), len(known) - 1)
+                weight = np.where(known[at] == bucket, values[at], unseen)
+            weight = weight * times
+            row, bucket, weight = (x[weight != 0] for x in (row, bucket, weight))
+            norms = np.sqrt(np.bincount(row, weights=weight * weight, minlength=n))
+            offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))]).astype("int32"))
+            entries = pa.StructArray.from_arrays(
+                [pa.array(bucket.astype("int32")), pa.array(weight / norms[row])], names=["bucket", "weight"]
+            )
+            vectors = pa.ListArray.from_arrays(offsets, entries, mask=lists.is_null())
             yield pa.RecordBatch.from_arrays([batch.column(0), vectors], names=[key, vector])
 
     return count

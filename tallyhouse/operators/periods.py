@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyhouse.session import build_side, row_bytes
+from tallyhouse.session import build_side, row_bytes, stage
 
 GRAINS = ("day", "month", "year")
 MAX_REPEATS = 16
 
+#: Pairs of events and periods of one key from which on the key is spread over calendar buckets.
+HOT_PAIRS = 20_000_000
+
 
 def _bucket(date: Column, grain: str) -> Column:
-    return date if grain == "day" else F.trunc(date, grain)
+    day = F.to_date(date)
+    return day if grain == "day" else F.trunc(day, grain)
 
 
 def _bucket_count(first: Column, last: Column, grain: str) -> Column:
@@ -24,6 +28,11 @@ def _bucket_count(first: Column, last: Column, grain: str) -> Column:
     return years + 1
 
 
+def _covered(on: str, date: str, start: str, end: str, closed: str) -> Column:
+    before_end = F.col(f"e.{date}") <= F.col(f"p.{end}") if closed == "both" else F.col(f"e.{date}") < F.col(f"p.{end}")
+    return (F.col(f"e.{on}") == F.col(f"p.{on}")) & (F.col(f"e.{date}") >= F.col(f"p.{start}")) & before_end
+
+
 def match_periods(
     events: DataFrame,
     periods: DataFrame,
@@ -35,19 +44,18 @@ def match_periods(
     how: str = "inner",
     closed: str = "both",
     grain: str | None = None,
+    hot_pairs: int = HOT_PAIRS,
 ) -> DataFrame:
-    """Events with every period of the same key that covers their date.
+    """Events with every period of the same key that covers their date or time.
 
     ``closed="both"`` includes both ends, so an event on a renewal day matches the old and the new period;
-    ``closed="left"`` leaves the end out. ``how="left"`` keeps events without a period.
+    ``closed="left"`` leaves the end out. ``how="left"`` keeps events without a period. Dates and times compare as Spark
+    compares them: a date is its midnight.
 
-    Each period is repeated once per calendar bucket it covers, clipped to the dates that occur in ``events``, and
-    the equi-join runs on (key, bucket): a key that holds a large share of the events or of the periods is spread
-    over its buckets, and rows only meet within one bucket. An event lies in one bucket, so no pair appears twice.
-
-    One aggregation over the periods counts the buckets. It picks the grain, unless given: the finest that repeats
-    periods at most ``MAX_REPEATS`` times on average. And it yields the size of the repeated periods, which decides
-    between a broadcast and a sort-merge join.
+    The join is on the key with the period as a condition. Keys with ``hot_pairs`` or more pairs of events and periods
+    are joined on (key, calendar bucket) instead, with the same condition: their periods are repeated once per bucket
+    that they cover, so that rows only meet within a bucket. Which keys these are is counted beforehand, both sides
+    aggregated by key; the rows returned do not depend on it. A ``grain`` puts all keys into buckets of that size.
     """
     if how not in ("inner", "left"):
         raise ValueError("how must be 'inner' or 'left'")
@@ -55,11 +63,46 @@ def match_periods(
         raise ValueError("closed must be 'both' or 'left'")
     if grain is not None and grain not in GRAINS:
         raise ValueError(f"grain must be one of {GRAINS}")
+    names = {"on": on, "date": date, "start": start, "end": end}
+    if grain is not None:
+        return _bucketed(events, periods, **names, how=how, closed=closed, grain=grain)
+
+    n_events = events.groupBy(on).agg(F.count(F.lit(1)).alias("_events"))
+    per_key = periods.groupBy(on).agg(F.count(F.lit(1)).alias("_periods"), F.sum(row_bytes(periods)).alias("_bytes"))
+    pairs = F.coalesce(F.col("_events") * F.col("_periods"), F.lit(0))
+    counted = per_key.join(n_events, on, "left").select(on, "_bytes", (pairs >= hot_pairs).alias("_hot"))
+    facts = counted.agg(
+        F.coalesce(F.sum("_bytes"), F.lit(0)).alias("bytes"), F.coalesce(F.max("_hot"), F.lit(False)).alias("hot")
+    ).first()
+    if not facts["hot"]:
+        return _plain(events, build_side(periods, facts["bytes"]), **names, how=how, closed=closed, columns=periods.columns)
+
+    hot = stage(counted.filter("_hot").select(on), "hot-keys")
+    cold_events, cold_periods = (df.join(hot, on, "left_anti").select(*df.columns) for df in (events, periods))
+    hot_events, few_periods = (df.join(hot, on, "left_semi").select(*df.columns) for df in (events, periods))
+    cold = _plain(
+        cold_events, build_side(cold_periods, facts["bytes"]), **names, how=how, closed=closed, columns=periods.columns
+    )
+    return cold.unionAll(_bucketed(hot_events, few_periods, **names, how=how, closed=closed, grain=None))
+
+
+def _plain(events, periods, *, on, date, start, end, how, closed, columns) -> DataFrame:
+    kept = [F.col(f"e.{c}") for c in events.columns] + [F.col(f"p.{c}") for c in columns if c != on]
+    return events.alias("e").join(periods.alias("p"), _covered(on, date, start, end, closed), how).select(*kept)
+
+
+def _bucketed(events, periods, *, on, date, start, end, how, closed, grain) -> DataFrame:
+    """The join on (key, bucket). An event lies in one bucket, so no pair appears twice.
+
+    Periods are clipped to the times that occur in ``events``. One aggregation over them counts the buckets: it picks
+    the finest grain that repeats periods at most ``MAX_REPEATS`` times on average, unless one is given, and yields the
+    size of the repeated periods, which decides between a broadcast and a sort-merge join.
+    """
     span = events.agg(F.struct(F.min(date).alias("lo"), F.max(date).alias("hi")).alias("span")).scalar()
     clipped = (
         periods.withColumn("_span", span)
-        .withColumn("_first", F.greatest(F.col(start), F.col("_span.lo")))
-        .withColumn("_last", F.least(F.col(end), F.col("_span.hi")))
+        .withColumn("_first", F.to_date(F.greatest(F.col(start), F.col("_span.lo"))))
+        .withColumn("_last", F.to_date(F.least(F.col(end), F.col("_span.hi"))))
         .filter(F.col("_span.lo").isNotNull() & (F.col("_first") <= F.col("_last")))
         .drop("_span")
     )
@@ -74,13 +117,7 @@ def match_periods(
 
     buckets = F.sequence(_bucket(F.col("_first"), grain), _bucket(F.col("_last"), grain), F.expr(f"interval 1 {grain}"))
     repeated = clipped.withColumn("_bucket", F.explode(buckets)).drop("_first", "_last")
-    before_end = F.col(f"e.{date}") <= F.col(f"p.{end}") if closed == "both" else F.col(f"e.{date}") < F.col(f"p.{end}")
-    covered = (
-        (F.col(f"e.{on}") == F.col(f"p.{on}"))
-        & (F.col("e._bucket") == F.col("p._bucket"))
-        & (F.col(f"e.{date}") >= F.col(f"p.{start}"))
-        & before_end
-    )
+    covered = _covered(on, date, start, end, closed) & (F.col("e._bucket") == F.col("p._bucket"))
     bucketed = events.withColumn("_bucket", _bucket(F.col(date), grain))
     kept = [F.col(f"e.{c}") for c in events.columns]
     kept += [F.col(f"p.{c}") for c in periods.columns if c != on]

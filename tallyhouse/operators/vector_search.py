@@ -1,32 +1,34 @@
-"""Exact nearest vectors by cosine distance."""
+"""Exact nearest vectors by cosine distance, for dense and for sparse vectors.
 
-from __future__ import annotations
+The queries are written once to the shared folder. Every corpus task holds some rows and streams the queries past them,
+a block at a time: one pass over the corpus for any number of queries, and nothing in the driver. A task returns k rows
+per query and slice, and those are ranked again.
+
+A vector that is missing, zero, or holds null or non-finite numbers has no distance, nor have dense vectors of unequal
+length; such rows are left out. Distances are compared at 12 digits, so that equal vectors tie however the rows were
+batched, and ties are broken by key.
+"""
 
-from collections.abc import Iterator
+from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyhouse.functions.vectors import cosine_distance
+from tallyhouse.session import scratch_path
 
+#: Corpus rows that meet the queries at once, queries of a block, and numbers of one dense slice.
+ROWS, BLOCK, SLICE = 16_384, 256, 4_000_000
 
-def nearest(corpus: DataFrame, query: DataFrame, k: int, *, key: str, vector: str) -> DataFrame:
-    """The ``k`` corpus rows nearest to the one vector that ``query`` returns, ties broken by key.
 
-    The query enters as a scalar subquery (more than one row is an error). Only key and distance take part in the
-    ordering, which keeps k rows per task; a zero or missing vector has no distance, sorts last and is left out.
-    """
-    distance = cosine_distance(F.col(vector), F.col("_query"))
-    return (
-        corpus.select(key, vector)
-        .withColumn("_query", query.scalar())
-        .select(key, distance.alias("distance"))
-        .orderBy(F.col("distance").asc_nulls_last(), key)
-        .limit(k)
-        .filter(F.col("distance").isNotNull())
-    )
+def nearest(corpus: DataFrame, query: DataFrame, k: int, *, key: str, vector: str) -> DataFrame:
+    """The ``k`` corpus rows nearest to the one vector that ``query`` returns, ties broken by key."""
+    column = query.columns[0]
+    one = F.assert_true(F.count(F.lit(1)) <= 1, F.lit("more than one query vector"))
+    single = query.agg(F.first(column).alias(column), one.alias("_one"))
+    asked = single.select(F.coalesce(F.col("_one").cast("long"), F.lit(0).cast("long")).alias("_query"), column)
+    found = nearest_for_each(corpus, asked, k, key=key, vector=vector, query_key="_query", query_vector=column)
+    return found.select(key, "distance").orderBy("distance", key).limit(k)
 
 
 def nearest_for_each(
@@ -38,15 +40,15 @@ def nearest_for_each(
     vector: str,
     query_key: str,
     query_vector: str,
-    block: int = 4096,
+    block: int = BLOCK,
 ) -> DataFrame:
     """The ``k`` nearest corpus rows of every query, as (query_key, key, distance).
 
-    Queries are taken in blocks of ``block`` vectors, one corpus pass per block. Within a task each slice of rows is
-    one matrix product, and a task returns the k best rows per query, so (query, corpus) pairs are neither written
-    out nor shuffled; the final ranking sees k rows per query and task. Distances are compared at 12 digits, so that
-    equal vectors tie however the rows were batched, and ties are broken by key.
+    Vectors are arrays of numbers, or sparse: arrays of (bucket, weight).
     """
+    spark = corpus.sparkSession
+    path = scratch_path(spark, "queries")
+    queries.select(query_key, query_vector).write.parquet(path)
     schema = T.StructType(
         [
             T.StructField(query_key, queries.schema[query_key].dataType),
@@ -54,72 +56,122 @@ def nearest_for_each(
             T.StructField("distance", T.DoubleType()),
         ]
     )
+    sparse = isinstance(corpus.schema[vector].dataType.elementType, T.StructType)
     usable = corpus.select(key, vector).filter(F.col(vector).isNotNull())
-    partial = None
-    for names, vectors in _blocks(queries.select(query_key, query_vector), block):
-        best = usable.mapInPandas(_block_search(names, vectors, k, key, vector, query_key), schema)
-        partial = best if partial is None else partial.unionAll(best)
-    if partial is None:
-        return corpus.sparkSession.createDataFrame([], schema)
+    if not sparse:
+        usable = usable.select(key, F.col(vector).cast("array<double>").alias(vector))
+    stored = path if "://" in path else f"file://{path}"
+    partial = usable.mapInArrow(_search(stored, k, sparse, block, schema.names), schema)
     ranked = Window.partitionBy(query_key).orderBy("distance", key)
     return partial.withColumn("_rank", F.row_number().over(ranked)).filter(F.col("_rank") <= k).drop("_rank")
 
 
-def _blocks(queries: DataFrame, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Names and unit vectors of the queries that have a direction."""
-    names, vectors = [], []
-    for name, vector in queries.filter(F.col(queries.columns[1]).isNotNull()).toLocalIterator():
-        length = np.linalg.norm(np.asarray(vector, dtype="float64"))
-        if length > 0:
-            names.append(name)
-            vectors.append(np.asarray(vector, dtype="float64") / length)
-        if len(names) == block:
-            yield np.asarray(names), np.stack(vectors)
-            names, vectors = [], []
-    if names:
-        yield np.asarray(names), np.stack(vectors)
-
-
-def _block_search(names: np.ndarray, targets: np.ndarray, k: int, key: str, vector: str, query_key: str):
+def _search(stored: str, k: int, sparse: bool, block: int, names: list[str]):
     # A closure with local imports only, so that executors need no installed copy of this package.
+    rows_at_once, slice_numbers = ROWS, SLICE
+
     def search(batches):
         import numpy as np
-        import pandas as pd
-
-        step = max(1, 4_000_000 // len(names))
-        best_distances = best_ids = None
-        for batch in batches:
-            for start in range(0, len(batch), step):
-                part = batch.iloc[start : start + step].sort_values(key)
-                points = np.stack(part[vector].to_numpy()).astype("float64")
-                ids = part[key].to_numpy()
-                if ids.dtype == object:
-                    ids = ids.astype(str)
-                lengths = np.linalg.norm(points, axis=1)
-                alive = lengths > 0
-                if not alive.any():
-                    continue
-                points, ids = points[alive] / lengths[alive, None], ids[alive]
-                distances = np.round(1.0 - targets @ points.T, 12)
-                if len(ids) > k:
-                    # Exactly k columns per query: all below the k-th distance, then ties at it by ascending id.
-                    edge = np.partition(distances, k - 1, axis=1)[:, k - 1 : k]
-                    below, ties = distances < edge, distances == edge
-                    room = k - below.sum(axis=1, keepdims=True)
-                    columns = np.nonzero(below | (ties & (np.cumsum(ties, axis=1) <= room)))[1].reshape(-1, k)
-                    distances, near = np.take_along_axis(distances, columns, axis=1), ids[columns]
-                else:
-                    near = np.broadcast_to(ids, distances.shape)
-                if best_ids is not None:
-                    distances = np.hstack([best_distances, distances])
-                    near = np.hstack([best_ids, near])
-                order = np.lexsort((near, distances), axis=1)[:, :k]
-                best_distances = np.take_along_axis(distances, order, axis=1)
-                best_ids = np.take_along_axis(near, order, axis=1)
-        if best_ids is not None:
-            found = best_ids.shape[1]
-            yield pd.DataFrame(
-                {query_key: np.repeat(names, found), key: best_ids.ravel(), "distance": best_distances.ravel()}
-            )
+        import pyarrow as pa
+        import pyarrow.dataset as pads
+        import pyarrow.fs as pafs
+
+        def dense_groups(column):
+            """(rows, unit vectors) of each length."""
+            lists = column.cast(pa.list_(pa.float64()))
+            lengths = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype("int64")
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            ends = np.cumsum(lengths)
+            for d in np.unique(lengths[lengths > 0]):
+                rows = np.flatnonzero(lengths == d)
+                values = flat[(ends[rows] - d)[:, None] + np.arange(d)]
+                norms = np.linalg.norm(values, axis=1)
+                sound = np.isfinite(norms) & (norms > 0)
+                yield int(d), rows[sound], values[sound] / norms[sound, None]
+
+        def sparse_rows(column):
+            """(rows with a direction, row and bucket and unit weight of each entry)."""
+            lengths = np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False)).astype("int64")
+            entries = column.flatten()
+            bucket = entries.field(0).to_numpy(zero_copy_only=False).astype("int64")
+            weight = entries.field(1).to_numpy(zero_copy_only=False).astype("float64")
+            row = np.repeat(np.arange(len(column)), lengths)
+            norms = np.sqrt(np.bincount(row, weights=weight * weight, minlength=len(column)))
+            sound = np.isfinite(norms) & (norms > 0)
+            keep = sound[row]
+            return np.flatnonzero(sound), row[keep], bucket[keep], weight[keep] / norms[row[keep]]
+
+        def best(distances, ids):
+            """(query, row) of exactly k per query: by distance, then by id; ``ids`` come in rising order."""
+            if distances.shape[1] > k:
+                edge = np.partition(distances, k - 1, axis=1)[:, k - 1 : k]
+                below, ties = distances < edge, distances == edge
+                room = k - below.sum(axis=1, keepdims=True)
+                return np.nonzero(below | (ties & (np.cumsum(ties, axis=1) <= room)))
+            return np.nonzero(np.ones(distances.shape, bool))
+
+        def result(asked, query_rows, ids, id_rows, distances):
+            distances = np.round(distances, 12)
+            order = np.argsort(ids[id_rows], kind="stable")
+            distances, id_rows = distances[:, order], id_rows[order]
+            query, row = best(distances, ids[id_rows])
+            arrays = [
+                asked.column(0).take(pa.array(query_rows[query])),
+                keys.take(pa.array(id_rows[row])),
+                pa.array(distances[query, row]),
+            ]
+            return pa.RecordBatch.from_arrays(arrays, names=names)
+
+        def dense(table, asked, ids):
+            queries = {d: (rows, vectors) for d, rows, vectors in dense_groups(asked.column(1))}
+            for d, rows, points in table:
+                if d in queries and len(rows) and len(queries[d][0]):
+                    query_rows, targets = queries[d]
+                    yield result(asked, query_rows, ids, rows, 1.0 - targets @ points.T)
+
+        def sparse_match(table, asked, ids):
+            rows, row, bucket, weight = table
+            query_rows, q_row, q_bucket, q_weight = sparse_rows(asked.column(1))
+            if not len(query_rows) or not len(rows):
+                return
+            vocabulary = np.unique(q_bucket)
+            targets = np.zeros((asked.num_rows, len(vocabulary)))
+            np.add.at(targets, (q_row, np.searchsorted(vocabulary, q_bucket)), q_weight)
+            targets = targets[query_rows]
+            at = np.minimum(np.searchsorted(vocabulary, bucket), len(vocabulary) - 1)
+            hit = vocabulary[at] == bucket
+            row, at, weight = row[hit], at[hit], weight[hit]
+            similarity = np.zeros((len(query_rows), len(ids)))
+            step = max(1, slice_numbers // len(vocabulary))
+            for first in range(0, len(ids), step):
+                low, high = np.searchsorted(row, [first, first + step])
+                part = np.zeros((min(step, len(ids) - first), len(vocabulary)))
+                np.add.at(part, (row[low:high] - first, at[low:high]), weight[low:high])
+                similarity[:, first : first + len(part)] = targets @ part.T
+            yield result(asked, query_rows, ids, rows, 1.0 - similarity[:, rows])
+
+        def slices():
+            held, n = [], 0
+            for batch in batches:
+                for first in range(0, batch.num_rows, rows_at_once):
+                    part = batch.slice(first, rows_at_once)
+                    held.append(part)
+                    n += part.num_rows
+                    if n >= rows_at_once:
+                        yield pa.Table.from_batches(held).combine_chunks()
+                        held, n = [], 0
+            if n:
+                yield pa.Table.from_batches(held).combine_chunks()
+
+        system, place = pafs.FileSystem.from_uri(stored)
+        for part in slices():
+            keys, column = part.column(0).chunk(0), part.column(1).chunk(0)
+            ids = keys.to_numpy(zero_copy_only=False)
+            ids = ids.astype(str) if ids.dtype == object else ids
+            table = sparse_rows(column) if sparse else list(dense_groups(column))
+            asked_blocks = pads.dataset(place, filesystem=system, format="parquet").to_batches(batch_size=block)
+            for asked in asked_blocks:
+                if asked.num_rows:
+                    yield from (sparse_match if sparse else dense)(table, asked, ids)
 
     return search

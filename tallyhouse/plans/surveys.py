@@ -24,6 +24,7 @@ from tallyhouse.operators.scoring import (
 )
 from tallyhouse.operators.topk import largest_rows
 from tallyhouse.operators.vector_search import nearest, nearest_for_each
+from tallyhouse.session import stage
 
 ASSIGNED = ("survey_filename", "policy_id", "account_id", "earned_premium")
 
@@ -105,11 +106,12 @@ def search_texts(texts: DataFrame, question: str, k: int = 2, *, key: str, text:
     embedder, corpus = embed_corpus(texts, key, text, "_vector")
     asked = texts.sparkSession.createDataFrame([(0, question)], "_question long, _words string")
     query = embedder.transform(asked, "_question", "_words", "_vector").select("_vector")
-    found = nearest(corpus, query, k, key=key, vector="_vector")
-    # Only the k keys go back to the texts.
+    found = stage(nearest(corpus, query, k, key=key, vector="_vector"), "found")
+    # Only the k keys go back to the texts; as literals they reach the files' statistics.
+    keys = [row[key] for row in found.select(key).collect()]
+    few = texts.select(key, text).filter(F.col(key).isin(keys) if keys else F.lit(False))
     return (
-        texts.select(key, text)
-        .join(F.broadcast(found), key)
+        few.join(F.broadcast(found), key)
         .select(key, text, F.round("distance", 3).alias("cosine_distance"))
         .orderBy("cosine_distance", key)
     )

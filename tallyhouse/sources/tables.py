@@ -23,7 +23,14 @@ def create_schema(spark: SparkSession, name: str, location: str | None = None) -
 
 
 def create_table(spark: SparkSession, name: str, schema: T.StructType, location: str) -> None:
-    """Empty typed table over ``location``, column comments included, replacing the catalog entry."""
+    """Empty typed table over ``location``, column comments included, replacing the catalog entry.
+
+    A location that holds files is refused, as they would be rows of the table.
+    """
+    place = spark._jvm.org.apache.hadoop.fs.Path(location)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if system.exists(place) and len(system.listStatus(place)):
+        raise ValueError(f"{location} is not empty")
     columns = []
     for field in schema.fields:
         comment = (field.metadata or {}).get("comment")

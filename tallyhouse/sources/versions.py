@@ -1,8 +1,12 @@
 """A table with snapshot history on plain Parquet.
 
-Every commit writes its rows to a folder of its own and then appends one row to a log table; a snapshot is the set of
-folders its log row lists, read with the schema of that row. Rows of a commit that failed before its log row are in a
-folder that no snapshot lists. One writer at a time; readers never see half a commit.
+Every commit writes its rows to a folder of its own and then publishes one log entry under the next version number. An
+entry names the folder that it adds (or the one that replaces all), so the log grows by one small file a commit; a
+snapshot is what the entries up to its version add up to, read with the schema of that entry.
+
+Entries are published by a rename that fails if the version is there: of two writers with the same parent, one raises
+``CommitConflict`` and none is lost. Rows of a commit without an entry are in a folder that no snapshot names, so readers
+never see half a commit.
 """
 
 from __future__ import annotations
@@ -10,12 +14,13 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Sequence
+from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyhouse.session import broadcast_within, stage
+from tallyhouse.session import build_side, row_bytes, stage
 
 LOG = T.StructType(
     [
@@ -24,32 +29,44 @@ LOG = T.StructType(
         T.StructField("parent_id", T.StringType()),
         T.StructField("made_current_at", T.TimestampType()),
         T.StructField("operation", T.StringType()),
-        T.StructField("folders", T.ArrayType(T.StringType())),
+        T.StructField("folder", T.StringType()),
+        T.StructField("replaces", T.BooleanType()),
         T.StructField("row_count", T.LongType()),
         T.StructField("schema_json", T.StringType()),
+        T.StructField("batch", T.StringType()),
     ]
 )
 
+NOT_SNAPSHOTS = ("create", "alter")
+
+
+class CommitConflict(RuntimeError):
+    """Another writer has published the version that this commit wanted."""
+
 
 class VersionedTable:
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self.path = path.rstrip("/")
+        self._known: list[dict] = []
+        self._view: str | None = None
 
     @classmethod
     def create(cls, spark: SparkSession, path: str, schema: T.StructType) -> VersionedTable:
+        """An empty table, all columns nullable. Raises ``CommitConflict`` if there is one at ``path``."""
         table = cls(spark, path)
-        table._record("create", None, [], 0, schema)
+        nullable = T.StructType([T.StructField(f.name, f.dataType, True, f.metadata) for f in schema.fields])
+        table._publish("create", None, None, False, 0, nullable)
         return table
 
     def log(self) -> DataFrame:
-        return self.spark.read.schema(LOG).parquet(f"{self.path}/log")
+        return self.spark.read.schema(LOG).json(f"{self.path}/log")
 
     def history(self) -> DataFrame:
         """Snapshots in the order in which they became current. The history is linear, so all are ancestors."""
         return (
             self.log()
-            .filter(~F.col("operation").isin("create", "alter"))
+            .filter(~F.col("operation").isin(*NOT_SNAPSHOTS))
             .select(
                 "version",
                 "made_current_at",
@@ -63,37 +80,50 @@ class VersionedTable:
         )
 
     def current_snapshot_id(self) -> str | None:
-        return self._entry(None)["snapshot_id"]
+        return self.entries()[-1]["snapshot_id"]
 
     def read(self, snapshot_id: str | None = None) -> DataFrame:
         """The rows and the schema of a snapshot, by default the current state (with columns added since)."""
-        entry = self._entry(snapshot_id)
-        schema = T.StructType.fromJson(json.loads(entry["schema_json"]))
-        if not entry["folders"]:
+        entries = self._upto(snapshot_id)
+        schema = _schema(entries[-1])
+        folders: list[str] = []
+        for entry in entries:
+            if entry["folder"] is not None:
+                folders = [entry["folder"]] if entry["replaces"] else [*folders, entry["folder"]]
+        if not folders:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*[f"{self.path}/data/{f}" for f in entry["folders"]])
-
-    def append(self, df: DataFrame) -> str:
-        """Add rows; a column the rows lack is NULL."""
-        entry = self._entry(None)
-        schema = T.StructType.fromJson(json.loads(entry["schema_json"]))
+        return self.spark.read.schema(schema).parquet(*[f"{self.path}/data/{f}" for f in folders])
+
+    def expose(self, name: str) -> None:
+        """Make the current state readable as ``spark.table(name)``; commits through this object keep it current."""
+        self._view = name
+        self.read().createOrReplaceTempView(name)
+
+    def append(self, df: DataFrame, batch: str | None = None) -> str:
+        """Add rows; a column the rows lack is NULL. A ``batch`` that is in the log already adds nothing."""
+        entries = self.entries()
+        if batch is not None:
+            done = [e for e in entries if e["batch"] == batch]
+            if done:
+                return done[-1]["snapshot_id"]
+        schema = _schema(entries[-1])
         extra = set(df.columns) - set(schema.names)
         if extra:
             raise ValueError(f"add these columns first: {sorted(extra)}")
-        folder, rows = self._write(_conform(df, schema), schema)
-        return self._record("append", entry, [*entry["folders"], folder], entry["row_count"] + rows, schema)
+        folder, rows = self._write(_conform(df, schema))
+        return self._publish("append", entries[-1], folder, False, entries[-1]["row_count"] + rows, schema, batch)
 
     def replace(self, df: DataFrame, operation: str = "overwrite") -> str:
         """Replace all rows in one commit; earlier snapshots stay readable, also while ``df`` reads this table."""
-        folder, rows = self._write(df, df.schema)
-        return self._record(operation, self._entry(None), [folder], rows, df.schema)
+        parent = self.entries()[-1]
+        folder, rows = self._write(df)
+        return self._publish(operation, parent, folder, True, rows, df.schema)
 
     def add_columns(self, fields: Sequence[T.StructField]) -> None:
         """New nullable columns, without touching any data."""
-        entry = self._entry(None)
-        schema = T.StructType.fromJson(json.loads(entry["schema_json"]))
-        wider = T.StructType([*schema.fields, *fields])
-        self._record("alter", entry, entry["folders"], entry["row_count"], wider)
+        parent = self.entries()[-1]
+        wider = T.StructType([*_schema(parent).fields, *fields])
+        self._publish("alter", parent, None, False, parent["row_count"], wider)
 
     def backfill(self, rules: DataFrame, *, key: str, column: str, default: Column) -> str:
         """Set ``column`` on every row in one commit: from the rule with the row's key, else ``default``.
@@ -102,39 +132,87 @@ class VersionedTable:
         """
         return self.replace(conditional_update(self.read(), rules, key=key, column=column, default=default), "merge")
 
-    def _entry(self, snapshot_id: str | None) -> Row:
-        log = self.log()
-        if snapshot_id is not None:
-            log = log.filter((F.col("snapshot_id") == snapshot_id) & ~F.col("operation").isin("create", "alter"))
-        found = log.orderBy(F.col("version").desc()).first()
-        if found is None:
+    def entries(self) -> list[dict]:
+        """All log entries by version, one small file each; known ones are not read again."""
+        hadoop = self.spark._jvm.org.apache.hadoop
+        folder = hadoop.fs.Path(f"{self.path}/log")
+        system = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not system.exists(folder):
+            raise ValueError(f"no table at {self.path}")
+        names = sorted(f.getPath().getName() for f in system.listStatus(folder))
+        for name in names[len(self._known) :]:
+            stream = system.open(hadoop.fs.Path(folder, name))
+            try:
+                self._known.append(json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
+            finally:
+                stream.close()
+        return list(self._known)
+
+    def _upto(self, snapshot_id: str | None) -> list[dict]:
+        entries = self.entries()
+        if snapshot_id is None:
+            return entries
+        at = [k for k, e in enumerate(entries) if e["snapshot_id"] == snapshot_id and e["operation"] not in NOT_SNAPSHOTS]
+        if not at:
             raise ValueError(f"no snapshot {snapshot_id}")
-        return found
-
-    def _write(self, df: DataFrame, schema: T.StructType) -> tuple[str, int]:
-        folder = uuid.uuid4().hex
-        path = f"{self.path}/data/{folder}"
-        df.write.parquet(path)
-        # Counted from the footers of the files just written.
-        return folder, self.spark.read.schema(schema).parquet(path).count()
-
-    def _record(self, operation: str, parent: Row | None, folders: Sequence[str], rows: int, schema: T.StructType) -> str:
+        return entries[: at[0] + 1]
+
+    def _write(self, df: DataFrame) -> tuple[str, int]:
+        folder, counted = uuid.uuid4().hex, Observation()
+        df.observe(counted, F.count(F.lit(1)).alias("n")).write.parquet(f"{self.path}/data/{folder}")
+        return folder, counted.get["n"]
+
+    def _publish(
+        self,
+        operation: str,
+        parent: dict | None,
+        folder: str | None,
+        replaces: bool,
+        rows: int,
+        schema: T.StructType,
+        batch: str | None = None,
+    ) -> str | None:
         kept = operation == "alter"
         parent_id = parent["snapshot_id"] if parent else None
-        snapshot_id = parent_id if kept else (None if operation == "create" else uuid.uuid4().hex)
-        values = {
-            "version": F.lit(parent["version"] + 1 if parent else 0),
-            "snapshot_id": F.lit(snapshot_id),
-            "parent_id": F.lit(parent["parent_id"] if kept and parent else parent_id),
-            "made_current_at": F.current_timestamp(),
-            "operation": F.lit(operation),
-            "folders": F.split(F.lit(" ".join(folders)), " ") if folders else F.array(),
-            "row_count": F.lit(rows),
-            "schema_json": F.lit(schema.json()),
+        entry = {
+            "version": parent["version"] + 1 if parent else 0,
+            "snapshot_id": parent_id if kept else (None if operation == "create" else uuid.uuid4().hex),
+            "parent_id": parent["parent_id"] if kept and parent else parent_id,
+            "made_current_at": datetime.now(timezone.utc).isoformat(),
+            "operation": operation,
+            "folder": folder,
+            "replaces": replaces,
+            "row_count": rows,
+            "schema_json": schema.json(),
+            "batch": batch,
         }
-        row = [values[f.name].cast(f.dataType).alias(f.name) for f in LOG.fields]
-        self.spark.range(0, 1, 1, 1).select(*row).write.mode("append").parquet(f"{self.path}/log")
-        return snapshot_id
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        conf = self.spark._jsc.hadoopConfiguration()
+        log = hadoop.Path(f"{self.path}/log")
+        draft = hadoop.Path(f"{self.path}/drafts/{uuid.uuid4().hex}")
+        system = log.getFileSystem(conf)
+        system.mkdirs(log)
+        with_bytes = system.create(draft, False)
+        with_bytes.write(bytearray(json.dumps(entry).encode()))
+        with_bytes.close()
+        target = hadoop.Path(log, f"{entry['version']:020d}.json")
+        no_options = self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            hadoop.FileContext.getFileContext(log.toUri(), conf).rename(
+                system.makeQualified(draft), system.makeQualified(target), no_options
+            )
+        except Exception as error:
+            system.delete(draft, False)
+            if system.exists(target):
+                raise CommitConflict(f"version {entry['version']} of {self.path} is there already") from error
+            raise
+        if self._view is not None:
+            self.expose(self._view)
+        return entry["snapshot_id"]
+
+
+def _schema(entry: dict) -> T.StructType:
+    return T.StructType.fromJson(json.loads(entry["schema_json"]))
 
 
 def _conform(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -150,10 +228,15 @@ def conditional_update(target: DataFrame, rules: DataFrame, *, key: str, column:
     """All rows of ``target`` with ``column`` taken from the matching rule, or ``default`` where none matches."""
     # Staged once: a generated id or time in a rule is one value for all rows it applies to.
     fixed = stage(rules.select(F.col(key).alias("_key"), F.col(column).alias("_value"), F.lit(True).alias("_hit")), "rules")
-    repeated = fixed.filter(F.col("_key").isNotNull()).groupBy("_key").count().filter(F.col("count") > 1)
-    if not repeated.isEmpty():
+    facts = (
+        fixed.groupBy("_key")
+        .agg(F.count(F.lit(1)).alias("n"), F.sum(row_bytes(fixed)).alias("b"))
+        .agg(F.max(F.when(F.col("_key").isNotNull(), F.col("n"))).alias("most"), F.sum("b").alias("bytes"))
+        .first()
+    )
+    if (facts["most"] or 0) > 1:
         raise ValueError("several rules have the same key")
     kind = target.schema[column].dataType
     value = F.when(F.col("_hit"), F.col("_value").cast(kind)).otherwise(default.cast(kind))
-    joined = target.join(broadcast_within(fixed), F.col(key) == F.col("_key"), "left")
+    joined = target.join(build_side(fixed, facts["bytes"] or 0), F.col(key) == F.col("_key"), "left")
     return joined.select(*[value.alias(c) if c == column else F.col(c) for c in target.columns])

@@ -11,8 +11,8 @@ from tallyhouse import jobs, session
 from tallyhouse.operators import tenancy
 from tallyhouse.plans import lakehouse
 from tallyhouse.sources import files, schemas, tables
-from tallyhouse.sources.versions import VersionedTable, conditional_update
-from tallyhouse.streaming.ingest import ingest_files
+from tallyhouse.sources.versions import CommitConflict, VersionedTable, conditional_update
+from tallyhouse.streaming.ingest import ingest_files, ingest_into
 
 
 @pytest.fixture
@@ -294,3 +294,46 @@ def test_jobs(spark, path, capsys):
     assert "a line of finance data" in capsys.readouterr().out
     with pytest.raises(AnalysisException):
         jobs.main(["show-text", f"{path}/missing"])
+
+
+def test_of_two_writers_one_raises_and_no_rows_are_lost(spark, path):
+    VersionedTable.create(spark, path, spark.range(0).schema)
+    one, two = VersionedTable(spark, path), VersionedTable(spark, path)
+    parent = two.entries()[-1]
+    one.append(spark.range(3))
+    folder, rows = two._write(spark.range(5))
+    with pytest.raises(CommitConflict):
+        two._publish("append", parent, folder, False, rows, spark.range(0).schema)
+    two.append(spark.range(5))
+    assert one.read().count() == 8 and one.history().count() == 2
+
+
+def test_create_on_an_existing_table_raises(spark, path):
+    table = VersionedTable.create(spark, path, spark.range(0).schema)
+    table.append(spark.range(2))
+    with pytest.raises(CommitConflict):
+        VersionedTable.create(spark, path, spark.range(0).schema)
+    assert table.read().count() == 2
+
+
+def test_a_versioned_table_is_read_by_name(spark, path):
+    table = VersionedTable.create(spark, path, spark.range(0).schema)
+    table.expose("tallyhouse_current")
+    table.append(spark.range(4))
+    assert spark.table("tallyhouse_current").count() == 4
+
+
+def test_ingested_batches_are_commits_and_repeats_add_nothing(spark, path):
+    spark.range(50).repartition(5).write.parquet(f"{path}/in")
+    table = VersionedTable.create(spark, f"{path}/t", spark.range(0).schema)
+    for _ in range(2):
+        ingest_into(table, f"{path}/in", spark.range(0).schema, f"{path}/check", files_per_batch=2)
+    assert table.read().count() == 50 and table.history().count() == 3
+    table.append(spark.range(9), batch=f"{path}/check#1")
+    assert table.read().count() == 50
+
+
+def test_a_typed_table_refuses_a_used_location(spark, path):
+    spark.range(4).write.parquet(f"{path}/old")
+    with pytest.raises(ValueError):
+        tables.create_table(spark, "tallyhouse_used", spark.range(0).schema, f"{path}/old")

@@ -1,4 +1,4 @@
-from datetime import date
+from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +7,7 @@ import literal_rows as rows
 from tallyhouse.functions.labels import HAZARD_AREAS
 from tallyhouse.operators.benchmarks import cost_ratios, performance_index, with_group_mean
 from tallyhouse.operators.paths import Edge, Node, match_path
-from tallyhouse.operators.periods import match_periods
+from tallyhouse.operators.periods import GRAINS, match_periods
 from tallyhouse.operators.scoring import composite_scores, losses_by_account, rating_scores, segment_weights
 from tallyhouse.plans import surveys as plan
 
@@ -117,7 +117,7 @@ def test_grain_follows_the_length_of_the_periods(spark):
 
     def bucket_of(end):
         periods = spark.createDataFrame([("a", date(2020, 5, 17), end)], "k string, s date, e date")
-        matched = match_periods(events, periods, on="k", date="d", start="s", end="e")
+        matched = match_periods(events, periods, on="k", date="d", start="s", end="e", hot_pairs=1)
         text = matched._jdf.queryExecution().optimizedPlan().toString()
         return next((g for g in ("DAY", "MONTH", "YEAR") if f"INTERVAL '1' {g}" in text), None)
 
@@ -236,3 +236,25 @@ def test_paths_are_a_bag_and_the_filter_may_be_at_either_end(spark, filtered):
     assert sorted(tuple(r) for r in found.collect()) == ends
     with pytest.raises(ValueError):
         match_path([Node("a", nodes, "id")], [Edge(links, "s", "t")])
+
+
+@pytest.mark.parametrize("kind", ["date", "timestamp", "timestamp_ntz"])
+@pytest.mark.parametrize("closed", ["both", "left"])
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_every_grain_equals_brute_force(spark, kind, closed, how):
+    base = datetime(2024, 1, 1)
+    times = [base + timedelta(days=d % 70, hours=7 * d % 24) for d in range(90)]
+    events = [(i, None if i == 5 else "ab"[i % 2], t) for i, t in enumerate(times)]
+    spans = [(n, "ab"[n % 2], base + timedelta(days=3 * n), base + timedelta(days=3 * n + n % 40)) for n in range(22)]
+    cut = (lambda t: datetime(t.year, t.month, t.day)) if kind == "date" else (lambda t: t)
+    inside = (lambda t, e: t <= e) if closed == "both" else (lambda t, e: t < e)
+    pairs = {(i, n) for i, k, t in events for n, q, s, e in spans if k == q and s <= cut(t) and inside(cut(t), e)}
+    if how == "left":
+        pairs |= {(i, None) for i, _, _ in events if i not in {a for a, _ in pairs}}
+    left = spark.createDataFrame(events, "id long, k string, at timestamp_ntz").withColumn("at", F.col("at").cast(kind))
+    right = spark.createDataFrame(spans, "n long, k string, s timestamp_ntz, e timestamp_ntz")
+    for ends in ("date", kind):
+        periods = right.withColumn("s", F.col("s").cast(ends)).withColumn("e", F.col("e").cast(ends))
+        for options in ({}, {"hot_pairs": 1}, {"hot_pairs": 500}, *({"grain": g} for g in GRAINS)):
+            got = match_periods(left, periods, on="k", date="at", start="s", end="e", how=how, closed=closed, **options)
+            assert sorted(map(str, ((r["id"], r["n"]) for r in got.collect()))) == sorted(map(str, pairs)), options

@@ -102,23 +102,33 @@ def test_embedding_matches_plain_python(spark):
     embedder, vectors = embed_corpus(df, "id", "t", "v", dim)
     weights, _ = _embed(texts, dim)
     n = len(texts) + 1  # the NULL text counts as a row without words
-    assert embedder.weights == pytest.approx([w + math.log((n + 1) / n) for w in weights])
-    got = {r["id"]: r["v"] for r in vectors.collect()}
+    full = [embedder.weights.get(b, embedder.unseen) for b in range(dim)]
+    assert full == pytest.approx([w + math.log((n + 1) / n) for w in weights])
+    got = {r["id"]: _dense(r["v"], dim) for r in vectors.collect()}
     assert got[99] is None and got[4] == [0.0] * dim
-    raw = np.array([[_count(texts[i], b, dim) * embedder.weights[b] for b in range(dim)] for i in range(6)])
+    raw = np.array([[_count(texts[i], b, dim) * full[b] for b in range(dim)] for i in range(6)])
     for i in (0, 1, 2, 3, 5):
         assert got[i] == pytest.approx(raw[i] / np.linalg.norm(raw[i]))
-    again = {r["id"]: r["v"] for r in embedder.transform(df, "id", "t", "v").collect()}
+    again = {r["id"]: _dense(r["v"], dim) for r in embedder.transform(df, "id", "t", "v").collect()}
     assert again == got
 
 
+def _dense(entries, dim):
+    if entries is None:
+        return None
+    out = [0.0] * dim
+    for entry in entries:
+        out[entry["bucket"]] = entry["weight"]
+    return out
+
+
 def _count(text, bucket, dim):
     return sum(_bucket(w, dim) == bucket for w in re.findall(r"[^\W_]+", text.lower()))
 
 
 def test_empty_corpus(spark):
     embedder = fit_embedder(bucket_words(spark.createDataFrame([], "id long, t string"), "id", "t", 8), 8)
-    assert embedder.weights == (0.0,) * 8
+    assert embedder.weights == {} and embedder.unseen == 0.0
 
 
 def test_text_search_finds_shared_words(spark):
@@ -130,3 +140,22 @@ def test_text_search_finds_shared_words(spark):
     questions = spark.createDataFrame([(1, "dual interlock safety switches"), (2, "footwear tread depth")], "q long, words string")
     each = search_texts_for_each(df, questions, 1, key="survey_filename", text="content", question_key="q", question="words")
     assert {r["q"]: r["survey_filename"] for r in each.collect()} == {1: "atlas-forging", 2: "precision-castings"}
+
+
+def test_long_texts_keep_their_neighbours(spark):
+    """Many distinct words: no bucket is common to all texts, so that weights stay above zero."""
+    long = [" ".join(f"w{i}x{j}" for j in range(3000)) + f" shared{i // 2}" * 20 for i in range(20)]
+    df = spark.createDataFrame(list(enumerate(long)), "id long, t string")
+    found = search_texts(df, "shared3 shared3", 2, key="id", text="t")
+    assert [r["id"] for r in found.collect()] == [6, 7]
+
+
+def test_unequal_lengths_and_unsound_numbers_have_no_distance(spark):
+    df = spark.createDataFrame(
+        [(1, [1.0, 0.0]), (2, [1.0]), (3, [float("nan"), 1.0]), (4, [None, 1.0]), (5, [0.5, 0.5]), (6, [])],
+        "id long, v array<double>",
+    )
+    query = spark.createDataFrame([([1.0, 0.0],)], "q array<double>")
+    assert [r["id"] for r in nearest(df, query, 9, key="id", vector="v").collect()] == [1, 5]
+    with pytest.raises(Exception, match="more than one"):
+        nearest(df, query.union(query), 1, key="id", vector="v").collect()

@@ -14,10 +14,11 @@ from tallyhouse.operators import benchmarks, embedding, features, grouping, outl
 from tallyhouse.operators.paths import Edge, Node, match_path
 from tallyhouse.operators.vector_search import nearest, nearest_for_each
 from tallyhouse.plans import lakehouse, sales as sales_plan, surveys as survey_plan, trades as trade_plan
-from tallyhouse.session import broadcast_within, scratch_path
+from tallyhouse.operators.periods import match_periods
+from tallyhouse.session import broadcast_within, scratch_path, stage
 from tallyhouse.sources import files, generate, schemas, tables
 from tallyhouse.sources.versions import VersionedTable, conditional_update
-from tallyhouse.streaming.ingest import ingest_files
+from tallyhouse.streaming.ingest import ingest_into
 from workload import inputs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -150,6 +151,55 @@ def a15_append_visible(spark, sf):
     return tables.union_by_position(*seen)
 
 
+@query
+def a8_literal_lookup(spark, sf):
+    """Causes as literal rows, left-joined to the claims."""
+    causes = [(code, area) for area, codes in labels.CAUSE_CODES.items() for code in codes]
+    lookup = tables.literal_rows(spark, causes, "cause_code string, hazard_area string")
+    joined = inputs.claims(spark, sf).join(broadcast_within(lookup), "cause_code", "left")
+    return joined.groupBy("cause_code", "hazard_area").agg(F.count(F.lit(1)).alias("n_claims"))
+
+
+@query
+def a15_record_batch(spark, sf):
+    """All trades as the first commit, then a batch of records (one without a side) and an empty one."""
+    trades = inputs.trades(spark, sf).withColumn("cat_compliance", F.lit(None).cast(_compliance_type()))
+    table = VersionedTable.create(spark, scratch_path(spark, "a15"), trades.schema)
+    table.append(trades)
+    record = {"trade_id": "batch-1", "ticker": "NVDA", "price": 150.25, "quantity": 10, "trade_side": "BUY"}
+    record["cat_compliance"] = {**lakehouse.HFT, "session_id": SESSION_ID}
+    bare = {"trade_id": "batch-2", "ticker": "NVDA", "price": 150.5, "quantity": 20}
+    for batch in ([record, bare], []):
+        if batch:
+            table.append(tables.rows_from_dicts(spark, batch, table.read().schema))
+    shown = table.read().select("trade_id", "ticker", "price", "quantity", "trade_side", "cat_compliance.reporter_id")
+    return shown
+
+
+@query
+def a16_given_schema(spark, sf):
+    """Name and type of the columns of the given tables."""
+    shown = [
+        files.schema_rows(spark.read.parquet(f"{sf}/{name}.parquet")).select(F.lit(name).alias("table_name"), "name", "type")
+        for name in ("orders", "events", "customer")
+    ]
+    return tables.union_by_position(*shown)
+
+
+@query
+def k6_drop(spark, sf):
+    """A table made from the orders, counted, and dropped: its rows, and the tables of its name before and after."""
+    path = scratch_path(spark, "k6")
+    name = f"tallyhouse_drop_{path[-32:]}"
+    tables.replace_table(inputs.table(spark, sf, "orders"), name, f"{path}/orders")
+    counted = tables.scan_table(spark, name).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n_rows"))
+    counted = stage(counted)
+    before = int(spark.catalog.tableExists(name))
+    tables.drop_table(spark, name)
+    after = int(spark.catalog.tableExists(name))
+    return counted.select("o_orderstatus", "n_rows", F.lit(before).alias("listed"), F.lit(after).alias("listed_after"))
+
+
 @query
 def a16_schema(spark, sf):
     table, (before, _, after) = _life(spark, sf)
@@ -281,6 +331,18 @@ def c3_computed_key_left_join(spark, sf):
     return assigned.select("o_orderkey", "survey_filename", "policy_id")
 
 
+@query
+def c4_timed_assignment(spark, sf):
+    """Events, with their time of day, in short periods made from the customers."""
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("c_custkey") % 25).cast("int"))
+    length = (F.col("c_custkey") % 4).cast("int")
+    periods = inputs.table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("user_id"), day.alias("start_day"), F.date_add(day, length).alias("end_day")
+    )
+    events = inputs.table(spark, sf, "events").select("event_id", "user_id", "ts")
+    return match_periods(events, periods, on="user_id", date="ts", start="start_day", end="end_day", closed="left")
+
+
 @query
 def c4_policy_assignment(spark, sf):
     return _assigned(spark, sf).select(
@@ -536,10 +598,12 @@ def h_scalar_functions(spark, sf):
 @query
 def i1_stream_ingest(spark, sf):
     path = scratch_path(spark, "i1")
-    schema = inputs.table(spark, sf, "events").schema
+    events = inputs.table(spark, sf, "events")
+    events.repartition(6, "event_id").write.parquet(f"{path}/landing")
+    table = VersionedTable.create(spark, f"{path}/events", events.schema)
     for _ in range(2):  # the second run finds nothing new
-        ingest_files(spark, f"{sf}/events*.parquet", schema, f"{path}/events", f"{path}/checkpoint")
-    return files.scan_parquet(spark, f"{path}/events")
+        ingest_into(table, f"{path}/landing", events.schema, f"{path}/checkpoint", files_per_batch=2)
+    return table.read()
 
 
 @query
@@ -601,7 +665,7 @@ def j2_vector_search(spark, sf):
 def j3_embedding(spark, sf):
     documents = inputs.texts(spark, sf)
     _, vectors = embedding.embed_corpus(documents, "doc_id", "text", "vector")
-    entries = vectors.select("doc_id", F.posexplode("vector").alias("bucket", "weight"))
+    entries = vectors.select("doc_id", F.inline("vector"))
     return entries.filter(F.col("weight") > 0).select(
         "doc_id", F.col("bucket").cast("long").alias("bucket"), _r("weight", 9)
     )
@@ -614,6 +678,17 @@ def j4_extraction(spark, sf):
     return parsed.select("event_id", "k", "is_parsed")
 
 
+@query
+def j4_survey_ratings(spark, sf):
+    """Ratings and date from JSON made of the orders' surveys, every ninth of it broken."""
+    surveys = inputs.surveys(spark, sf)
+    columns = [c for c in surveys.columns if c.startswith("rating_")]
+    payload = F.to_json(F.struct(*columns, "survey_date"))
+    broken = F.when(F.col("o_orderkey") % 9 == 0, F.expr("left(payload, length(payload) - 2)")).otherwise(F.col("payload"))
+    outputs = surveys.select("o_orderkey", payload.alias("payload")).select("o_orderkey", broken.alias("payload"))
+    return survey_plan.extract_ratings(outputs)
+
+
 @query
 def j5_verbatim_text(spark, sf):
     path = scratch_path(spark, "j5")
