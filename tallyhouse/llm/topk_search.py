@@ -76,8 +76,8 @@ class SortedLists:
 
     def best(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For each query: its id, and the ids and scores of its k best, ties to the smaller id."""
-        bound = (np.abs(queries).max(initial=0) * self.size + 1) * max(1, queries.shape[1]) * 4
-        if bound >= 2**62:
+        bound = float(np.abs(queries).max(initial=0)) * self.size * max(1, queries.shape[1])
+        if bound >= 2**63:
             raise OverflowError("inner products leave 64 bits")
         kind = np.float32 if bound < 2**24 else np.float64 if bound < 2**53 else np.int64
         x, stretches = self.typed(kind)

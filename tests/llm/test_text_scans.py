@@ -1,0 +1,130 @@
+"""Toxicity, secrets and licenses."""
+
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tallyhouse.llm import licenses, secret_scan, toxicity
+
+
+@pytest.fixture(scope="module")
+def judged(spark):
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    found = toxicity.judge(docs, labels).join(docs.select("doc_id", "text"), "doc_id").join(labels, "doc_id")
+    return found.collect()
+
+
+def test_held_out_accuracy(judged):
+    rows = [r for r in judged if r["held_out"]]
+    hits = Counter((r["toxic"], r["predicted"]) for r in rows)
+    assert hits[(1, 1)] / (hits[(0, 1)] + hits[(1, 1)]) > 0.95
+    assert hits[(1, 1)] / (hits[(1, 0)] + hits[(1, 1)]) > 0.65
+    insulting = [r for r in rows if r["toxic"] and re.search(r"\b(idiot|moron|scum|loser|stupid)\b", r["text"] or "")]
+    assert insulting and all(r["predicted"] for r in insulting)
+
+
+def test_held_out_labels_change_nothing(spark):
+    docs = spark.createDataFrame([(k, f"text {k % 7} idiot" if k % 3 else f"text {k % 5} fine") for k in range(120)], "doc_id long, text string")
+    labels = docs.select("doc_id", F.lit(1).alias("quality"), (F.col("doc_id") % 3 > 0).cast("int").alias("toxic"))
+    flipped = labels.withColumn("toxic", F.when(toxicity.held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    one, two = ({r["doc_id"]: r["score"] for r in toxicity.judge(docs, x).collect()} for x in (labels, flipped))
+    assert one == two
+
+
+def test_label_model_weighs_copies_of_a_voter_less():
+    rng = np.random.default_rng(0)
+    truth = rng.random(4000) < 0.3
+    fire = lambda hit, miss: np.where(truth, rng.random(4000) < hit, rng.random(4000) < miss)
+    shared = fire(0.8, 0.1)
+    votes = np.stack([shared, shared, fire(0.8, 0.1), *[np.zeros(4000, bool)] * len(toxicity.PATTERNS)], 1)
+    model = toxicity.LabelModel(votes, np.where(rng.random(4000) < 0.5, truth.astype(int), -1), np.ones(4000))
+    assert model.weights[0] < 0.7 < model.weights[2]
+    assert ((model.posterior(votes) > 0.5) == truth).mean() > 0.8
+
+
+def test_toxicity_odd_rows(spark, odd_docs, no_docs):
+    labels = spark.createDataFrame([(4, 1, 1), (9, 1, None), (None, 1, 1), (3, 0, 0), (3, 0, 0)], "doc_id long, quality int, toxic int")
+    rows = toxicity.judge(odd_docs, labels).collect()
+    assert len(rows) == 13 and all(0 <= r["score"] <= 1 for r in rows)
+    for some in (labels, labels.limit(0)):
+        kept = toxicity.keep_clean(odd_docs, some)
+        assert kept.columns == odd_docs.columns and kept.count() == 8
+    assert toxicity.keep_clean(no_docs, labels).count() == 0
+
+
+def test_secrets_are_found_and_look_alikes_are_not(spark):
+    key = "AKIA" + "Q7ZP2LMX4RTB6WNC"
+    texts = [
+        f"see {key} there", "x password=8f3a9c1d7e5b2a4f60 y", 'token = "4d44c79e8bf7c55759c4958dd60ed83d2ef8cd4e" z',
+        "checksum sha1: 4d44c79e8bf7c55759c4958dd60ed83d2ef8cd4e", "call +49-171-5550123456", "order 4417744280351547 paid",
+        "id 123e4567-e89b-12d3-a456-426614174000", "on 2024-05-06T101112 we met", "password=changeme_123456",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"] for r in secret_scan.list_findings(docs).filter("secret").collect()}
+    assert found == {0, 1, 2}
+    clean = {r["doc_id"]: r["text"] for r in secret_scan.redact(docs).collect()}
+    assert clean[0] == "see [SECRET] there" and clean[1] == "x password=[SECRET] y"
+    assert all(clean[k] == texts[k] for k in range(3, len(texts)))
+
+
+def test_the_forest_on_unseen_findings(spark):
+    made = secret_scan.labelled_findings(spark, 9000).filter(F.col("word").isNotNull())
+    model = secret_scan.train(secret_scan.labelled_findings(spark))
+    docs = made.select(F.monotonically_increasing_id().alias("doc_id"), F.concat_ws(" ", "near", "word").alias("text"), F.col("path").alias("source"), "label")
+    rows = secret_scan.scan(docs).selectExpr("label", "exists(findings, f -> f.secret) as said").collect()
+    right = np.mean([bool(r["label"]) == r["said"] for r in rows])
+    assert len(model.trees) == secret_scan.TREES and right > 0.9
+
+
+def test_secrets_odd_rows(spark, odd_docs, no_docs):
+    clean = secret_scan.redact(odd_docs)
+    assert clean.columns == odd_docs.columns and clean.count() == 13
+    assert clean.filter("text like '%8f3a9c1d7e5b2a4f60%'").count() == 0
+    assert clean.filter("text is null").count() == 2
+    assert secret_scan.redact(no_docs).count() == 0
+
+
+def _base(text):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    places = []
+    for phrase, label in licenses.BASE:
+        p = phrase.split()
+        places += [(k, label) for k in range(len(words)) if words[k : k + len(p)] == p]
+    at = [k for k, _ in places]
+    return len(words), len(places), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in places}))
+
+
+def test_base_phrases_equal_brute_force(spark, sf):
+    rng = np.random.default_rng(6)
+    words = ["cc", "CC-BY", "by", "general", "public", "license", "All", "rights", "reserved", "x", "cc by", "RIGHTS.", "GNU"]
+    texts = [" ".join(rng.choice(words, int(n))) for n in rng.integers(0, 60, 80)] + [None, "", "ccby", "cc\nby", "ſcc by"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    columns = ("n_words", "n_base", "first_word", "last_word", "base_labels")
+    rows = {r["doc_id"]: r for r in licenses.detect(docs).collect()}
+    assert [tuple(rows[k][c] for c in columns) for k in range(len(texts))] == [_base(t) for t in texts]
+    given = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in given.collect()}
+    for r in licenses.detect(given).collect():
+        assert tuple(r[c] for c in columns) == _base(texts[r["doc_id"]])
+        assert set(filter(None, r["base_labels"].split(","))) <= set(filter(None, r["labels"].split(","))) and 0 <= r["score"] <= 1
+
+
+def test_templates(spark):
+    texts = {
+        1: "Released under the MIT License.", 2: "Licensed under the Apache License, Version 2.0.", 3: "the license of apache two",
+        4: "This work is licensed under the GNU General Public License, version 3.", 5: "Licensed under CC BY-NC 4.0.",
+        6: "gnu lesser general public license", 7: "a mit b license", 8: "Permission is hereby granted, free of charge, to any person obtaining a copy",
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in licenses.detect(docs).collect()}
+    assert got == {1: "mit", 2: "apache-2.0", 3: "", 4: "gpl,gpl-3.0", 5: "cc-by,cc-by-nc", 6: "gpl,lgpl", 7: "", 8: "mit"}
+
+
+def test_licenses_odd_rows(spark, odd_docs, no_docs):
+    rows = licenses.detect(odd_docs).collect()
+    assert len(rows) == 13 and sum(r["labels"] == "cc-by,cc-by-nc" for r in rows) == 5
+    assert licenses.detect(no_docs).count() == 0
