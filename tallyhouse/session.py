@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -44,12 +46,23 @@ def shared_folder(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _local_scratch:
         _local_scratch[app] = tempfile.mkdtemp(prefix="tallyhouse-")
+        atexit.register(shutil.rmtree, _local_scratch[app], ignore_errors=True)
     return _local_scratch[app]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A path below the shared folder that no other call gets."""
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    """A path below this application's part of the shared folder that no other call gets."""
+    return f"{_own_scratch(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def _own_scratch(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/tallyhouse-{spark.sparkContext.applicationId}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove all that this application has staged. Results that read staged tables cannot be read after that."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(_own_scratch(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def stage(df: DataFrame, label: str = "stage") -> DataFrame:

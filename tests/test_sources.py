@@ -337,3 +337,12 @@ def test_a_typed_table_refuses_a_used_location(spark, path):
     spark.range(4).write.parquet(f"{path}/old")
     with pytest.raises(ValueError):
         tables.create_table(spark, "tallyhouse_used", spark.range(0).schema, f"{path}/old")
+
+
+def test_scratch_lies_in_a_folder_of_the_application_and_can_be_cleared(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "shared_folder", lambda _: str(tmp_path))
+    path = session.scratch_path(spark, "x")
+    assert path.startswith(f"{tmp_path}/tallyhouse-{spark.sparkContext.applicationId}/x-")
+    spark.range(2).write.parquet(path)
+    session.clear_scratch(spark)
+    assert not glob.glob(f"{tmp_path}/*")
