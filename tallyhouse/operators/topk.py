@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,9 +13,10 @@ def latest_rows(df: DataFrame, time: str, key: str, n: int = 10) -> DataFrame:
     return df.orderBy(F.col(time).desc(), F.col(key)).limit(n)
 
 
-def largest_rows(df: DataFrame, measure: str, key: str, n: int = 5) -> DataFrame:
-    """The ``n`` rows with the largest measure, ties broken by key."""
-    return df.orderBy(F.col(measure).desc(), F.col(key)).limit(n)
+def largest_rows(df: DataFrame, measure: str, key: str | Sequence[str], n: int = 5) -> DataFrame:
+    """The ``n`` rows with the largest measure, ties broken by key (one column, or several that are unique together)."""
+    keys = [key] if isinstance(key, str) else key
+    return df.orderBy(F.col(measure).desc(), *keys).limit(n)
 
 
 def sample_rows(df: DataFrame, key: str, n: int = 5) -> DataFrame:

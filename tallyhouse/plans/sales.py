@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyhouse.functions.labels import GOLD_STATES
 from tallyhouse.operators.grouping import tier_summary
 from tallyhouse.sources import generate
 from tallyhouse.sources.files import scan_parquet, write_clustered, write_parquet, write_partitioned
 
+# Names of the two tables.
 SALES = "sales_transactions.parquet"
 CUSTOMERS = "customer_master.parquet"
 
@@ -19,7 +21,7 @@ WITH spend AS (
   GROUP BY customer_id, region
 )
 SELECT s.region, c.state,
-       CASE WHEN c.state IN ('CA', 'NY') THEN 'Gold' ELSE 'Silver' END AS customer_tier,
+       CASE WHEN c.state IN ({gold}) THEN 'Gold' ELSE 'Silver' END AS customer_tier,
        sum(s.amount) AS total_sales,
        try_divide(sum(s.amount), sum(s.n_amounts)) AS average_sale_amount,
        count(DISTINCT s.customer_id) AS distinct_customers
@@ -35,7 +37,8 @@ def sales_summary(sales: DataFrame, customers: DataFrame) -> DataFrame:
 
 def sales_summary_sql(spark: SparkSession, sales: DataFrame, customers: DataFrame) -> DataFrame:
     """The same report in SQL, over any layout of the two tables."""
-    return spark.sql(SUMMARY_SQL, sales=sales, customers=customers)
+    gold = ", ".join(f"'{state}'" for state in GOLD_STATES)
+    return spark.sql(SUMMARY_SQL.replace("{gold}", gold), sales=sales, customers=customers)
 
 
 def generate_sales_dataset(

@@ -82,7 +82,8 @@ def portfolio_scores(assigned: DataFrame, claims: DataFrame, **options) -> DataF
 
 def riskiest_surveys(scores: DataFrame, n: int = 5) -> DataFrame:
     top = scores.select("survey_filename", "policy_id", "account_id", "loss_weighted_composite_score")
-    return largest_rows(top, "loss_weighted_composite_score", "survey_filename", n)
+    # a file may be assigned to several policies: rows that tie in all of these are alike
+    return largest_rows(top, "loss_weighted_composite_score", ["survey_filename", "policy_id", "account_id"], n)
 
 
 def account_benchmarks(accounts: DataFrame) -> DataFrame:

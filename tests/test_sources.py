@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from tallyhouse import jobs, session
 from tallyhouse.operators import tenancy
-from tallyhouse.plans import lakehouse
+from tallyhouse.plans import lakehouse, sales as sales_plan
 from tallyhouse.sources import files, schemas, tables
 from tallyhouse.sources.versions import CommitConflict, VersionedTable, conditional_update
 from tallyhouse.streaming.ingest import ingest_files, ingest_into
@@ -346,3 +346,14 @@ def test_scratch_lies_in_a_folder_of_the_application_and_can_be_cleared(spark, t
     spark.range(2).write.parquet(path)
     session.clear_scratch(spark)
     assert not glob.glob(f"{tmp_path}/*")
+
+
+def test_clustered_copy_gives_the_same_summary(spark, path):
+    sales_plan.generate_sales_dataset(spark, f"{path}/in", 50, 2000, tasks=2)
+    sales_plan.load_clustered(spark, f"{path}/in", f"{path}/out")
+    shown = []
+    for place in ("in", "out"):
+        tables_read = [files.scan_parquet(spark, f"{path}/{place}/{t}") for t in (sales_plan.SALES, sales_plan.CUSTOMERS)]
+        rows = sales_plan.sales_summary_sql(spark, *tables_read).collect()
+        shown.append(sorted((r["region"], r["state"], round(r["total_sales"], 4), r["distinct_customers"]) for r in rows))
+    assert shown[0] == shown[1] and shown[0]

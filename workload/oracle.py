@@ -592,7 +592,7 @@ ORACLE: dict[str, str] = {
         *_TO_SCORES,
         """SELECT survey_filename, policy_id, account_id, round(total, 2) AS loss_weighted_composite_score
         FROM scores JOIN weighted USING (o_orderkey)
-        ORDER BY loss_weighted_composite_score DESC, survey_filename LIMIT 5""",
+        ORDER BY loss_weighted_composite_score DESC, survey_filename, policy_id, account_id LIMIT 5""",
     ),
     "m7_account_benchmarks": _with(
         ACCOUNTS,

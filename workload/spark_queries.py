@@ -789,9 +789,8 @@ def m2_sales_summary_sql(spark, sf):
 @query
 def m2_sales_summary_clustered(spark, sf):
     path = scratch_path(spark, "m2")
-    files.write_parquet(inputs.sales(spark, sf), f"{path}/raw/{sales_plan.SALES}")
-    files.write_parquet(inputs.customers(spark, sf), f"{path}/raw/{sales_plan.CUSTOMERS}")
-    sales_plan.load_clustered(spark, f"{path}/raw", f"{path}/clustered")
+    files.write_clustered(inputs.sales(spark, sf), f"{path}/clustered/{sales_plan.SALES}", "customer_id", "transaction_id")
+    files.write_clustered(inputs.customers(spark, sf), f"{path}/clustered/{sales_plan.CUSTOMERS}", "customer_id", "name")
     sales = files.scan_parquet(spark, f"{path}/clustered/{sales_plan.SALES}")
     customers = files.scan_parquet(spark, f"{path}/clustered/{sales_plan.CUSTOMERS}")
     return _summary(sales_plan.sales_summary_sql(spark, sales, customers))
