@@ -15,6 +15,8 @@ def _towards_least(links: DataFrame, larger_only: bool) -> DataFrame:
     else:
         both = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("least"))
+    # read back, so that the join's own exchange lets hubs be split
+    least = stage(least, "least")
     joined = both.join(least, "a")
     if larger_only:
         moved = joined.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("least").alias("b"))

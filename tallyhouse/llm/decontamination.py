@@ -36,7 +36,7 @@ WINDOW = 13
 PASS_WORDS = 1 << 19
 
 #: Bytes of text that one index record covers; a longer text has a record alone.
-RECORD_BYTES = 4 << 20
+RECORD_BYTES = 1 << 20
 
 INDEX_SCHEMA = "record string, rows binary, n_words binary, terms binary, starts binary, gaps binary, n int, n_terms int"
 

@@ -34,9 +34,12 @@ SIMILARITY = 0.8
 TREES, DEPTH = 20, 6
 TARGET_RECALL = 0.9999
 
+#: A text without any has no words.
+ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+
 #: Shingles and texts of one block of a family; two blocks meet in a task.
 BLOCK_SHINGLES = 1 << 20
-BLOCK_TEXTS = 1500
+BLOCK_TEXTS = 500
 
 _FACTORS = np.random.default_rng(514).integers(1, 1 << 63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -110,7 +113,8 @@ def _candidates(nodes: DataFrame) -> DataFrame:
         .filter(F.col("k") > 1)
         .drop("k")
     )
-    return in_trees.join(shared, ["tree", "prefix"]).select(F.col("node").alias("a"), F.col("least").alias("b"))
+    # read back, so that the join's own exchange lets hot prefixes be split
+    return in_trees.join(stage(shared, "prefixes"), ["tree", "prefix"]).select(F.col("node").alias("a"), F.col("least").alias("b"))
 
 
 def _family_blocks(nodes: DataFrame, roots: DataFrame) -> DataFrame:
@@ -287,11 +291,15 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each class; those without words all stay."""
     hashed = docs.withColumn("__row_hash", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))))
     keepers = similar_classes(docs).filter("keeper").select("doc_id", F.col("row_hash").alias("__row_hash"))
-    several = keepers.groupBy("doc_id", "__row_hash").agg(F.count(F.lit(1)).alias("__k"))
-    wanted = several.select(F.col("doc_id").alias("__doc_id"), F.col("__row_hash").alias("__wanted"), "__k")
+    counted = keepers.groupBy("doc_id", "__row_hash").agg(F.count(F.lit(1)).alias("__k"))
+    wanted = stage(
+        counted.select(F.col("doc_id").alias("__doc_id"), F.col("__row_hash").alias("__wanted"), "__k"), "keepers"
+    )
     kept = hashed.join(
         wanted, F.col("doc_id").cast("long").eqNullSafe(F.col("__doc_id")) & (F.col("__row_hash") == F.col("__wanted"))
     )
-    single = kept.filter((F.col("__k") == 1) | (F.coalesce("text", F.lit("")) == ""))
-    again = kept.filter((F.col("__k") > 1) & (F.coalesce("text", F.lit("")) != "")).dropDuplicates(["doc_id", "__row_hash"])
-    return single.unionAll(again).select(*[f"`{c}`" for c in docs.columns])
+    # identical rows stand for a class together; those without words all stay
+    repeated = (F.col("__k") > 1) & F.coalesce("text", F.lit("")).rlike(ANY_WORD)
+    if not wanted.filter("__k > 1").isEmpty():
+        kept = kept.filter(~repeated).unionAll(kept.filter(repeated).dropDuplicates(["doc_id", "__row_hash"]))
+    return kept.select(*[f"`{c}`" for c in docs.columns])

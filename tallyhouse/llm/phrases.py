@@ -42,9 +42,9 @@ def _scan(window: int, gram: int):
             ids, hashes = (batch.column(c).to_numpy() for c in (0, 1))
             for a, b in row_blocks(offsets):
                 words = spaced_words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                found = regions.find(words.hash, mix(words.hash), words.rows(), window, gram)
-                place = found[1] - words.first[found[0]]
-                yield regions.region_batch(ids[a:b], hashes[a:b], place, found)
+                for found in regions.find_all(words.hash, mix(words.hash), words.rows(), window, gram):
+                    place = found[1] - words.first[found[0]]
+                    yield regions.region_batch(ids[a:b], hashes[a:b], place, found)
 
     return scan
 
@@ -81,8 +81,10 @@ def recurring_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -
     entry = F.struct("anchor", "c1", "c2", "copies", "place", "n")
     listed = chosen.groupBy(*regions.KEY).agg(F.collect_list(entry).alias("listed"))
     schema = "anchor long, c1 long, c2 long, copies long, step int, h1 long, h2 long"
-    windows = stage(regions.with_texts(docs, listed).select("z", "size", "listed").mapInArrow(_window_hashes(window), schema), "windows")
+    with_text = regions.with_texts(docs, listed).select("z", "size", "listed")
+    windows = stage(with_text.mapInArrow(_window_hashes(window), schema), "windows")
     several = windows.groupBy("h1", "h2").agg(F.sum("copies").alias("k")).filter(F.col("k") > 1).select("h1", "h2")
+    several = stage(several, "several")
     bit = F.expr("shiftleft(1L, step)")
     masks = windows.join(several, ["h1", "h2"]).groupBy("anchor", "c1", "c2").agg(F.sum(bit).alias("mask"))
     mixed = found.filter("mixed").join(masks, ["anchor", "c1", "c2"])

@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import decontamination, jaccard_join, licenses, packing, phrases, secret_scan, substrings, topk_search, toxicity, warc
+from tallyhouse.llm import (
+    decontamination,
+    jaccard_join,
+    licenses,
+    packing,
+    phrases,
+    secret_scan,
+    substrings,
+    topk_search,
+    toxicity,
+    warc,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}

@@ -23,22 +23,28 @@ from tallyhouse.session import stage
 REGION_SCHEMA = "doc_id long, row_hash long, place long, n int, lead int, anchor long, c1 long, c2 long"
 KEY = ["doc_id", "row_hash"]
 
+#: Texts that are compressed before the next ones are taken.
+PACKED_ROWS = 500
+
+#: Windows that are put into regions at once.
+STRETCH = 2 << 20
+
 #: Given to null ids, so that they can be joined on; they come back as null.
 NO_ID = -(2**63)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, row_hash and text; null texts are empty."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    doc_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    return docs.select(doc_id.alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("row_hash"), text.alias("text"))
+    text, doc_id = F.coalesce(F.col("text"), F.lit("")), F.col("doc_id").cast("long")
+    row_hash = F.xxhash64(doc_id, text)
+    return docs.select(F.coalesce(doc_id, F.lit(NO_ID)).alias("doc_id"), row_hash.alias("row_hash"), text.alias("text"))
 
 
 def packed(docs: DataFrame) -> DataFrame:
     """``keyed`` rows with the text compressed, for a shuffle of half the size."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, PACKED_ROWS) for b in batches for at in range(0, b.num_rows, PACKED_ROWS)):
             raw = [text.as_py().encode() for text in batch.column(2)]
             packed = pa.array([pa.compress(r, "zstd", asbytes=True) for r in raw], pa.binary())
             sizes = pa.array([len(r) for r in raw], pa.int64())
@@ -74,6 +80,14 @@ def find(hashes: np.ndarray, others: np.ndarray, rows: np.ndarray, window: int,
     return rows[start], start, n, anchor - start, grams[anchor], *content
 
 
+def find_all(hashes: np.ndarray, others: np.ndarray, rows: np.ndarray, window: int, gram: int) -> Iterator[tuple]:
+    """``find`` over stretches of windows, so that neither its memory nor its anchors' places have a limit."""
+    for at in range(0, len(hashes) - window + 1, STRETCH):
+        end = at + STRETCH + window - 1
+        row, start, *rest = find(hashes[at:end], others[at:end], rows[at:end], window, gram)
+        yield row, start + at, *rest
+
+
 def region_batch(ids: np.ndarray, hashes: np.ndarray, place: np.ndarray, found: tuple[np.ndarray, ...]) -> pa.RecordBatch:
     """``found`` regions as rows, for rows with these ids and row hashes, at ``place`` within their rows."""
     row, _, n, lead, *marks = found
@@ -90,11 +104,13 @@ def recurring(docs: DataFrame, scan: Callable) -> DataFrame:
     """
     regions = docs.mapInArrow(scan, REGION_SCHEMA)
     several = regions.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > 1).select("anchor")
+    # read back, so that the join's own exchange lets hot anchors be split
+    several = stage(several, "anchors")
     found = stage(regions.join(several, "anchor"), "regions")
     kinds = found.groupBy("anchor").agg(
         ((F.min("c1") != F.max("c1")) | (F.min("c2") != F.max("c2"))).alias("mixed")
     )
-    return stage(found.join(kinds, "anchor"), "regions")
+    return stage(found.join(stage(kinds, "kinds"), "anchor"), "regions")
 
 
 def representatives(found: DataFrame) -> DataFrame:

@@ -34,8 +34,11 @@ from tallyhouse.session import scratch_path, stage
 WINDOW = 400
 GRAM = 128
 
+#: Bytes of text that are put into regions at a time (some 150 bytes of memory each).
+SCAN_BYTES = 512 << 10
+
 #: Bytes that one shard sorts at a time; more only if one anchor needs it.
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 
 #: Bytes of all shards of a task.
 TASK_BYTES = 16 << 20
@@ -44,9 +47,6 @@ TASK_BYTES = 16 << 20
 SPLIT_FROM = 2048
 SPLIT_WINDOWS = 32
 
-#: Windows of one text that are put into regions at once.
-STRETCH = 16 << 20
-
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64))
 _OTHER = mix(_BYTES)
 
@@ -56,16 +56,11 @@ def _scan(window: int, gram: int):
         for batch in batches:
             data, offsets = text_bytes(batch.column(2))
             ids, hashes = (batch.column(c).to_numpy() for c in (0, 1))
-            for a, b in row_blocks(offsets):
-                low, high = int(offsets[a]), int(offsets[b])
-                for at in range(low, max(high - window + 1, low + 1), STRETCH):
-                    end = min(high, at + STRETCH + window - 1)
-                    part = data[at:end]
-                    bounds = np.clip(offsets[a : b + 1], at, end) - at
-                    rows = np.repeat(np.arange(b - a, dtype=np.int32), np.diff(bounds))
-                    found = regions.find(_BYTES[part], _OTHER[part], rows, window, gram)
-                    place = found[1] + at - offsets[a + found[0]]
-                    yield regions.region_batch(ids[a:b], hashes[a:b], place, found)
+            for a, b in row_blocks(offsets, SCAN_BYTES):
+                part, bounds = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+                rows = np.repeat(np.arange(b - a, dtype=np.int32), np.diff(bounds))
+                for found in regions.find_all(_BYTES[part], _OTHER[part], rows, window, gram):
+                    yield regions.region_batch(ids[a:b], hashes[a:b], found[1] - bounds[found[0]], found)
 
     return scan
 
@@ -193,7 +188,8 @@ def _remove(window: int, with_kept: bool):
                 doc_id, size = columns["doc_id"][k].as_py(), columns["size"][k].as_py()
                 data = regions.unpacked(columns["z"][k].as_py(), size)
                 spans: list[list[int]] = []
-                for run in sorted((r["place"], r["place"] + r["count"] + window - 1) for r in columns["listed"][k].as_py() or []):
+                listed = columns["listed"][k].as_py() or []
+                for run in sorted((r["place"], r["place"] + r["count"] + window - 1) for r in listed):
                     if spans and run[0] <= spans[-1][1]:
                         spans[-1][1] = max(spans[-1][1], run[1])
                     else:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.llm.shipping import ship
-from tallyhouse.session import scratch_path
+from tallyhouse.session import scratch_path, stage
 
 LEAST_REVISIT = 1000
 
@@ -107,7 +107,8 @@ def mark_revisits(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
         .agg(F.max("page_id").alias("response_id"), F.count(F.lit(1)).alias("copies"))
         .filter(F.col("copies") > 1)
     )
-    return sized.join(best, "payload_key", "left").withColumn(
+    # read back, so that the join's own exchange lets hot payloads be split
+    return sized.join(stage(best, "responses"), "payload_key", "left").withColumn(
         "refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("response_id")), F.col("response_id"))
     )
 

@@ -39,7 +39,7 @@ def _texts():
     return [*out, out[0], out[0].upper(), None, "", "", "a b", "A, b!", "a b c"]
 
 
-@pytest.mark.parametrize("texts_at_once", [3, 1500])
+@pytest.mark.parametrize("texts_at_once", [3, 500])
 def test_classes_and_links_equal_brute_force(spark, monkeypatch, texts_at_once):
     monkeypatch.setattr(jaccard_join, "BLOCK_TEXTS", texts_at_once)
     texts = _texts()

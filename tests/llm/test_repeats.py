@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tallyhouse.llm import phrases, substrings
+from tallyhouse.llm import phrases, regions, substrings
 from tallyhouse.llm.induced_sorting import repeated_starts
 from tallyhouse.llm.queries import QUERIES
 
@@ -82,6 +82,14 @@ def test_a_split_anchor_gives_the_same(spark, monkeypatch):
     _check_bytes(spark, _texts(np.random.default_rng(3), 40), 30, 9)
 
 
+def test_every_window_is_in_one_region_of_a_stretch(monkeypatch):
+    monkeypatch.setattr(regions, "STRETCH", 25)
+    texts = _texts(np.random.default_rng(4), 30)
+    hashes = [substrings._BYTES[np.frombuffer((t or "").encode(), np.uint8)] for t in texts]
+    found = [list(regions.find_all(h, h, np.zeros(len(h), np.int32), 30, 9)) for h in hashes]
+    assert sum(int(part[2].sum()) for parts in found for part in parts) == sum(max(0, len(h) - 29) for h in hashes)
+
+
 def test_words_equal_brute_force(spark):
     rng = np.random.default_rng(5)
     texts = [" ".join((t or "").replace(" ", "\n").replace("", " ").split(" ")) for t in _texts(rng, 40)]
