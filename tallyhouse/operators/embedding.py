@@ -1,7 +1,7 @@
 """Text embedding: hashed word counts weighted by rarity, scaled to unit length.
 
 A lexical stand-in for a remote embedding model: texts are near when they share uncommon words. Vectors are sparse: the
-buckets that a text has words in, with their weights.
+buckets that a text has words in and their weights, as two arrays.
 """
 
 from __future__ import annotations
@@ -19,6 +19,9 @@ from tallyhouse.session import stage
 #: Buckets that words are hashed to; their weights are the only fitted numbers (8 bytes each).
 DIM = 1 << 18
 BUCKETS = "_buckets"
+SPARSE = T.StructType(
+    [T.StructField("bucket", T.ArrayType(T.IntegerType())), T.StructField("weight", T.ArrayType(T.DoubleType()))]
+)
 
 
 @dataclass(frozen=True)
@@ -42,8 +45,7 @@ class Embedder:
         Counting runs on Arrow batches of bucket numbers, over the buckets that occur: a JVM count would explode and
         regroup every word.
         """
-        entry = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("weight", T.DoubleType())])
-        schema = T.StructType([bucketed.schema[key], T.StructField(vector, T.ArrayType(entry))])
+        schema = T.StructType([bucketed.schema[key], T.StructField(vector, SPARSE)])
         count = _count_words(self.dim, self.weights, self.unseen, key, vector)
         return bucketed.select(key, BUCKETS).mapInArrow(count, schema)
 
@@ -101,10 +103,8 @@ def _count_words(dim: int, weights: dict[int, float], unseen: float, key: str, v
             row, bucket, weight = (x[weight != 0] for x in (row, bucket, weight))
             norms = np.sqrt(np.bincount(row, weights=weight * weight, minlength=n))
             offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))]).astype("int32"))
-            entries = pa.StructArray.from_arrays(
-                [pa.array(bucket.astype("int32")), pa.array(weight / norms[row])], names=["bucket", "weight"]
-            )
-            vectors = pa.ListArray.from_arrays(offsets, entries, mask=lists.is_null())
+            arrays = [pa.ListArray.from_arrays(offsets, x) for x in (bucket.astype("int32"), weight / norms[row])]
+            vectors = pa.StructArray.from_arrays(arrays, names=["bucket", "weight"], mask=lists.is_null())
             yield pa.RecordBatch.from_arrays([batch.column(0), vectors], names=[key, vector])
 
     return count

@@ -44,7 +44,7 @@ def nearest_for_each(
 ) -> DataFrame:
     """The ``k`` nearest corpus rows of every query, as (query_key, key, distance).
 
-    Vectors are arrays of numbers, or sparse: arrays of (bucket, weight).
+    Vectors are arrays of numbers, or sparse: an array of buckets and one of their weights.
     """
     spark = corpus.sparkSession
     path = scratch_path(spark, "queries")
@@ -56,7 +56,7 @@ def nearest_for_each(
             T.StructField("distance", T.DoubleType()),
         ]
     )
-    sparse = isinstance(corpus.schema[vector].dataType.elementType, T.StructType)
+    sparse = isinstance(corpus.schema[vector].dataType, T.StructType)
     usable = corpus.select(key, vector).filter(F.col(vector).isNotNull())
     if not sparse:
         usable = usable.select(key, F.col(vector).cast("array<double>").alias(vector))
@@ -91,10 +91,10 @@ def _search(stored: str, k: int, sparse: bool, block: int, names: list[str]):
 
         def sparse_rows(column):
             """(rows with a direction, row and bucket and unit weight of each entry)."""
-            lengths = np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False)).astype("int64")
-            entries = column.flatten()
-            bucket = entries.field(0).to_numpy(zero_copy_only=False).astype("int64")
-            weight = entries.field(1).to_numpy(zero_copy_only=False).astype("float64")
+            buckets, weights = column.flatten()
+            lengths = np.nan_to_num(buckets.value_lengths().to_numpy(zero_copy_only=False)).astype("int64")
+            bucket = buckets.flatten().to_numpy(zero_copy_only=False).astype("int64")
+            weight = weights.flatten().to_numpy(zero_copy_only=False).astype("float64")
             row = np.repeat(np.arange(len(column)), lengths)
             norms = np.sqrt(np.bincount(row, weights=weight * weight, minlength=len(column)))
             sound = np.isfinite(norms) & (norms > 0)

@@ -117,8 +117,8 @@ def _dense(entries, dim):
     if entries is None:
         return None
     out = [0.0] * dim
-    for entry in entries:
-        out[entry["bucket"]] = entry["weight"]
+    for bucket, weight in zip(entries["bucket"], entries["weight"]):
+        out[bucket] = weight
     return out
 
 

@@ -665,7 +665,7 @@ def j2_vector_search(spark, sf):
 def j3_embedding(spark, sf):
     documents = inputs.texts(spark, sf)
     _, vectors = embedding.embed_corpus(documents, "doc_id", "text", "vector")
-    entries = vectors.select("doc_id", F.inline("vector"))
+    entries = vectors.select("doc_id", F.inline(F.arrays_zip("vector.bucket", "vector.weight")))
     return entries.filter(F.col("weight") > 0).select(
         "doc_id", F.col("bucket").cast("long").alias("bucket"), _r("weight", 9)
     )
