@@ -124,6 +124,34 @@ def test_templates(spark):
     assert got == {1: "mit", 2: "apache-2.0", 3: "", 4: "gpl,gpl-3.0", 5: "cc-by,cc-by-nc", 6: "gpl,lgpl", 7: "", 8: "mit"}
 
 
+def _templates(text, weights):
+    words, found = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower()), set(_base(text)[4].split(",")) - {""}
+    for label, wording, key in licenses.TEMPLATES:
+        slots, must = wording.split(), key.split()
+        first = next(i for i in range(len(slots)) if slots[i : i + len(must)] == must)
+        for k in range(len(words) - len(must) + 1):
+            if words[k : k + len(must)] == must:
+                got = sum(weights[w] for i, w in enumerate(slots) if 0 <= k - first + i < len(words) and words[k - first + i] == w)
+                if got / sum(weights[w] for w in slots) >= licenses.LEAST_WEIGHT:
+                    found.add(label)
+    return ",".join(sorted(found))
+
+
+def test_every_template_of_a_text_is_found(spark):
+    rng = np.random.default_rng(8)
+    wordings = [w for _, w, _ in licenses.TEMPLATES]
+    some = [[w for label, w, _ in licenses.TEMPLATES if label in ("epl", "mpl-2.0", "apache-2.0") or w.endswith("mit license")]]
+    some += [list(rng.choice(wordings, 5)) for _ in range(12)] + [[k] for *_, k in licenses.TEMPLATES]
+    texts = [" foo\n".join(wordings), *[" x y\n".join(w) for w in some], *["a b c"] * 20]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    n = lambda w: sum(w in t.split() for t in texts)
+    weights = {w: float(np.log((len(texts) + 1) / (n(w) + 1)) + 0.01) for wording in wordings for w in wording.split()}
+    got = {r["doc_id"]: r["labels"] for r in licenses.detect(docs).collect()}
+    assert set(got[0].split(",")) >= {label for label, *_ in licenses.TEMPLATES}
+    assert set(got[1].split(",")) >= {"epl", "mpl-2.0", "apache-2.0", "mit"}
+    assert [got[k] for k in range(len(texts))] == [_templates(t, weights) for t in texts]
+
+
 def test_licenses_odd_rows(spark, odd_docs, no_docs):
     rows = licenses.detect(odd_docs).collect()
     assert len(rows) == 13 and sum(r["labels"] == "cc-by,cc-by-nc" for r in rows) == 5
