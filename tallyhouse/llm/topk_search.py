@@ -13,7 +13,8 @@ those are cut to k again.
 
 Defined cases: vectors that are null or hold null, NaN or infinite components are no queries and no candidates; a query's
 candidates are the vectors of its own length, every row but its own (rows that repeat its id count as its own); rows that
-repeat another id are candidates each; null ids take no part. A score that would leave 64 bits raises an error.
+repeat another id are candidates each, and as queries they are numbered and each has k rows of its own; null ids take no
+part. A score that would leave 64 bits raises an error.
 """
 
 from __future__ import annotations
@@ -129,10 +130,11 @@ def _as_whole(x: np.ndarray) -> np.ndarray:
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
-    """query_id, rank from 1, vec_id and score of each query's k best among ``vectors``; both are ``quantised``."""
+    """query_id, rank from 1, vec_id and score of each query row's k best among ``vectors``; both are ``quantised``."""
     spark = ship(vectors.sparkSession)
     path = scratch_path(spark, "queries")
-    queries.write.parquet(path)
+    numbered = queries.select("vec_id", "x", F.monotonically_increasing_id().alias("query_row"))
+    numbered.write.parquet(path)
     stored = path if "://" in path else f"file://{path}"
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +150,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
         for asked in pads.dataset(place, filesystem=system, format="parquet").to_batches(batch_size=QUERY_BLOCK):
             if not asked.num_rows:
                 continue
-            query_ids = asked.column(0).to_numpy()
+            query_ids, query_rows = asked.column(0).to_numpy(), asked.column(2).to_numpy()
             for d, (at, q) in _vectors(asked.column(1)).items():
                 if d not in lists:
                     continue
@@ -156,16 +158,17 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
                 sizes = [len(f[1]) for f in found]
                 yield pa.RecordBatch.from_arrays(
                     [
+                        pa.array(np.repeat(query_rows[at], sizes)),
                         pa.array(np.repeat([f[0] for f in found], sizes).astype(np.int64)),
                         pa.array(np.concatenate([f[1] for f in found])),
                         pa.array(np.concatenate([f[2] for f in found])),
                     ],
-                    ["query_id", "vec_id", "score"],
+                    ["query_row", "query_id", "vec_id", "score"],
                 )
 
     n = vectors.count()
     parts = max(-(-n // PARTITION_ROWS), min(spark.sparkContext.defaultParallelism, -(-n // 1024)), 1)
-    found = vectors.repartition(parts).mapInArrow(search, "query_id long, vec_id long, score long")
-    ordered = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = vectors.repartition(parts).mapInArrow(search, "query_row long, query_id long, vec_id long, score long")
+    ordered = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(ordered)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

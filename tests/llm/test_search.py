@@ -86,6 +86,20 @@ def test_top_k_equals_brute_force(spark, big):
     assert {tuple(r) for r in found.collect()} == _scores(vectors, 5)
 
 
+def test_top_k_of_repeated_query_ids(spark):
+    rng = np.random.default_rng(5)
+    vectors = [(k, rng.integers(-9, 9, 6)) for k in range(200)]
+    vectors += [(20, vectors[20][1])] * 3 + [(40, rng.integers(-9, 9, 6)) for _ in range(2)] + [(60, vectors[60][1])] * 30
+    df = spark.createDataFrame([(k, [float(v) for v in x]) for k, x in vectors], "vec_id long, x array<double>").repartition(3)
+    expected = []
+    for qid, x in vectors:
+        if qid % 20 == 0:
+            others = sorted((-int(np.dot(x, y)), i) for i, y in vectors if i != qid)
+            expected += [(qid, r + 1, i, -s) for r, (s, i) in enumerate(others[:20])]
+    found = topk_search.top_k(df, df.filter("vec_id % 20 = 0"), 20)
+    assert sorted(tuple(r) for r in found.collect()) == sorted(expected)
+
+
 def test_vectors_that_take_no_part(spark):
     data = [(0, [1.0, 1.0]), (1, None), (2, [None, 1.0]), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (5, [0.5, 0.5]), (None, [1.0, 1.0])]
     df = topk_search.quantised(spark.createDataFrame(data, "vec_id long, embedding array<float>"))
