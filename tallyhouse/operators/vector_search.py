@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyhouse.session import scratch_path
+from tallyhouse.session import arrow_uri, scratch_path
 
 #: Corpus rows that meet the queries at once, queries of a block, and numbers of one dense slice.
 ROWS, BLOCK, SLICE = 16_384, 256, 4_000_000
@@ -60,8 +60,7 @@ def nearest_for_each(
     usable = corpus.select(key, vector).filter(F.col(vector).isNotNull())
     if not sparse:
         usable = usable.select(key, F.col(vector).cast("array<double>").alias(vector))
-    stored = path if "://" in path else f"file://{path}"
-    partial = usable.mapInArrow(_search(stored, k, sparse, block, schema.names), schema)
+    partial = usable.mapInArrow(_search(arrow_uri(path), k, sparse, block, schema.names), schema)
     ranked = Window.partitionBy(query_key).orderBy("distance", key)
     return partial.withColumn("_rank", F.row_number().over(ranked)).filter(F.col("_rank") <= k).drop("_rank")
 

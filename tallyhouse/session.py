@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,7 +41,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir``, or a temp folder in local mode only."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
-        return configured.rstrip("/")
+        return qualified(spark, configured)
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
@@ -50,6 +51,24 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_scratch[app]
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """A folder as ``scheme://authority/path``, which Spark, Hadoop and Arrow all read alike, or a plain local path.
+
+    Spark also accepts ``file:/path``, which Arrow doesn't, and plain paths of a default file system that isn't local,
+    which Arrow would take for local ones.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toUri()
+    if uri.getScheme() == "file" and folder.startswith("/"):
+        return folder.rstrip("/")
+    return f"{uri.getScheme()}://{uri.getAuthority() or ''}{uri.getPath().rstrip('/')}"
+
+
+def arrow_uri(path: str) -> str:
+    """A path of the shared folder as the URI that Arrow's file systems take."""
+    return quote(path if "://" in path else f"file://{path}", safe=":/@")
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A path below this application's part of the shared folder that no other call gets."""
     return f"{_own_scratch(spark)}/{label}-{uuid.uuid4().hex}"

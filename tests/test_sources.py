@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from tallyhouse import jobs, session
 from tallyhouse.operators import tenancy
+from tallyhouse.operators.vector_search import nearest
 from tallyhouse.plans import lakehouse, sales as sales_plan
 from tallyhouse.sources import files, schemas, tables
 from tallyhouse.sources.versions import CommitConflict, VersionedTable, conditional_update
@@ -273,12 +274,26 @@ def test_broadcast_only_within_the_limit(spark):
 def test_shared_folder_comes_from_the_session(spark):
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
-        assert session.shared_folder(spark) == configured.rstrip("/")
+        assert session.shared_folder(spark) == session.qualified(spark, configured)
     assert session.scratch_path(spark, "a") != session.scratch_path(spark, "a")
     staged = session.stage(spark.range(3))
     assert session.shared_folder(spark) in staged.inputFiles()[0]
 
 
+@pytest.mark.parametrize("form", ["{}", "{}/", "file:{}", "file:{}/", "file://{}"])
+def test_any_form_of_the_shared_folder_works(spark, tmp_path, monkeypatch, form):
+    folder = form.format(tmp_path / "a b")
+    monkeypatch.setattr(session, "shared_folder", lambda s: session.qualified(s, folder))
+    assert session.shared_folder(spark).removeprefix("file://") == f"{tmp_path}/a b"
+    assert session.stage(spark.range(3)).count() == 3
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "id long, v array<double>")
+    found = nearest(vectors, vectors.filter("id = 2").select("v"), 1, key="id", vector="v")
+    assert [r["id"] for r in found.collect()] == [2]
+    table = VersionedTable.create(spark, session.scratch_path(spark, "t"), vectors.schema)
+    table.append(vectors)
+    assert table.read().count() == 2
+
+
 def test_jobs(spark, path, capsys):
     jobs.main(["generate-sales", f"{path}/raw", "--customers", "50", "--transactions", "600", "--tasks", "3"])
     jobs.main(["load-clustered", f"{path}/raw", f"{path}/clustered"])
