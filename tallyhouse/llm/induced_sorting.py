@@ -21,6 +21,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow.fs as pafs
 
+from tallyhouse.session import arrow_uri
+
 SEPARATOR = 0xFF
 
 #: Entries of a queue that stay in memory (6 bytes each).
@@ -31,7 +33,7 @@ class DiskQueue:
     """Entries (place, common prefix) by symbol, each symbol first in, first out; what exceeds the bound goes to files."""
 
     def __init__(self, folder: str, bound: int = QUEUE_ENTRIES):
-        self.system, self.folder = pafs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        self.system, self.folder = pafs.FileSystem.from_uri(arrow_uri(folder))
         self.held: list[list] = [[] for _ in range(256)]
         self.sizes = np.zeros(256, np.int64)
         self.bound, self.made = bound, False
@@ -219,6 +221,8 @@ class _Induction:
 def repeated_starts(text: np.ndarray, length: int, folder: str, bound: int = QUEUE_ENTRIES) -> np.ndarray:
     """Marks the places whose suffix shares at least ``length`` symbols with another suffix."""
     n = len(text)
+    if n >= 1 << 31 or length >= 1 << 15:
+        raise ValueError("entries of a queue hold places in 32 bits and common prefixes in 16")
     marks = np.zeros(n, bool)
     if n == 0:
         return marks

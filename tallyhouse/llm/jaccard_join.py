@@ -16,6 +16,7 @@ is named by the least id of its documents that is not null.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from tallyhouse.llm import regions
 from tallyhouse.llm.components import components
 from tallyhouse.llm.shipping import ship
-from tallyhouse.llm.words import Words, alphanumeric_words, mix, prefix_hash, row_blocks, span_hash, text_bytes
+from tallyhouse.llm.words import ALPHANUMERIC, IN_ALPHANUMERIC, Words, alphanumeric_words, mix, prefix_hash, row_blocks, span_hash, text_bytes
 from tallyhouse.session import stage
 
 SHINGLE = 5
@@ -41,6 +42,9 @@ ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 BLOCK_SHINGLES = 1 << 20
 BLOCK_TEXTS = 500
 
+#: Bytes of words, A-Z lower-cased; blanks elsewhere.
+_WORDS_ONLY = np.where(IN_ALPHANUMERIC, ALPHANUMERIC, ord(" ")).astype(np.uint8).tobytes()
+
 _FACTORS = np.random.default_rng(514).integers(1, 1 << 63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -83,12 +87,13 @@ def _signatures(k: int):
                 prefix = np.full((len(some), TREES), 0, np.uint64)
                 for level in range(k):
                     prefix = mix(prefix * np.uint64(0x100000001B3) + minima[:, :, level] + np.uint64(1))
-                each = [span_hash(p, words.first[:-1], words.first[1:]) for p in (prefix_hash(words.hash), prefix_hash(mix(words.hash)))]
-                both = np.stack([x.view(np.int64) for x in each], axis=1).astype(">i8")
+                raw = data[offsets[a] : offsets[b]].tobytes().translate(_WORDS_ONLY)
+                bounds = offsets[a : b + 1] - offsets[a]
                 nodes = [None] * (b - a)
                 lists = [None] * (b - a)
                 for at, row in enumerate(some.tolist()):
-                    nodes[row] = both[row].tobytes()
+                    spoken = b" ".join(raw[bounds[row] : bounds[row + 1]].split())
+                    nodes[row] = hashlib.blake2b(spoken, digest_size=16).digest()
                     lists[row] = prefix[at].view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -122,7 +127,9 @@ def _family_blocks(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     member = nodes.join(roots, "node").withColumnRenamed("root", "family")
     sizes = member.groupBy("family").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("total"))
     blocks = F.greatest(F.ceil(F.col("texts") / BLOCK_TEXTS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
-    placed = member.join(sizes.select("family", blocks.alias("blocks")), "family").withColumn(
+    # read back, so that the join's own exchange lets large families be split
+    sizes = stage(sizes.select("family", blocks.alias("blocks")), "sizes")
+    placed = member.join(sizes, "family").withColumn(
         "block", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int")
     )
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
@@ -272,7 +279,7 @@ def similar_classes(docs: DataFrame, target: float = TARGET_RECALL) -> DataFrame
     named = in_class.groupBy("root").agg(
         F.min("least_id").alias("class_id"), F.min(F.struct("doc_id", "row_hash")).alias("keeper")
     )
-    known = in_class.join(named, "root").join(linked, "node", "left").select(
+    known = in_class.join(stage(named, "named"), "root").join(linked, "node", "left").select(
         "node", "copies", "class_id", "keeper", F.coalesce("linked", F.lit(0)).alias("linked")
     )
     own = F.col("node").isNull()

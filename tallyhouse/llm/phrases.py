@@ -34,6 +34,9 @@ GRAM = 12
 AUTOMATON_CHARS = 1 << 20
 PASSAGE_WORDS = 4000
 
+#: Windows of a region that its mask has bits for.
+MASK_BITS = 63
+
 
 def _scan(window: int, gram: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,6 +79,8 @@ def _window_hashes(window: int):
 
 def recurring_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """Regions (``keyed`` row, place of the first window, number) with ``mask``, the bits of their recurring windows."""
+    if not 0 < window - gram + 1 <= MASK_BITS:
+        raise ValueError(f"a region has up to {window - gram + 1} windows, a mask {MASK_BITS} bits")
     found = regions.recurring(docs, _scan(window, gram))
     chosen = regions.representatives(found)
     entry = F.struct("anchor", "c1", "c2", "copies", "place", "n")
@@ -85,9 +90,11 @@ def recurring_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -
     windows = stage(with_text.mapInArrow(_window_hashes(window), schema), "windows")
     several = windows.groupBy("h1", "h2").agg(F.sum("copies").alias("k")).filter(F.col("k") > 1).select("h1", "h2")
     several = stage(several, "several")
-    bit = F.expr("shiftleft(1L, step)")
-    masks = windows.join(several, ["h1", "h2"]).groupBy("anchor", "c1", "c2").agg(F.sum(bit).alias("mask"))
-    mixed = found.filter("mixed").join(masks, ["anchor", "c1", "c2"])
+    # an identical row gives the windows of its region once more, which leaves the bits as they are
+    bit = F.bit_or(F.expr("shiftleft(1L, step)")).alias("mask")
+    masks = windows.join(several, ["h1", "h2"]).groupBy("anchor", "c1", "c2").agg(bit)
+    # read back, so that the join's own exchange lets hot contents be split
+    mixed = found.filter("mixed").join(stage(masks, "masks"), ["anchor", "c1", "c2"])
     whole = found.filter(~F.col("mixed")).withColumn("mask", F.expr("shiftleft(1L, n) - 1"))
     columns = [*regions.KEY, "place", "n", "mask"]
     return mixed.select(*columns).unionAll(whole.select(*columns))

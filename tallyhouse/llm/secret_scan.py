@@ -262,8 +262,13 @@ def forest_sql(model: RandomForestClassificationModel, of: str) -> str:
     return f"(({' + '.join(trees)}) / {len(trees)})"
 
 
-def scan(docs: DataFrame, findings: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with ``findings`` added: place (word from 0), value, score and verdict of every candidate."""
+def scan(
+    docs: DataFrame, findings: DataFrame | None = None, threshold: float = THRESHOLD, name: str = "findings"
+) -> DataFrame:
+    """``docs`` with every candidate's place (word from 0), value, score and verdict as column ``name``.
+
+    A column of that name is replaced.
+    """
     spark = docs.sparkSession
     model = train(labelled_findings(spark) if findings is None else findings)
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -294,8 +299,8 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, threshold: float =
     scored = f"transform(__measured, c -> named_struct('place', c.place, 'value', c.value, 'score', {score}))"
     judged = f"transform(__scored, c -> named_struct('place', c.place, 'value', c.value, 'score', c.score, 'secret', c.score >= {threshold}D))"
     out = found.withColumn("__measured", measured).withColumn("__scored", F.expr(scored))
-    others = [f"`{c}`" for c in docs.columns if c != "findings"]
-    return out.select(*others, F.expr(judged).alias("findings"))
+    others = [f"`{c}`" for c in docs.columns if c != name]
+    return out.select(*others, F.expr(judged).alias(name))
 
 
 def list_findings(docs: DataFrame, findings: DataFrame | None = None) -> DataFrame:
@@ -313,8 +318,8 @@ def list_findings(docs: DataFrame, findings: DataFrame | None = None) -> DataFra
 
 def redact(docs: DataFrame, findings: DataFrame | None = None, mask: str = MASK) -> DataFrame:
     """``docs`` with every secret's value replaced in the text, longest first; all rows stay."""
-    scanned = scan(docs, findings)
-    kept = F.transform(F.filter("findings", lambda f: f["secret"]), lambda f: f["value"])
+    scanned = scan(docs, findings, name="__findings")
+    kept = F.transform(F.filter("__findings", lambda f: f["secret"]), lambda f: f["value"])
     longest = F.sort_array(F.transform(F.array_distinct(kept), lambda v: F.struct(F.length(v).alias("n"), v.alias("v"))), False)
     quoted = lambda v: F.concat(F.lit(r"(?<![A-Za-z0-9])\Q"), F.replace(v, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?![A-Za-z0-9])"))
     clean = F.aggregate(longest, F.col("text"), lambda t, v: F.when(v["n"] >= 12, F.replace(t, v["v"], F.lit(mask))).otherwise(F.regexp_replace(t, quoted(v["v"]), F.lit(mask))))

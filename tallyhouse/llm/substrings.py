@@ -158,7 +158,9 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     found = regions.recurring(docs, _scan(window, gram))
     chosen = stage(regions.representatives(found), "representatives")
     many = chosen.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= SPLIT_FROM)
-    marked = chosen.join(many.select("anchor", F.lit(True).alias("many")), "anchor", "left")
+    # read back, so that the join's own exchange lets anchors of many regions be split
+    many = stage(many.select("anchor", F.lit(True).alias("many")), "many")
+    marked = chosen.join(many, "anchor", "left")
     entry = F.struct("anchor", "c1", "c2", "place", "n", "lead", F.col("many").isNotNull().alias("split"))
     listed = marked.groupBy(*regions.KEY).agg(F.collect_list(entry).alias("listed"))
     pieces = regions.with_texts(docs, listed).select("z", "size", "listed").mapInArrow(_pieces(window), PIECE_SCHEMA)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyhouse.llm.shipping import ship
-from tallyhouse.session import scratch_path
+from tallyhouse.session import arrow_uri, scratch_path
 
 SCALE = 64
 PARTITION_ROWS = 1 << 16
@@ -135,7 +135,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     path = scratch_path(spark, "queries")
     numbered = queries.select("vec_id", "x", F.monotonically_increasing_id().alias("query_row"))
     numbered.write.parquet(path)
-    stored = path if "://" in path else f"file://{path}"
+    stored = arrow_uri(path)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [b for b in batches if b.num_rows]

@@ -296,10 +296,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Classi
     return Classifier(hashes, weights[: len(hashes)], weights[len(hashes) :], float(fitted.intercept))
 
 
-def score(docs: DataFrame, classifier: Classifier) -> DataFrame:
-    """``docs`` with ``toxicity`` added, a score from 0 to 1 of the whole text."""
+def score(docs: DataFrame, classifier: Classifier, name: str = "toxicity") -> DataFrame:
+    """``docs`` with a score from 0 to 1 of the whole text as column ``name``, in place of one of that name."""
     ship(docs.sparkSession)
-    keep = [c for c in docs.columns if c != "toxicity"]
+    keep = [c for c in docs.columns if c != name]
     at = keep.index("text")
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,11 +310,11 @@ def score(docs: DataFrame, classifier: Classifier) -> DataFrame:
                 looked = _look(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], classifier.hashes)
                 scores.append(classifier.score(looked))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(np.concatenate(scores))], [*batch.schema.names, "toxicity"]
+                [*batch.columns, pa.array(np.concatenate(scores))], [*batch.schema.names, name]
             )
 
     kept = docs.select(*[f"`{c}`" for c in keep])
-    out = T.StructType([*kept.schema.fields, T.StructField("toxicity", T.DoubleType())])
+    out = T.StructType([*kept.schema.fields, T.StructField(name, T.DoubleType())])
     return kept.mapInArrow(rate, out)
 
 
@@ -331,5 +331,5 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that score below the threshold, with their columns as they are."""
-    clean = score(docs, fit(docs, labels)).filter(F.col("toxicity") < threshold)
-    return clean.select(*[f"`{c}`" for c in docs.columns if c != "toxicity"])
+    clean = score(docs, fit(docs, labels), "__toxicity").filter(F.col("__toxicity") < threshold)
+    return clean.select(*[f"`{c}`" for c in docs.columns])

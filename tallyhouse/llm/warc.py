@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.llm.shipping import ship
-from tallyhouse.session import scratch_path, stage
+from tallyhouse.session import arrow_uri, scratch_path, stage
 
 LEAST_REVISIT = 1000
 
@@ -124,7 +124,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
                 if out is None and batch.num_rows:
                     task = TaskContext.get()
                     name = f"{folder}/archive-{task.partitionId():06d}-{task.taskAttemptId()}.warc.gz"
-                    system, path = pafs.FileSystem.from_uri(name)
+                    system, path = pafs.FileSystem.from_uri(arrow_uri(name))
                     out = system.open_output_stream(path, compression=None)
                     path = name
                 rows = []
@@ -180,7 +180,7 @@ def read_records(selected: DataFrame, with_payload: bool = True) -> DataFrame:
             for group in _ranges(list(zip(*(c.to_pylist() for c in batch.columns)))):
                 if group[0][0] != name:
                     name = group[0][0]
-                    system, path = pafs.FileSystem.from_uri(name)
+                    system, path = pafs.FileSystem.from_uri(arrow_uri(name))
                     source = system.open_input_file(path)
                 first = group[0][1]
                 data = source.read_at(group[-1][1] + group[-1][2] - first, first)

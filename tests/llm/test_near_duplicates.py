@@ -75,3 +75,19 @@ def test_odd_rows_and_one_of_each_class(spark, odd_docs, no_docs):
 def test_repeated_rows_that_stand_for_a_class_leave_one(spark):
     df = spark.createDataFrame([(1, "a b c d e f")] * 3 + [(2, "a b c d e f")], "doc_id long, text string")
     assert [r["doc_id"] for r in jaccard_join.keep_one(df).collect()] == [1]
+
+
+def test_texts_whose_words_alternate_by_parity_are_two(spark):
+    """Sums of powers modulo 2^64 cannot tell these apart, whatever the base."""
+    parity = [bin(k).count("1") % 2 for k in range(2048)]
+    texts = [" ".join("ab"[p] for p in parity), " ".join("ba"[p] for p in parity)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r["n_copies"] for r in jaccard_join.similar_classes(docs).collect()] == [1, 1]
+
+
+def test_texts_longer_than_a_block(spark):
+    long = " ".join(f"word{k}" for k in range(120_000))
+    texts = [long, long.replace("word7 ", "other "), long.upper(), "word1 word2"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in jaccard_join.similar_classes(docs).collect()}
+    assert [rows[k]["class_id"] for k in range(4)] == [0, 0, 0, 3] and [rows[k]["n_links"] for k in range(4)] == [2, 2, 2, 0]

@@ -99,6 +99,38 @@ def test_words_equal_brute_force(spark):
     assert [rows[k] for k in range(len(texts))] == _brute_words(texts, 12)
 
 
+@pytest.fixture
+def spread(spark):
+    """Every exchange keeps its partitions, so that identical rows meet other texts in tasks of their own."""
+    given = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "32"}
+    old = {key: spark.conf.get(key) for key in given}
+    for key, value in given.items():
+        spark.conf.set(key, value)
+    yield spark
+    for key, value in old.items():
+        spark.conf.set(key, value)
+
+
+@pytest.mark.parametrize("copies", [2, 3, 5])
+def test_rows_that_repeat_with_the_least_id(spread, copies):
+    words = [f"w{k}" for k in range(70)]
+    whole, part = " ".join(words[:45]), " ".join(["x", *words[3:62], "y"])
+    rows = [(1, whole)] * copies + [(5, part), (0, "z " + whole), (9, None), (1, "other words")]
+    docs = spread.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = sorted(tuple(r)[1:] for r in phrases.remove_repeated(docs).collect())
+    assert got == sorted(_brute_words([t for _, t in rows], 35))
+    got = sorted(tuple(r)[1:5] for r in substrings.remove_repeated(docs, 60, 20).collect())
+    assert got == sorted(_brute_bytes([t for _, t in rows], 60))
+
+
+def test_bounds_that_numbers_cannot_hold_are_refused(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    with pytest.raises(ValueError, match="mask"):
+        phrases.remove_repeated(docs, 80, 4)
+    with pytest.raises(ValueError, match="16"):
+        repeated_starts(np.zeros(3, np.uint8), 1 << 15, str(tmp_path))
+
+
 def test_long_passages_are_cut_and_automata_bounded(spark, monkeypatch):
     monkeypatch.setattr(phrases, "PASSAGE_WORDS", 50)
     monkeypatch.setattr(phrases, "AUTOMATON_CHARS", 300)

@@ -176,3 +176,13 @@ def test_licenses_odd_rows(spark, odd_docs, no_docs):
     rows = licenses.detect(odd_docs).collect()
     assert len(rows) == 13 and sum(r["labels"] == "cc-by,cc-by-nc" for r in rows) == 5
     assert licenses.detect(no_docs).count() == 0
+
+
+def test_columns_named_like_results_stay(spark):
+    rows = [(1, "plain words", "f", 0.5), (2, "x password=8f3a9c1d7e5b2a4f60 y", "g", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, findings string, toxicity double")
+    clean = secret_scan.redact(docs)
+    assert clean.columns == docs.columns
+    assert [tuple(r)[2:] for r in clean.orderBy("doc_id").collect()] == [("f", 0.5), ("g", None)]
+    kept = toxicity.keep_clean(docs, spark.createDataFrame([(1, 0)], "doc_id long, toxic int"))
+    assert kept.columns == docs.columns and kept.dtypes == docs.dtypes
