@@ -71,6 +71,12 @@ DICTIONARY = (
     "value version video view water week white window word work world write xxxx year your"
 ).split()
 
+# Syllables of long words in English, French, German and Spanish, some rich in consonants.
+SOUNDS = (
+    "th", "nd", "st", "sh", "wh", "nt", "ing", "tion", "ent", "hat", "sch", "ung", "keit", "pf", "tz", "cht", "eur", "elle",
+    "que", "oux", "ente", "leur", "los", "das", "ado", "cion", "rro", "lla", "ver", "ein", "hes", "ou",
+)
+
 # Syllables of ordinary long words.
 SYLLABLES = ("con", "ta", "ri", "ment", "in", "ter", "na", "de", "vel", "op", "re", "spon", "si", "bil", "per", "for", "man", "ver", "un", "ge", "ful", "ba", "lo", "mo", "ques", "ca", "li", "tro", "pe", "ness")
 
@@ -141,6 +147,8 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     letters = F.regexp_replace(F.concat(mixed, F.base64(F.unhex(F.sha2(F.concat(seed, F.lit("l")), 512)))), "[^A-Za-z]", "")
     syllable = lambda salt: pick(SYLLABLES, salt)
     ordinary = F.concat(*[syllable(f"s{k}") for k in range(4)], pick(["", "s", "ing", "tion", "ly", "al"], "f"))
+    spoken = F.concat(*[pick(SOUNDS, f"o{k}") for k in range(4)], pick(["", *SOUNDS], "o4"), pick(["", *SOUNDS], "o5"))
+    ended = pick(["", "", ".", ",", ":", "!"], "d")
     symbol = lambda salt: pick(["!", "#", "$", "%", "*", "?", "^", "~"], salt)
     named = F.concat(pick(TELLING, "a"), pick(["=", ":", '="', '":"'], "j"))
     joint = pick(["-", "_", "/", "."], "b")
@@ -176,6 +184,12 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         (F.concat(word, digits(1, 3), pick(DICTIONARY, "v"), digits(4, 3)), said),
         (ordinary, plain),
         (ordinary, said),
+        (spoken, plain),
+        (F.concat(F.upper(spoken), ended), plain),
+        (F.concat(F.upper(spoken), ended), F.upper(F.concat_ws(" ", plain, pick(SOUNDS, "o6")))),
+        (F.concat(F.upper(ordinary), ended), plain),
+        (F.concat(F.upper(spoken), F.lit("-"), F.upper(ordinary), ended), plain),
+        (F.concat(F.initcap(spoken), ended), said),
         (F.concat(ordinary, joint, word, joint, pick(DICTIONARY, "v")), plain),
         (F.concat(F.initcap(word), F.initcap(pick(DICTIONARY, "v")), F.initcap(ordinary)), plain),
         (F.concat(named, pick(DICTIONARY, "v"), close), plain),

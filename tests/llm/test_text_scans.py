@@ -186,3 +186,19 @@ def test_columns_named_like_results_stay(spark):
     assert [tuple(r)[2:] for r in clean.orderBy("doc_id").collect()] == [("f", 0.5), ("g", None)]
     kept = toxicity.keep_clean(docs, spark.createDataFrame([(1, 0)], "doc_id long, toxic int"))
     assert kept.columns == docs.columns and kept.dtypes == docs.dtypes
+
+
+def test_upper_case_prose_is_left_alone(spark):
+    """Headlines of four languages in the documents, next to assigned keys."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "source").repartition(16)
+    named = r"(?i)(?:password|token|secret|api_key)[\"' ]*[=:][\"' ]*[0-9a-f]{16,}"
+    values = F.expr("transform(findings, f -> struct(f.value AS value, f.secret AS secret))")
+    scanned = secret_scan.scan(docs).select("doc_id", F.col("text").rlike(named).alias("named"), values.alias("f"))
+    rows = scanned.filter("named OR exists(f, x -> x.secret)").collect()
+    flagged = [x["value"] for r in rows for x in r["f"] if x["secret"]]
+    letters = [v for v in flagged if not re.search("[0-9]", v)]
+    assert len(letters) < 0.05 * len(flagged) and len(flagged) >= 166
+    assert all(any(x["secret"] for x in r["f"]) for r in rows if r["named"])
+    prose = ["THTIERSHATWH OFERBLEINGND", "VONENSTKEITLICH DIECHBERSCHCH", "RETIONTIONEN LAAITIONELLEELLE", "DELASADOBOGA"]
+    plain = spark.createDataFrame(list(enumerate(prose)), "doc_id long, text string")
+    assert [r["text"] for r in secret_scan.redact(plain).orderBy("doc_id").collect()] == prose
