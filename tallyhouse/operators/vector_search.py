@@ -65,9 +65,26 @@ def nearest_for_each(
     return partial.withColumn("_rank", F.row_number().over(ranked)).filter(F.col("_rank") <= k).drop("_rank")
 
 
+def smallest_in_rows(k: int):
+    """A function from distances to the (query, row) of exactly k rows a query; of equal distances the first columns."""
+
+    def smallest(distances):
+        import numpy as np
+
+        if distances.shape[1] > k:
+            edge = np.partition(distances, k - 1, axis=1)[:, k - 1 : k]
+            below, ties = distances < edge, distances == edge
+            room = k - below.sum(axis=1, keepdims=True)
+            return np.nonzero(below | (ties & (np.cumsum(ties, axis=1) <= room)))
+        return np.nonzero(np.ones(distances.shape, bool))
+
+    return smallest
+
+
 def _search(stored: str, k: int, sparse: bool, block: int, names: list[str]):
     # A closure with local imports only, so that executors need no installed copy of this package.
     rows_at_once, slice_numbers = ROWS, SLICE
+    smallest = smallest_in_rows(k)
 
     def search(batches):
         import numpy as np
@@ -100,20 +117,11 @@ def _search(stored: str, k: int, sparse: bool, block: int, names: list[str]):
             keep = sound[row]
             return np.flatnonzero(sound), row[keep], bucket[keep], weight[keep] / norms[row[keep]]
 
-        def best(distances, ids):
-            """(query, row) of exactly k per query: by distance, then by id; ``ids`` come in rising order."""
-            if distances.shape[1] > k:
-                edge = np.partition(distances, k - 1, axis=1)[:, k - 1 : k]
-                below, ties = distances < edge, distances == edge
-                room = k - below.sum(axis=1, keepdims=True)
-                return np.nonzero(below | (ties & (np.cumsum(ties, axis=1) <= room)))
-            return np.nonzero(np.ones(distances.shape, bool))
-
         def result(asked, query_rows, ids, id_rows, distances):
             distances = np.round(distances, 12)
             order = np.argsort(ids[id_rows], kind="stable")
             distances, id_rows = distances[:, order], id_rows[order]
-            query, row = best(distances, ids[id_rows])
+            query, row = smallest(distances)
             arrays = [
                 asked.column(0).take(pa.array(query_rows[query])),
                 keys.take(pa.array(id_rows[row])),

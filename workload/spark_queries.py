@@ -12,6 +12,7 @@ from tallyhouse.functions import labels, text
 from tallyhouse.functions.numbers import ratio
 from tallyhouse.operators import benchmarks, embedding, features, grouping, outliers, scoring, tenancy, topk
 from tallyhouse.operators.paths import Edge, Node, match_path
+from tallyhouse.operators.vector_index import DenseIndex
 from tallyhouse.operators.vector_search import nearest, nearest_for_each
 from tallyhouse.plans import lakehouse, sales as sales_plan, surveys as survey_plan, trades as trade_plan
 from tallyhouse.operators.periods import match_periods
@@ -661,6 +662,16 @@ def j2_vector_search(spark, sf):
     return found.select("vec_id", F.round("distance", 3).alias("cosine_distance"))
 
 
+@query
+def j2_indexed_search(spark, sf):
+    """The nearest two of each label's mean, read from some clusters of an index."""
+    index = DenseIndex.build(
+        inputs.table(spark, sf, "embeddings"), scratch_path(spark, "index"), key="vec_id", vector="embedding"
+    )
+    found = index.search(inputs.mean_vectors(spark, sf, "label"), 2, query_key="label", query_vector="query").found
+    return found.select("label", "vec_id", _r("distance", 6))
+
+
 @query
 def j3_embedding(spark, sf):
     documents = inputs.texts(spark, sf)
