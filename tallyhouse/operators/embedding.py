@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyhouse.functions.text import word_buckets
-from tallyhouse.session import stage
+from tallyhouse.session import arrow_uri, scratch_path, stage
 
 #: Buckets that words are hashed to; their weights are the only fitted numbers (8 bytes each).
 DIM = 1 << 18
@@ -26,15 +26,20 @@ SPARSE = T.StructType(
 
 @dataclass(frozen=True)
 class Embedder:
-    """Word buckets and their fitted weights; at most ``dim`` numbers, whatever the size of the corpus.
+    """Word buckets and their fitted weights, a table (bucket, weight) in the shared folder that tasks load.
 
-    A bucket that ``weights`` lacks has the weight ``unseen``.
+    It has at most ``dim`` rows, whatever the size of the corpus. A bucket that it lacks has the weight ``unseen``.
     """
 
     dim: int
-    weights: dict[int, float]
+    table: DataFrame
+    stored: str
     unseen: float
 
+    @property
+    def weights(self) -> dict[int, float]:
+        return {row["bucket"]: row["weight"] for row in self.table.collect()}
+
     def transform(self, df: DataFrame, key: str, text: str, vector: str) -> DataFrame:
         """(key, vector) for every row, NULL for a NULL text; row-local, no shuffle. Weights of 0 are left out."""
         return self.weigh(bucket_words(df, key, text, self.dim), key, vector)
@@ -46,7 +51,7 @@ class Embedder:
         regroup every word.
         """
         schema = T.StructType([bucketed.schema[key], T.StructField(vector, SPARSE)])
-        count = _count_words(self.dim, self.weights, self.unseen, key, vector)
+        count = _count_words(self.dim, arrow_uri(self.stored), self.unseen, key, vector)
         return bucketed.select(key, BUCKETS).mapInArrow(count, schema)
 
 
@@ -56,14 +61,13 @@ def bucket_words(df: DataFrame, key: str, text: str, dim: int) -> DataFrame:
 
 
 def fit_embedder(bucketed: DataFrame, dim: int) -> Embedder:
-    """Weights ``ln((n + 1) / (df + 1))`` per bucket; one aggregation that brings ``dim + 1`` numbers at most."""
-    none = F.array().cast("array<int>")
-    # A leading -1 per row counts the rows in the same aggregation.
-    marked = F.concat(F.array(F.lit(-1)), F.coalesce(F.array_distinct(BUCKETS), none))
-    counts = bucketed.select(F.explode(marked).alias("bucket")).groupBy("bucket").count().toPandas()
-    found = dict(zip(counts["bucket"].tolist(), counts["count"].tolist()))
-    n = found.pop(-1, 0)
-    return Embedder(dim, {b: math.log((n + 1) / (df + 1)) for b, df in found.items()}, math.log(n + 1))
+    """Weights ``ln((n + 1) / (df + 1))`` per bucket, from one aggregation whose result stays in the shared folder."""
+    spark = bucketed.sparkSession
+    n = bucketed.count()
+    held = bucketed.select(F.explode(F.array_distinct(BUCKETS)).alias("bucket")).groupBy("bucket").count()
+    path = scratch_path(spark, "weights")
+    held.select("bucket", F.log((n + 1) / (F.col("count") + 1)).alias("weight")).write.parquet(path)
+    return Embedder(dim, spark.read.schema("bucket int, weight double").parquet(path), path, math.log(n + 1))
 
 
 def embed_corpus(df: DataFrame, key: str, text: str, vector: str, dim: int = DIM) -> tuple[Embedder, DataFrame]:
@@ -77,17 +81,19 @@ def embed_corpus(df: DataFrame, key: str, text: str, vector: str, dim: int = DIM
     return embedder, embedder.weigh(bucketed, key, vector)
 
 
-def _count_words(dim: int, weights: dict[int, float], unseen: float, key: str, vector: str):
-    import numpy as np
-
+def _count_words(dim: int, stored: str, unseen: float, key: str, vector: str):
     # A closure with local imports only, so that executors need no installed copy of this package.
-    known = np.array(sorted(weights), dtype="int64")
-    values = np.array([weights[b] for b in known.tolist()], dtype="float64")
-
     def count(batches):
         import numpy as np
         import pyarrow as pa
-
+        import pyarrow.dataset as pads
+        import pyarrow.fs as pafs
+
+        system, place = pafs.FileSystem.from_uri(stored)
+        fitted = pads.dataset(place, filesystem=system, format="parquet").to_table()
+        values = np.full(dim, unseen)
+        if fitted.num_rows:
+            values[fitted.column("bucket").to_numpy()] = fitted.column("weight").to_numpy()
         for batch in batches:
             n = batch.num_rows
             lists = batch.column(1)
@@ -95,11 +101,7 @@ def _count_words(dim: int, weights: dict[int, float], unseen: float, key: str, v
             flat = lists.flatten().to_numpy(zero_copy_only=False).astype("int64")
             pairs, times = np.unique(np.repeat(np.arange(n), lengths) * dim + flat, return_counts=True)
             row, bucket = pairs // dim, pairs % dim
-            weight = np.full(len(pairs), unseen)
-            if len(known):
-                at = np.minimum(np.searchsorted(known, bucket), len(known) - 1)
-                weight = np.where(known[at] == bucket, values[at], unseen)
-            weight = weight * times
+            weight = values[bucket] * times
             row, bucket, weight = (x[weight != 0] for x in (row, bucket, weight))
             norms = np.sqrt(np.bincount(row, weights=weight * weight, minlength=n))
             offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))]).astype("int32"))

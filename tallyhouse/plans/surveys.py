@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from tallyhouse.functions.labels import HAZARD_AREAS
 from tallyhouse.functions.text import file_slug, name_slug
 from tallyhouse.operators.benchmarks import cost_ratios, flag_deviating, performance_index
-from tallyhouse.operators.embedding import embed_corpus
+from tallyhouse.operators.embedding import BUCKETS, DIM, bucket_words, embed_corpus, fit_embedder
 from tallyhouse.operators.features import parse_payload
 from tallyhouse.operators.paths import Edge, Node, match_path
 from tallyhouse.operators.periods import match_periods
@@ -104,10 +104,19 @@ def costliest_accounts(benchmarks: DataFrame, n: int = 5) -> DataFrame:
 
 def search_texts(texts: DataFrame, question: str, k: int = 2, *, key: str, text: str) -> DataFrame:
     """The ``k`` texts nearest to a question, with their distance to three digits."""
-    embedder, corpus = embed_corpus(texts, key, text, "_vector")
+    bucketed = stage(bucket_words(texts, key, text, DIM), "buckets")
+    embedder = fit_embedder(bucketed, DIM)
     asked = texts.sparkSession.createDataFrame([(0, question)], "_question long, _words string")
-    query = embedder.transform(asked, "_question", "_words", "_vector").select("_vector")
-    found = stage(nearest(corpus, query, k, key=key, vector="_vector"), "found")
+    query = stage(embedder.transform(asked, "_question", "_words", "_vector").select("_vector"), "question")
+
+    def nearest_of(rows: DataFrame) -> DataFrame:
+        return stage(nearest(embedder.weigh(rows, key, "_vector"), query, k, key=key, vector="_vector"), "found")
+
+    # Texts without any word of the question are at distance 1; no weight is below zero, so that none is further.
+    said = query.select("_vector.bucket").first()["bucket"] or []
+    found = nearest_of(bucketed.filter(F.arrays_overlap(BUCKETS, F.array(*[F.lit(b) for b in said])))) if said else None
+    if found is None or found.filter("distance < 1").count() < k:
+        found = nearest_of(bucketed)
     # Only the k keys go back to the texts; as literals they reach the files' statistics.
     keys = [row[key] for row in found.select(key).collect()]
     few = texts.select(key, text).filter(F.col(key).isin(keys) if keys else F.lit(False))

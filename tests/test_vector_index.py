@@ -6,6 +6,8 @@ import numpy as np
 import pytest
 
 from tallyhouse import session
+from tallyhouse.operators.embedding import embed_corpus
+from tallyhouse.operators.text_index import TextIndex
 from tallyhouse.operators.vector_index import DenseIndex
 from tallyhouse.operators.vector_search import nearest_for_each
 
@@ -86,3 +88,37 @@ def test_a_query_reads_the_folders_of_its_clusters_only(spark):
     rows = index._rows().filter(f"cluster IN ({', '.join(map(str, read))})")
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"PartitionFilters: \[[^\]]*cluster#", plan)
+
+
+def _texts(rng, n):
+    """Words of very different frequency, as in prose."""
+    share = 1 / np.arange(1, 801)
+    return [" ".join(f"w{w}" for w in rng.choice(800, int(rng.integers(0, 40)), p=share / share.sum())) for _ in range(n)]
+
+
+def test_posting_lists_equal_the_exhaustive_search(spark):
+    rng = np.random.default_rng(6)
+    texts = _texts(rng, 600)
+    texts += [texts[5], texts[5], None, "", "only here twice", "only here twice"]
+    corpus = spark.createDataFrame(list(enumerate(texts)), "id long, t string").repartition(4)
+    asked = [texts[5], texts[40] + " w3 w799", "w1 w2", "only here", "nowhere", "", None, "w0", "w700 w701 w702 w1"]
+    queries = spark.createDataFrame([(f"q{k}", t) for k, t in enumerate(asked)], "q string, words string")
+    embedder, vectors = embed_corpus(corpus, "id", "t", "v")
+    index = TextIndex.build(corpus, session.scratch_path(spark, "texts"), key="id", text="t")
+    for k in (2, 25):
+        sought = embedder.transform(queries, "q", "words", "w")
+        exact = nearest_for_each(vectors, sought, k, key="id", vector="v", query_key="q", query_vector="w")
+        search = index.search(queries, k, query_key="q", text="words")
+        got = sorted((r["q"], r["id"], round(r["distance"], 9)) for r in search.found.collect())
+        assert got == sorted((r["q"], r["id"], round(r["distance"], 9)) for r in exact.collect())
+        assert search.share_scored(index) < 0.6
+    again = TextIndex(spark, index.path).search(queries.limit(1), 2, query_key="q", text="words")
+    assert [r["id"] for r in again.found.orderBy("distance", "id").collect()] == [5, 600]
+
+
+def test_a_text_index_of_nothing(spark):
+    nothing = spark.createDataFrame([], "id long, t string")
+    index = TextIndex.build(nothing, session.scratch_path(spark, "texts"), key="id", text="t")
+    queries = spark.createDataFrame([("a", "some words")], "q string, words string")
+    search = index.search(queries, 3, query_key="q", text="words")
+    assert search.found.count() == 0 and search.share_scored(index) == 0

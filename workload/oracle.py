@@ -629,3 +629,4 @@ ORACLE: dict[str, str] = {
 }
 # An index changes what is read, not what is found.
 ORACLE["j2_indexed_search"] = ORACLE["c9_distance_to_corpus"]
+ORACLE["m8_indexed_passages"] = ORACLE["m8_passage_search"]

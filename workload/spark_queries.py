@@ -12,6 +12,7 @@ from tallyhouse.functions import labels, text
 from tallyhouse.functions.numbers import ratio
 from tallyhouse.operators import benchmarks, embedding, features, grouping, outliers, scoring, tenancy, topk
 from tallyhouse.operators.paths import Edge, Node, match_path
+from tallyhouse.operators.text_index import TextIndex
 from tallyhouse.operators.vector_index import DenseIndex
 from tallyhouse.operators.vector_search import nearest, nearest_for_each
 from tallyhouse.plans import lakehouse, sales as sales_plan, surveys as survey_plan, trades as trade_plan
@@ -874,6 +875,14 @@ def m8_passage_search(spark, sf):
     return found.select("item_id", "doc_id", _r("distance", 6))
 
 
+@query
+def m8_indexed_passages(spark, sf):
+    """The two texts nearest to each passage, from posting lists."""
+    index = TextIndex.build(inputs.texts(spark, sf), scratch_path(spark, "texts"), key="doc_id", text="text")
+    found = index.search(inputs.table(spark, sf, "benchmark"), 2, query_key="item_id", text="text").found
+    return found.select("item_id", "doc_id", _r("distance", 6))
+
+
 @query
 def m9_shared_equipment(spark, sf):
     return survey_plan.shared_equipment(**inputs.network(spark, sf), model_name=inputs.MODEL)
