@@ -630,3 +630,7 @@ ORACLE: dict[str, str] = {
 # An index changes what is read, not what is found.
 ORACLE["j2_indexed_search"] = ORACLE["c9_distance_to_corpus"]
 ORACLE["m8_indexed_passages"] = ORACLE["m8_passage_search"]
+ORACLE["i1_judged_arrivals"] = ORACLE["d9_baselines"]
+ORACLE["m4_running_summary"] = """SELECT CAST(ts AS DATE) AS trade_date, event_type AS ticker,
+    CAST(sum(user_id + 1) AS BIGINT) AS total_volume, round(sum(value * (user_id + 1)), 2) AS total_value
+    FROM events GROUP BY 1, 2"""

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyhouse.functions import labels, text
-from tallyhouse.functions.numbers import ratio
 from tallyhouse.operators import benchmarks, embedding, features, grouping, outliers, scoring, tenancy, topk
 from tallyhouse.operators.paths import Edge, Node, match_path
 from tallyhouse.operators.text_index import TextIndex
@@ -20,6 +19,8 @@ from tallyhouse.operators.periods import match_periods
 from tallyhouse.session import broadcast_within, scratch_path, stage
 from tallyhouse.sources import files, generate, schemas, tables
 from tallyhouse.sources.versions import VersionedTable, conditional_update
+from tallyhouse.operators.running import RunningSummary
+from tallyhouse.streaming import arrivals
 from tallyhouse.streaming.ingest import ingest_into
 from workload import inputs
 
@@ -608,6 +609,23 @@ def i1_stream_ingest(spark, sf):
     return table.read()
 
 
+@query
+def i1_judged_arrivals(spark, sf):
+    """Baselines after a stream of files has been judged batch by batch, with a restart in between."""
+    path, trades = scratch_path(spark, "arrivals"), inputs.trades(spark, sf)
+    trades.repartition(4, "trade_id").write.parquet(f"{path}/landing")
+    table = VersionedTable.create(spark, f"{path}/trades", trades.schema)
+    scored = T.StructType([*trades.schema.fields, T.StructField("price_z_score", T.DoubleType())])
+    found = VersionedTable.create(spark, f"{path}/outliers", scored)
+    summary = arrivals.price_baselines(table, f"{path}/baselines")
+    for folder in (f"{path}/landing/part-0000[01]*", f"{path}/landing/part-*"):
+        arrivals.judge_arrivals(
+            table, summary, found, folder, trades.schema, f"{path}/checkpoint", limit=1.5, files_per_batch=1
+        )
+    baselines = arrivals.baselines_of(summary)
+    return baselines.select("ticker", "trade_date", _r("avg_price", 6), _r("stddev_price", 6))
+
+
 @query
 def i2_trades(spark, sf):
     ids = inputs.table(spark, sf, "events").select("event_id", F.to_date("ts").alias("day"))
@@ -820,6 +838,22 @@ def m4_daily_ticker_summary(spark, sf):
     return summary.select("trade_date", "ticker", "total_volume", _r("vwap", 6)).orderBy("trade_date", "ticker")
 
 
+@query
+def m4_running_summary(spark, sf):
+    """The daily summary, kept up from the commits of a trades table."""
+    path, trades = scratch_path(spark, "running"), inputs.trades(spark, sf)
+    table = VersionedTable.create(spark, f"{path}/trades", trades.schema)
+    keys = {"trade_date": F.to_date("trade_timestamp"), "ticker": F.col("ticker")}
+    measures = {"quantity": F.col("quantity"), "notional": F.col("price") * F.col("quantity")}
+    summary = RunningSummary.create(table, f"{path}/summary", keys, measures)
+    for k in range(3):
+        table.append(trades.filter(F.pmod(F.xxhash64("trade_id"), F.lit(3)) == k))
+        summary.update(table)
+    return summary.read().select(
+        "trade_date", "ticker", F.col("quantity_sum").alias("total_volume"), _r("notional_sum", 2).alias("total_value")
+    )
+
+
 @query
 def m5_table_life(spark, sf):
     table, _ = _life(spark, sf)
