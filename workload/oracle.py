@@ -634,3 +634,10 @@ ORACLE["i1_judged_arrivals"] = ORACLE["d9_baselines"]
 ORACLE["m4_running_summary"] = """SELECT CAST(ts AS DATE) AS trade_date, event_type AS ticker,
     CAST(sum(user_id + 1) AS BIGINT) AS total_volume, round(sum(value * (user_id + 1)), 2) AS total_value
     FROM events GROUP BY 1, 2"""
+ORACLE["m2_sales_summary_bucketed"] = _SUMMARY
+ORACLE["j1_many_labels"] = """WITH l AS (
+    SELECT l_orderkey, l_linenumber, p_name || ' ' || CAST(l_partkey AS VARCHAR) || ' ' || CAST(l_suppkey AS VARCHAR) AS label
+    FROM lineitem JOIN part ON l_partkey = p_partkey),
+    ranks AS (SELECT label, CAST(row_number() OVER (ORDER BY count(*) DESC, label) - 1 AS DOUBLE) AS label_index
+    FROM l GROUP BY 1)
+    SELECT l_orderkey, l_linenumber, label, label_index FROM l JOIN ranks USING (label)"""

@@ -673,6 +673,16 @@ def j1_string_index(spark, sf):
     return indexed.select("trade_id", "ticker", "ticker_index")
 
 
+@query
+def j1_many_labels(spark, sf):
+    """A label for nearly every row: part names numbered by how often they are ordered."""
+    names = inputs.table(spark, sf, "part").select("p_partkey", "p_name")
+    ordered = inputs.table(spark, sf, "lineitem").join(names, F.col("l_partkey") == F.col("p_partkey"))
+    label = F.concat_ws(" ", "p_name", F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"))
+    labelled = ordered.select("l_orderkey", "l_linenumber", label.alias("label"))
+    return features.index_many_labels(labelled, "label", "label_index")
+
+
 @query
 def j2_vector_search(spark, sf):
     found = nearest(
@@ -826,6 +836,14 @@ def m2_sales_summary_clustered(spark, sf):
     return _summary(sales_plan.sales_summary_sql(spark, sales, customers))
 
 
+@query
+def m2_sales_summary_bucketed(spark, sf):
+    path = scratch_path(spark, "m2")
+    names = tuple(f"{kind}_{path.rpartition('-')[2]}" for kind in ("sales", "customers"))
+    sales_plan.load_bucketed(inputs.sales(spark, sf), inputs.customers(spark, sf), names, path, buckets=8)
+    return _summary(sales_plan.sales_summary_bucketed(spark, names))
+
+
 @query
 def m3_compliance_review(spark, sf):
     review = trade_plan.compliance_review(inputs.trades(spark, sf))
