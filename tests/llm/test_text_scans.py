@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from tallyhouse.llm import licenses, secret_scan, toxicity
@@ -100,6 +101,19 @@ def test_the_forest_on_unseen_findings(spark):
     assert len(model.trees) == secret_scan.TREES and right > 0.9
 
 
+def test_the_forest_in_sql_equals_the_model(spark):
+    """On labelled findings that it was not trained from, at every candidate of a word."""
+    model = secret_scan.train(secret_scan.labelled_findings(spark, 2000))
+    found = secret_scan.labelled_findings(spark, 3000).filter("word IS NOT NULL").select(
+        "near", "path", F.explode(secret_scan.candidates(F.col("word"), F.col("near"))).alias("c")
+    )
+    table = found.select(F.struct(*secret_scan.features(F.col("c"), F.col("near"), F.col("near"), F.col("path"))).alias("f"))
+    wide = table.select("f.*", F.expr(secret_scan.forest_sql(model, "f")).alias("ours"))
+    vectors = VectorAssembler(inputCols=list(secret_scan.FEATURES), outputCol="x").transform(wide)
+    rows = model.transform(vectors.select("x", "ours")).select("ours", "probability").collect()
+    assert len(rows) > 2000 and max(abs(r["ours"] - r["probability"][1]) for r in rows) < 1e-9
+
+
 def test_secrets_odd_rows(spark, odd_docs, no_docs):
     clean = secret_scan.redact(odd_docs)
     assert clean.columns == odd_docs.columns and clean.count() == 13
