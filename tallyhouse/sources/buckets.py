@@ -18,13 +18,16 @@ from tallyhouse.sources.tables import quoted
 
 SALT, SPLIT = "_salt", "_split"
 
+#: Parts of a hot key for each even share of a bucket that it has: more of them lie more evenly.
+PARTS_PER_SHARE = 2
+
 
 def hot_keys(facts: DataFrame, key: str, buckets: int) -> DataFrame:
     """(_hot, parts) of the keys with more rows than an even share of a bucket; fewer than ``buckets`` rows."""
     counts = facts.groupBy(F.col(key).alias("_hot")).agg(F.count(F.lit(1)).alias("n"))
     share = max(facts.count() / buckets, 1.0)
-    large = counts.filter(F.col("n") > share)
-    return stage(large.select("_hot", F.ceil(F.col("n") / share).cast("int").alias("parts")), "hot")
+    parts = F.ceil(PARTS_PER_SHARE * F.col("n") / share).cast("int").alias("parts")
+    return stage(counts.filter(F.col("n") > share).select("_hot", parts), "hot")
 
 
 def _marked(rows: DataFrame, key: str, hot: DataFrame) -> DataFrame:
