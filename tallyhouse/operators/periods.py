@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 from tallyhouse.session import build_side, row_bytes, stage
 
 GRAINS = ("day", "month", "year")
+SPREADS = ("calendar", "stretches")
 MAX_REPEATS = 16
 
 #: Pairs of events and periods of one key from which on the key is spread over calendar buckets.
 HOT_PAIRS = 20_000_000
 
+#: Stretches that a hot key's events are cut into, of about equal numbers of events.
+STRETCHES = 64
+
 
 def _bucket(date: Column, grain: str) -> Column:
     day = F.to_date(date)
@@ -45,6 +49,7 @@ def match_periods(
     closed: str = "both",
     grain: str | None = None,
     hot_pairs: int = HOT_PAIRS,
+    spread: str = "calendar",
 ) -> DataFrame:
     """Events with every period of the same key that covers their date or time.
 
@@ -56,6 +61,9 @@ def match_periods(
     are joined on (key, calendar bucket) instead, with the same condition: their periods are repeated once per bucket
     that they cover, so that rows only meet within a bucket. Which keys these are is counted beforehand, both sides
     aggregated by key; the rows returned do not depend on it. A ``grain`` puts all keys into buckets of that size.
+
+    ``spread="stretches"`` cuts a hot key at quantiles of its own event times instead of calendar buckets, and repeats a
+    period once for each cut that it crosses. It suits long periods, and events that crowd in a part of the calendar.
     """
     if how not in ("inner", "left"):
         raise ValueError("how must be 'inner' or 'left'")
@@ -63,6 +71,8 @@ def match_periods(
         raise ValueError("closed must be 'both' or 'left'")
     if grain is not None and grain not in GRAINS:
         raise ValueError(f"grain must be one of {GRAINS}")
+    if spread not in SPREADS:
+        raise ValueError(f"spread must be one of {SPREADS}")
     names = {"on": on, "date": date, "start": start, "end": end}
     if grain is not None:
         return _bucketed(events, periods, **names, how=how, closed=closed, grain=grain)
@@ -83,6 +93,8 @@ def match_periods(
     cold = _plain(
         cold_events, build_side(cold_periods, facts["bytes"]), **names, how=how, closed=closed, columns=periods.columns
     )
+    if spread == "stretches":
+        return cold.unionAll(_stretched(hot_events, few_periods, **names, how=how, closed=closed))
     return cold.unionAll(_bucketed(hot_events, few_periods, **names, how=how, closed=closed, grain=None))
 
 
@@ -91,6 +103,33 @@ def _plain(events, periods, *, on, date, start, end, how, closed, columns) -> Da
     return events.alias("e").join(periods.alias("p"), _covered(on, date, start, end, closed), how).select(*kept)
 
 
+def _stretch(cuts: Column, time: Column) -> Column:
+    """How many cuts are not after ``time``. It never falls as time goes on, which is all that the join relies on."""
+    return F.size(F.filter(cuts, lambda cut: cut <= time))
+
+
+def stretched_periods(periods: DataFrame, cuts: DataFrame, *, on: str, start: str, end: str) -> DataFrame:
+    """``periods`` once for each stretch ``_stretch`` that they meet, by their key's ``_cuts``."""
+    first, last = _stretch(F.col("_cuts"), F.col(start)), _stretch(F.col("_cuts"), F.col(end))
+    sound = periods.filter(F.col(start) <= F.col(end))
+    return sound.join(cuts, on).withColumn("_stretch", F.explode(F.sequence(first, last))).drop("_cuts")
+
+
+def _stretched(events, periods, *, on, date, start, end, how, closed) -> DataFrame:
+    """The join on (key, stretch). An event lies in one stretch, so no pair appears twice."""
+    shares = [k / STRETCHES for k in range(1, STRETCHES)]
+    # one row a hot key; read back, so that the joins' own exchanges let hot keys be split
+    cuts = events.groupBy(on).agg(
+        F.coalesce(F.array_distinct(F.percentile_approx(date, shares)), F.array()).alias("_cuts")
+    )
+    cuts = stage(cuts, "cuts")
+    placed = events.join(cuts, on).withColumn("_stretch", _stretch(F.col("_cuts"), F.col(date))).drop("_cuts")
+    repeated = stretched_periods(periods, cuts, on=on, start=start, end=end)
+    covered = _covered(on, date, start, end, closed) & (F.col("e._stretch") == F.col("p._stretch"))
+    kept = [F.col(f"e.{c}") for c in events.columns] + [F.col(f"p.{c}") for c in periods.columns if c != on]
+    return placed.alias("e").join(repeated.alias("p"), covered, how).select(*kept)
+
+
 def _bucketed(events, periods, *, on, date, start, end, how, closed, grain) -> DataFrame:
     """The join on (key, bucket). An event lies in one bucket, so no pair appears twice.
 

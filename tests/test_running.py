@@ -163,3 +163,21 @@ def test_arrivals_are_judged_once(spark, path):
     last = trades.added_since(trades.history().collect()[-2]["snapshot_id"])
     final = outliers.outside(outliers.trade_zscores(last, outliers.daily_ticker_baselines(rows)), "price_z_score", 1.2)
     assert {r["trade_id"] for r in final.collect()} == set(judged) & {r["trade_id"] for r in last.collect()}
+
+
+def test_sketches_of_commits_are_united(spark, path, monkeypatch):
+    monkeypatch.setattr(running, "FOLD_AFTER", 2)
+    rows = spark.range(60_000).selectExpr("IF(id % 3 = 0, NULL, string(id % 2)) AS k", "id * 7 % 40000 AS v", "string(NULL) AS no")
+    source = VersionedTable.create(spark, f"{path}/t", rows.schema)
+    keys, counted = {"k": F.col("k")}, {"k": F.col("k"), "v": F.col("v"), "no": F.col("no")}
+    summary = RunningSummary.create(source, f"{path}/s", keys, {"v": F.col("v")}, counted)
+    assert summary.read().count() == 0
+    for k in range(4):
+        source.append(rows.filter(F.col("v") % 5 >= k))  # most values come several times
+        summary.update(source)
+    exact = {r["k"]: r["n"] for r in source.read().groupBy("k").agg(F.countDistinct("v").alias("n")).collect()}
+    got = {r["k"]: r for r in summary.read().collect()}
+    assert got.keys() == exact.keys() == {None, "0", "1"}
+    for k, r in got.items():
+        assert abs(r["v_distinct"] - exact[k]) <= 0.02 * exact[k]
+        assert r["k_distinct"] == (k is not None) and r["no_distinct"] == 0

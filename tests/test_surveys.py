@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 import literal_rows as rows
 from tallyhouse.functions.labels import HAZARD_AREAS
+from tallyhouse.operators import periods
 from tallyhouse.operators.benchmarks import cost_ratios, performance_index, with_group_mean
 from tallyhouse.operators.paths import Edge, Node, match_path
 from tallyhouse.operators.periods import GRAINS, match_periods
@@ -258,3 +259,39 @@ def test_every_grain_equals_brute_force(spark, kind, closed, how):
         for options in ({}, {"hot_pairs": 1}, {"hot_pairs": 500}, *({"grain": g} for g in GRAINS)):
             got = match_periods(left, periods, on="k", date="at", start="s", end="e", how=how, closed=closed, **options)
             assert sorted(map(str, ((r["id"], r["n"]) for r in got.collect()))) == sorted(map(str, pairs)), options
+
+
+@pytest.mark.parametrize("kind", ["date", "timestamp", "timestamp_ntz"])
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_stretches_equal_brute_force(spark, kind, how):
+    base = datetime(2024, 1, 1)
+    # half the events of "a" are at one time, "n" has no times, and some periods end before they start
+    times = [base + timedelta(days=40 if d % 4 == 0 else d % 70, hours=7 * d % 24) for d in range(300)]
+    events = [(i, None if i == 5 else "ab"[i % 2], t) for i, t in enumerate(times)] + [(900, "n", None), (901, "a", None)]
+    spans = [(n, "ab"[n % 2], base + timedelta(days=2 * n), base + timedelta(days=2 * n + n % 40 - 2)) for n in range(30)]
+    spans += [(90, "n", base, base), (91, "a", None, base), (92, "b", base, None)]
+    left = spark.createDataFrame(events, "id long, k string, at timestamp_ntz").withColumn("at", F.col("at").cast(kind))
+    contracts = spark.createDataFrame(spans, "n long, k string, s timestamp_ntz, e timestamp_ntz")
+    for closed in ("both", "left"):
+        until = F.col("at") <= F.col("e") if closed == "both" else F.col("at") < F.col("e")
+        plain = left.join(contracts.withColumnRenamed("k", "q"), (F.col("k") == F.col("q")) & (F.col("at") >= F.col("s")) & until, how)
+        for hot_pairs in (1, 3000):
+            got = match_periods(
+                left, contracts, on="k", date="at", start="s", end="e", how=how, closed=closed, hot_pairs=hot_pairs, spread="stretches"
+            )
+            assert sorted(map(str, got.select("id", "n").collect())) == sorted(map(str, plain.select("id", "n").collect()))
+
+
+def test_a_period_is_repeated_once_a_cut(spark):
+    events = spark.range(20_000).selectExpr("'hot' AS k", "timestamp_ntz'2024-01-01' + make_interval(0,0,0,0,0,0,id * 7919 % 1000000) AS at")
+    starts = spark.range(300).selectExpr("'hot' AS k", "timestamp_ntz'2023-06-01' + make_interval(0,0,0,id) AS s")
+    yearly = starts.selectExpr("k", "s", "s + make_interval(1) AS e")
+    cuts = events.groupBy("k").agg(F.percentile_approx("at", [n / 64 for n in range(1, 64)]).alias("_cuts"))
+    # all events lie in twelve days: calendar months would put them into one bucket
+    placed = events.join(cuts, "k").groupBy(periods._stretch(F.col("_cuts"), F.col("at"))).count()
+    assert placed.count() == 64 and placed.agg(F.max("count")).first()[0] < 2 * 20_000 / 64
+    crossed = F.size(F.filter("_cuts", lambda c: (c > F.col("s")) & (c <= F.col("e"))))
+    most = yearly.join(cuts, "k").agg(F.sum(crossed + 1)).first()[0]
+    assert periods.stretched_periods(yearly, cuts, on="k", start="s", end="e").count() == most
+    with pytest.raises(ValueError):
+        match_periods(events, yearly, on="k", date="at", start="s", end="e", spread="odd")

@@ -641,3 +641,12 @@ ORACLE["j1_many_labels"] = """WITH l AS (
     ranks AS (SELECT label, CAST(row_number() OVER (ORDER BY count(*) DESC, label) - 1 AS DOUBLE) AS label_index
     FROM l GROUP BY 1)
     SELECT l_orderkey, l_linenumber, label, label_index FROM l JOIN ranks USING (label)"""
+ORACLE["d1_distinct_sketches"] = """SELECT l_returnflag, count(DISTINCT l_orderkey) AS n_orders,
+    count(DISTINCT l_partkey) AS n_parts, true AS orders_within_2_percent, true AS parts_within_2_percent
+    FROM lineitem GROUP BY 1"""
+ORACLE["c4_stretched_assignment"] = """WITH p AS (SELECT n_nationkey, DATE '2023-12-01' + CAST(n_nationkey * 3 AS INTEGER) AS s,
+      DATE '2023-12-01' + CAST(n_nationkey * 3 + n_nationkey * 9 % 200 AS INTEGER) AS e,
+      CASE n_nationkey % 3 WHEN 0 THEN 'click' WHEN 1 THEN 'view' ELSE 'error' END AS event_type FROM nation)
+    SELECT event_id, n_nationkey FROM events JOIN p ON events.event_type = p.event_type AND ts >= s AND ts <= e"""
+ORACLE["j3_dense_embedding"] = """SELECT doc_id, CASE WHEN text IS NOT NULL THEN 32 END AS width,
+    CASE WHEN text IS NOT NULL THEN true END AS no_longer FROM documents"""

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from tallyhouse.functions import labels, text
 from tallyhouse.functions.numbers import ratio
 from tallyhouse.operators import benchmarks, embedding, features, grouping, outliers, scoring, tenancy, topk
+from tallyhouse.operators.dense_embedding import fit_dense
 from tallyhouse.operators.paths import Edge, Node, match_path
 from tallyhouse.operators.text_index import TextIndex
 from tallyhouse.operators.vector_index import DenseIndex
@@ -347,6 +348,22 @@ def c4_timed_assignment(spark, sf):
     return match_periods(events, periods, on="user_id", date="ts", start="start_day", end="end_day", closed="left")
 
 
+@query
+def c4_stretched_assignment(spark, sf):
+    """Events in long periods of their type, of which there are few: each type is cut at quantiles of its own times."""
+    number = F.col("n_nationkey").cast("int")
+    kind = F.when(number % 3 == 0, "click").when(number % 3 == 1, "view").otherwise("error")
+    first = F.date_add(F.lit("2023-12-01").cast("date"), number * 3)
+    periods = spark.read.parquet(f"{sf}/nation.parquet").select(
+        kind.alias("event_type"), "n_nationkey", first.alias("start_day"), F.date_add(first, number * 9 % 200).alias("end_day")
+    )
+    events = inputs.table(spark, sf, "events").select("event_id", "event_type", "ts")
+    matched = match_periods(
+        events, periods, on="event_type", date="ts", start="start_day", end="end_day", hot_pairs=10_000, spread="stretches"
+    )
+    return matched.select("event_id", "n_nationkey")
+
+
 @query
 def c4_policy_assignment(spark, sf):
     return _assigned(spark, sf).select(
@@ -873,6 +890,38 @@ def m4_running_summary(spark, sf):
     )
 
 
+@query
+def d1_distinct_sketches(spark, sf):
+    """Different orders and parts of each return flag, exactly and from sketches kept up from three commits."""
+    path, lines = scratch_path(spark, "sketches"), inputs.table(spark, sf, "lineitem")
+    table = VersionedTable.create(spark, f"{path}/lines", lines.schema)
+    counted = {"orders": F.col("l_orderkey"), "parts": F.col("l_partkey")}
+    summary = RunningSummary.create(table, f"{path}/summary", {"l_returnflag": F.col("l_returnflag")}, {}, counted)
+    for k in range(3):
+        table.append(lines.filter(F.pmod(F.xxhash64("l_orderkey", "l_linenumber"), F.lit(3)) == k))
+        summary.update(table)
+    exact = lines.groupBy("l_returnflag").agg(
+        F.countDistinct("l_orderkey").alias("n_orders"), F.countDistinct("l_partkey").alias("n_parts")
+    )
+    close = [
+        (F.abs(F.col(f"{d}_distinct") - F.col(f"n_{d}")) <= 0.02 * F.col(f"n_{d}")).alias(f"{d}_within_2_percent")
+        for d in counted
+    ]
+    estimated = summary.read().withColumnRenamed("l_returnflag", "flag")
+    both = exact.join(estimated, F.col("l_returnflag").eqNullSafe(F.col("flag")))
+    return both.select("l_returnflag", "n_orders", "n_parts", *close)
+
+
+@query
+def j3_dense_embedding(spark, sf):
+    """Dense vectors of all texts on 32 directions: their width, and that a projection is no longer than a unit vector."""
+    _, vectors = fit_dense(inputs.texts(spark, sf), "doc_id", "text", 32)
+    squares = F.aggregate("vector", F.lit(0.0), lambda total, x: total + x * x)
+    return vectors.select(
+        "doc_id", F.when(F.col("vector").isNotNull(), F.size("vector")).alias("width"), (squares <= 1.00001).alias("no_longer")
+    )
+
+
 @query
 def m5_table_life(spark, sf):
     table, _ = _life(spark, sf)
