@@ -105,3 +105,20 @@ def test_vectors_that_take_no_part(spark):
     df = topk_search.quantised(spark.createDataFrame(data, "vec_id long, embedding array<float>"))
     assert [tuple(r) for r in topk_search.top_k(df, df.filter("vec_id % 20 = 0")).collect()] == [(0, 1, 5, 64 * 32 * 2)]
     assert topk_search.top_k(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_reading_stops_when_outsiders_cannot_qualify(spark):
+    rng = np.random.default_rng(8)
+    vectors = [(k, rng.integers(-40, 40, 8)) for k in range(2000)]
+    # in each direction, few vectors stand far out
+    vectors = [(k, x * 30 if k % 100 == 0 else x) for k, x in vectors]
+    df = spark.createDataFrame([(k, [float(v) for v in x]) for k, x in vectors], "vec_id long, x array<double>").repartition(2)
+    found = topk_search.top_k(df, df.filter("vec_id % 20 = 0"), 3, share_read=True).collect()
+    assert {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in found} == _scores(vectors, 3)
+    assert all(0 < r["share_read"] < 0.75 for r in found)
+
+
+def test_scores_beyond_a_long_raise(spark):
+    df = topk_search.quantised(spark.createDataFrame([(0, [1e300]), (1, [1.0])], "vec_id long, embedding array<double>"))
+    with pytest.raises(Exception, match="leave"):
+        topk_search.top_k(df, df.filter("vec_id % 20 = 0")).collect()
