@@ -8,12 +8,16 @@ task's last, part-filled sequence is cut at powers of two, which need no padding
 Packing runs within a partition over a pool of a fixed number of examples, so that memory is bounded and nothing is
 shuffled. A task that is run again over the same partition gives the same sequences.
 
+Documents bear loss in all their tokens. In conversations the tokens of some roles do, wherever they stand, so that the
+three limits bind apart from one another (``pack_conversations``).
+
 Defined cases: a null text is empty and gives its end token alone; an example longer than a sequence is cut into whole
 sequences and a rest; repeated rows are packed one by one; no documents give no pieces.
 """
 
 from __future__ import annotations
 
+import bisect
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tallyhouse.llm.shipping import ship
 from tallyhouse.llm.tokens import encoder
@@ -44,18 +49,31 @@ class Limits:
 
 @dataclass
 class Piece:
-    """Some ids of an example. The last ``loss`` of its tokens bear loss."""
+    """Some ids of an example. ``loss`` of its tokens bear loss: those that ``mask`` marks, else the last ones."""
 
     example: int
     start: int
     ids: bytes
     loss: int
+    mask: bytes | None = None
 
     @property
     def tokens(self) -> int:
         return len(self.ids) // 4
 
+    def fitting(self, limits: Limits) -> int:
+        """Tokens of the longest head within the limits."""
+        n = min(self.tokens, limits.tokens)
+        if self.mask is None:
+            return min(n, self.tokens - self.loss + limits.loss_tokens)
+        marks = np.frombuffer(self.mask, np.uint8).cumsum()
+        return min(n, int(np.searchsorted(marks, limits.loss_tokens, side="right")))
+
     def cut(self, tokens: int) -> tuple[Piece, Piece]:
+        if self.mask is not None:
+            masks = self.mask[:tokens], self.mask[tokens:]
+            head = Piece(self.example, self.start, self.ids[: 4 * tokens], sum(masks[0]), masks[0])
+            return head, Piece(self.example, self.start + tokens, self.ids[4 * tokens :], sum(masks[1]), masks[1])
         tail_loss = min(self.loss, self.tokens - tokens)
         head = Piece(self.example, self.start, self.ids[: 4 * tokens], self.loss - tail_loss)
         return head, Piece(self.example, self.start + tokens, self.ids[4 * tokens :], tail_loss)
@@ -70,12 +88,17 @@ class Packer:
         self.pool: list[Piece] = []
 
     def add(self, piece: Piece) -> Iterator[list[Piece]]:
-        whole = min(self.limits.tokens, self.limits.loss_tokens)
-        while piece.tokens > whole or piece.loss > self.limits.loss_tokens:
-            head, piece = piece.cut(whole)
-            yield [head]
+        while piece.tokens > self.limits.tokens or piece.loss > self.limits.loss_tokens:
+            head, piece = piece.cut(piece.fitting(self.limits))
+            if head.tokens == self.limits.tokens:
+                yield [head]
+            else:
+                yield from self._keep(head)
         if piece.tokens:
-            self.pool.append(piece)
+            yield from self._keep(piece)
+
+    def _keep(self, piece: Piece) -> Iterator[list[Piece]]:
+        self.pool.append(piece)
         if len(self.pool) >= POOL:
             yield from self._pack(POOL // 2)
 
@@ -188,3 +211,112 @@ def pack_documents(docs: DataFrame, tokenizer: str, limits: Limits | None = None
         yield table()
 
     return docs.select("doc_id", "text").mapInArrow(pack, SCHEMA)
+
+
+CONVERSATION_SCHEMA = (
+    "conv_id long, turn long, start long, length long, loss_tokens long, sequence_id long, offset long, "
+    "ids binary, loss_mask binary"
+)
+
+
+class _Example:
+    """Turns of a conversation that come one after another, up to a sequence's length."""
+
+    def __init__(self, conv_id):
+        self.conv_id, self.ids, self.mask = conv_id, b"", b""
+        self.turns: list = []
+        self.starts: list[int] = []  # of each turn among the example's ids; below 0 for one that goes on
+
+    def split(self, tokens: int) -> tuple[_Example, _Example]:
+        head, tail = _Example(self.conv_id), _Example(self.conv_id)
+        head.ids, head.mask, head.turns, head.starts = self.ids[: 4 * tokens], self.mask[:tokens], self.turns, self.starts
+        tail.ids, tail.mask = self.ids[4 * tokens :], self.mask[tokens:]
+        first = bisect.bisect_right(self.starts, tokens) - 1
+        tail.turns, tail.starts = self.turns[first:], [at - tokens for at in self.starts[first:]]
+        return head, tail
+
+    def place(self, start: int) -> tuple[int, int]:
+        k = bisect.bisect_right(self.starts, start) - 1
+        return self.turns[k], start - self.starts[k]
+
+
+def pack_conversations(
+    turns: DataFrame, tokenizer: str, limits: Limits | None = None, loss_roles: tuple[str, ...] = ("assistant",)
+) -> DataFrame:
+    """Pieces of whole conversations (``conv_id``, ``turn``, ``role``, ``text``) under all three limits.
+
+    A turn is its role's ids and a line end, which bear no loss, then its text's and an end token, which do if its role is
+    among ``loss_roles``. Turns are range-partitioned and sorted, so that one conversation of any length may lie in several
+    tasks; a task holds one sequence's length of it. A piece starts at id ``start`` of ``turn``, may go on through the
+    following turns, and carries its ids, a byte a token that marks loss, and its sequence and place there.
+
+    Defined cases: null roles and texts are empty; null turns come first, and turns that repeat a number stand by a
+    hash of role and text; rows without an id are one conversation of a null id; no rows give no pieces.
+    """
+    ship(turns.sparkSession)
+    limits = limits or Limits()
+    names = ["conv_id", "turn", "start", "length", "loss_tokens", "sequence_id", "offset", "ids", "loss_mask"]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, packer = encoder(tokenizer), Packer(limits)
+        end = np.array([END_TOKEN], "<u4").tobytes()
+        sequence_id = TaskContext.get().partitionId() << 40
+        open_examples: dict[int, list] = {}  # example, tokens still to come
+        serial, rows = 0, []
+
+        def note(sequences):
+            nonlocal sequence_id
+            for sequence in sequences:
+                offset = 0
+                for piece in sequence:
+                    known = open_examples[piece.example]
+                    known[1] -= piece.tokens
+                    if not known[1]:
+                        del open_examples[piece.example]
+                    at = known[0].place(piece.start)
+                    rows.append((known[0].conv_id, *at, piece.tokens, piece.loss, sequence_id, offset, piece.ids, piece.mask))
+                    offset += piece.tokens
+                sequence_id += 1
+
+        def give(example: _Example):
+            nonlocal serial
+            if example.mask:
+                open_examples[serial] = [example, len(example.mask)]
+                note(packer.add(Piece(serial, 0, example.ids, sum(example.mask), example.mask)))
+                serial += 1
+
+        def table():
+            columns = list(zip(*rows)) or [()] * len(names)
+            kinds = [*[pa.int64()] * 7, pa.binary(), pa.binary()]
+            rows.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+
+        example = None
+        for batch in batches:
+            for conv_id, turn, role, text in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                if example is None or example.conv_id != conv_id:
+                    if example is not None:
+                        give(example)
+                    example = _Example(conv_id)
+                head, body = encode((role or "") + "\n"), encode(text or "") + end
+                example.turns.append(turn)
+                example.starts.append(len(example.mask))
+                example.ids += head + body
+                example.mask += bytes(len(head) // 4) + bytes([role in loss_roles]) * (len(body) // 4)
+                while len(example.mask) > limits.tokens:
+                    whole, example = example.split(limits.tokens)
+                    give(whole)
+                if len(rows) >= 2000:
+                    yield table()
+        if example is not None:
+            give(example)
+        note(packer.finish())
+        yield table()
+
+    # the hash keeps one conversation's turns in one order, and lets those that repeat a number be dealt apart
+    ordered = turns.select(
+        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text"
+    ).withColumn("row_hash", F.xxhash64("role", "text"))
+    order = ["conv_id", "turn", "row_hash"]
+    dealt = ordered.repartitionByRange(*order).sortWithinPartitions(*order)
+    return dealt.select("conv_id", "turn", "role", "text").mapInArrow(pack, CONVERSATION_SCHEMA)

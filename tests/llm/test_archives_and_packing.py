@@ -11,7 +11,7 @@ import corpus_pipeline
 from tallyhouse.llm import packing, warc
 from tallyhouse.llm.packing import Limits, Packer, Piece
 from tallyhouse.llm.queries import tokenizer_path
-from tallyhouse.llm.tokens import Encoder
+from tallyhouse.llm.tokens import Encoder, encoder
 from tallyhouse.session import scratch_path
 
 
@@ -101,6 +101,66 @@ def test_all_limits_hold_at_once():
         assert sum(p.tokens for p in s) <= 64 and len(s) <= 4 and sum(p.loss for p in s) <= 30
 
 
+def _check_conversations(rows, turns, limits, loss_roles=("assistant",)):
+    """Every id and mark once and in order, whatever task packed it; all limits; how many sequences meet each."""
+    encode = encoder(tokenizer_path())
+    wanted, sequences = {}, {}
+    for conv, turn, role, text in turns:
+        head, body = encode((role or "") + "\n"), encode(text or "") + np.array([1], "<u4").tobytes()
+        ids, mask = wanted.setdefault((conv, turn), (b"", b""))
+        wanted[conv, turn] = ids + head + body, mask + bytes(len(head) // 4) + bytes([role in loss_roles]) * (len(body) // 4)
+    given = {}
+    for r in rows:
+        sequences.setdefault(r["sequence_id"], []).append(r)
+        given.setdefault(r["conv_id"], []).append(r)
+        assert r["length"] == len(r["loss_mask"]) == len(r["ids"]) // 4 and r["loss_tokens"] == sum(r["loss_mask"])
+    for conv in {c for c, _ in wanted}:
+        order = sorted((k for k in wanted if k[0] == conv), key=lambda k: (k[1] is not None, k[1] or 0))
+        base, ids, mask = {}, b"", b""
+        for k in order:
+            base[k[1]] = len(mask)
+            ids, mask = ids + wanted[k][0], mask + wanted[k][1]
+        at = 0
+        for r in sorted(given[conv], key=lambda r: base[r["turn"]] + r["start"]):
+            assert base[r["turn"]] + r["start"] == at
+            assert r["ids"] == ids[4 * at : 4 * (at + r["length"])] and r["loss_mask"] == mask[at : at + r["length"]]
+            at += r["length"]
+        assert at == len(mask)
+    bound = [0, 0, 0]
+    for pieces in sequences.values():
+        at = 0
+        for r in sorted(pieces, key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"]
+        used = at, len(pieces), sum(r["loss_tokens"] for r in pieces)
+        assert all(u <= m for u, m in zip(used, (limits.tokens, limits.segments, limits.loss_tokens)))
+        bound = [b + (u == m) for b, u, m in zip(bound, used, (limits.tokens, limits.segments, limits.loss_tokens))]
+    return bound
+
+
+def test_conversations_under_three_limits(spark, sf):
+    turns = spark.read.parquet(f"{sf}/conversations.parquet")
+    rows = [(r["conv_id"], r["turn"], r["role"], r["text"]) for r in turns.collect()]
+    limits = Limits(tokens=512, segments=2, loss_tokens=200)
+    packed = packing.pack_conversations(turns.repartition(5), tokenizer_path(), limits).collect()
+    assert all(_check_conversations(packed, rows, limits))
+    usual = packing.pack_conversations(turns, tokenizer_path()).collect()
+    assert _check_conversations(usual, rows, Limits())[0]
+
+
+def test_odd_conversations(spark):
+    rows = [(1, 0, "user", None), (1, 1, "assistant", "yes " * 900), (1, 2, None, ""), (None, 0, "assistant", "no id")]
+    rows += [(2, k, "assistant" if k % 2 else "user", f"word {k} " * 20) for k in range(400)] + [(3, None, "user", "no number")]
+    schema = "conv_id long, turn int, role string, text string"
+    df = spark.createDataFrame(rows, schema).withColumn("ids", F.lit("clash")).repartition(6)
+    limits = Limits(tokens=256, segments=3, loss_tokens=90)
+    packed = packing.pack_conversations(df, tokenizer_path(), limits).collect()
+    assert all(_check_conversations(packed, rows, limits))
+    assert packing.pack_conversations(df.limit(0), tokenizer_path()).count() == 0
+    twice = packing.pack_conversations(df.unionAll(df), tokenizer_path(), limits).collect()
+    assert sum(r["length"] for r in twice) == 2 * sum(r["length"] for r in packed)
+
+
 def test_pipeline(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     before, kept = docs, {}
