@@ -1,14 +1,19 @@
-"""Repeated passages: confirmed first, then located in all documents by sharded Aho-Corasick automata.
+"""Repeated passages: confirmed first, then located in the documents by sharded Aho-Corasick automata.
 
-1. Windows of ``window`` words that stand more than once are found through anchors (see ``regions``), by counts that are
-   aggregated before they are shuffled. Neighbouring ones form the recurring passages.
-2. Passages are dealt to shards with the documents that may hold them. A shard compiles the distinct passages of a
-   bounded number of characters at a time into an automaton, and streams its documents through.
-3. Every occurrence is removed, word for word.
+1. Windows of ``window`` words belong to anchors (see ``regions``). One row for each content of a recurring anchor gives
+   its words; those of its windows that stand more than once, in all documents, are confirmed by counts of hashes, and
+   neighbouring ones form a passage.
+2. Documents are dealt to blocks by the least of their recurring anchors, which near copies share; large blocks are cut
+   in parts. A block gets the passages of all contents in it, whichever document they were taken from.
+3. A block compiles its passages into automata over words, of a bounded size, and streams its documents through. What
+   these match, and nothing else, is removed.
+
+Every window of a passage recurs, so that each match is to be removed; and the content of each region of a document is in
+its block, so that none is missed.
 
 Defined cases: null texts have no words; a text of fewer words than a window loses none; repeated rows are copies of each
 other and lose all their windows; texts of any length are scanned whole. Words are compared by 64-bit hashes when
-passages are confirmed, and as text when they are located.
+passages are confirmed, and as bytes when they are located.
 """
 
 from __future__ import annotations
@@ -30,9 +35,16 @@ from tallyhouse.session import stage
 WINDOW = 35
 GRAM = 12
 
-#: Characters of the passages of one automaton (some 60 bytes each there), and words of one passage.
-AUTOMATON_CHARS = 1 << 20
-PASSAGE_WORDS = 4000
+#: What the regions of one anchor are told apart by.
+CONTENT = ["anchor", "c1", "c2"]
+
+#: Words of the passages of one automaton; its letters, one a word, are numbered from ``FIRST_LETTER`` on.
+AUTOMATON_WORDS = 1 << 18
+FIRST_LETTER = 0x10000
+
+#: Regions of a block's documents beyond which it is cut in parts, and bytes of the texts that are searched at once.
+BLOCK_REGIONS = 20_000
+HELD_BYTES = 4 << 20
 
 #: Windows of a region that its mask has bits for.
 MASK_BITS = 63
@@ -52,149 +64,198 @@ def _scan(window: int, gram: int):
     return scan
 
 
-def _window_hashes(window: int):
-    """Of each listed region: its windows by place, with two hashes each."""
+def _contents(window: int):
+    """Of each listed region: the words of its windows, joined by one space."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = None
         for batch in batches:
             columns = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
+            out = []
             for k in range(batch.num_rows):
-                data = np.frombuffer(regions.unpacked(columns["z"][k].as_py(), columns["size"][k].as_py()), np.uint8)
-                words = spaced_words(data, np.array([0, len(data)]))
-                prefix, other = prefix_hash(words.hash), prefix_hash(mix(words.hash))
-                listed = columns["listed"][k].as_py()
-                n = np.array([r["n"] for r in listed])
-                which = np.repeat(np.arange(len(n)), n)
+                key = columns["doc_id"][k].as_py(), columns["row_hash"][k].as_py()
+                if key == seen:  # an identical row
+                    continue
+                seen = key
+                words = regions.unpacked(columns["z"][k].as_py(), columns["size"][k].as_py()).split()
+                for r in columns["listed"][k].as_py():
+                    text = b" ".join(words[r["place"] : r["place"] + r["n"] + window - 1])
+                    out.append((*(r[c] for c in ("anchor", "c1", "c2", "copies", "mixed", "n")), text))
+            kinds = [pa.int64()] * 4 + [pa.bool_(), pa.int32(), pa.binary()]
+            arrays = [pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 7, kinds)]
+            yield pa.RecordBatch.from_arrays(arrays, ["anchor", "c1", "c2", "copies", "mixed", "n", "words"])
+
+    return emit
+
+
+def _window_hashes(window: int):
+    """Of each content: its windows by place, with two hashes each."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks = [batch.column(k).to_numpy() for k in range(4)]
+            data, offsets = text_bytes(batch.column(4).cast(pa.large_binary()).cast(pa.large_string()))
+            for a, b in row_blocks(offsets):
+                words = spaced_words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                first = words.first[:-1]
+                n = np.diff(words.first) - window + 1
+                which = np.repeat(np.arange(b - a), n)
                 step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                start = np.array([r["place"] for r in listed])[which] + step
-                arrays = [np.array([r[c] for r in listed], np.int64)[which] for c in ("anchor", "c1", "c2", "copies")]
-                hashes = [span_hash(p, start, start + window).view(np.int64) for p in (prefix, other)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in [*arrays, step.astype(np.int32), *hashes]],
-                    ["anchor", "c1", "c2", "copies", "step", "h1", "h2"],
-                )
+                start = first[which] + step
+                prefixes = prefix_hash(words.hash), prefix_hash(mix(words.hash))
+                hashes = [span_hash(p, start, start + window).view(np.int64) for p in prefixes]
+                arrays = [*(m[a:b][which] for m in marks), step.astype(np.int32), *hashes]
+                names = ["anchor", "c1", "c2", "copies", "step", "h1", "h2"]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names)
 
     return emit
 
 
-def recurring_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """Regions (``keyed`` row, place of the first window, number) with ``mask``, the bits of their recurring windows."""
-    if not 0 < window - gram + 1 <= MASK_BITS:
-        raise ValueError(f"a region has up to {window - gram + 1} windows, a mask {MASK_BITS} bits")
-    found = regions.recurring(docs, _scan(window, gram))
-    chosen = regions.representatives(found)
-    entry = F.struct("anchor", "c1", "c2", "copies", "place", "n")
-    listed = chosen.groupBy(*regions.KEY).agg(F.collect_list(entry).alias("listed"))
+def recurring_passages(texts: DataFrame, found: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Each content of the recurring regions once, from one row that has it: its ``words``, and the bits of the windows
+    among them that stand more than once in ``mask``; contents without such windows are left out."""
+    chosen = found.groupBy(*CONTENT, "mixed").agg(
+        F.count(F.lit(1)).alias("copies"), F.min(F.struct(*regions.KEY, "place", "n")).alias("at")
+    )
+    entry = F.struct(*CONTENT, "copies", "mixed", "at.place", "at.n").alias("entry")
+    listed = chosen.select("at.doc_id", "at.row_hash", entry).groupBy(*regions.KEY)
+    with_text = regions.with_texts(texts, listed.agg(F.collect_list("entry").alias("listed")))
+    schema = "anchor long, c1 long, c2 long, copies long, mixed boolean, n int, words binary"
+    contents = stage(with_text.mapInArrow(_contents(window), schema), "contents")
+    mixed = contents.filter("mixed").select(*CONTENT, "copies", "words")
     schema = "anchor long, c1 long, c2 long, copies long, step int, h1 long, h2 long"
-    with_text = regions.with_texts(docs, listed).select("z", "size", "listed")
-    windows = stage(with_text.mapInArrow(_window_hashes(window), schema), "windows")
+    windows = stage(mixed.mapInArrow(_window_hashes(window), schema), "windows")
     several = windows.groupBy("h1", "h2").agg(F.sum("copies").alias("k")).filter(F.col("k") > 1).select("h1", "h2")
-    several = stage(several, "several")
-    # an identical row gives the windows of its region once more, which leaves the bits as they are
+    # a content of several rows recurs as a whole; an identical row may have given its words once more
+    single = F.col("copies") == 1
     bit = F.bit_or(F.expr("shiftleft(1L, step)")).alias("mask")
-    masks = windows.join(several, ["h1", "h2"]).groupBy("anchor", "c1", "c2").agg(bit)
-    # read back, so that the join's own exchange lets hot contents be split
-    mixed = found.filter("mixed").join(stage(masks, "masks"), ["anchor", "c1", "c2"])
-    whole = found.filter(~F.col("mixed")).withColumn("mask", F.expr("shiftleft(1L, n) - 1"))
-    columns = [*regions.KEY, "place", "n", "mask"]
-    return mixed.select(*columns).unionAll(whole.select(*columns))
-
-
-def _passages(places: np.ndarray, counts: np.ndarray, masks: np.ndarray, n_words: int, window: int):
-    """Runs of words covered by recurring windows, as (first, end); long ones in parts that overlap by a window."""
-    if not len(places):
-        return
-    which = np.repeat(np.arange(len(counts)), counts)
-    step = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    on = (masks[which] >> step) & 1 > 0
-    starts = np.unique(places[which][on] + step[on])
-    if not len(starts):
-        return
-    cut = np.flatnonzero(np.diff(starts) > 1) + 1
-    for run in np.split(starts, cut):
-        first, end = int(run[0]), min(int(run[-1]) + window, n_words)
-        while end - first > PASSAGE_WORDS:
-            yield first, first + PASSAGE_WORDS
-            first += PASSAGE_WORDS - window + 1
-        yield first, end
-
-
-class _Shard:
-    """Some documents and their passages, up to a bounded number of characters."""
-
-    def __init__(self):
-        self.rows, self.texts, self.passages, self.chars = [], [], {}, 0
-
-    def located(self) -> Iterator[tuple]:
-        """Documents with the words that lie in an occurrence of a passage; the passages in automata of bounded size."""
-        covered = [np.zeros(len(text) + 1, np.int32) for text in self.texts]
-        waiting = list(self.passages)
-        while waiting:
-            automaton, chars = ahocorasick.Automaton(), 0
-            while waiting and (not chars or chars + len(waiting[-1]) <= AUTOMATON_CHARS):
-                passage = waiting.pop()
-                automaton.add_word(passage, len(passage))
-                chars += len(passage)
-            automaton.make_automaton()
-            for text, change in zip(self.texts, covered):
-                for end, size in automaton.iter(text):
-                    change[end - size + 2] += 1
-                    change[end] -= 1
-        for row, text, change in zip(self.rows, self.texts, covered):
-            inside = np.cumsum(change) > 0
-            yield row, text[1:-1].split(" ") if len(text) > 2 else [], inside[1:]
+    masks = windows.filter(single).join(stage(several, "several"), ["h1", "h2"]).groupBy(*CONTENT).agg(bit)
+    partly = contents.filter(single).join(masks, CONTENT).select(*CONTENT, "words", "mask")
+    once = contents.filter(~single).groupBy(*CONTENT).agg(F.first("words").alias("words"), F.first("n").alias("n"))
+    return partly.unionAll(once.select(*CONTENT, "words", F.expr("shiftleft(1L, n) - 1").alias("mask")))
+
+
+class _Automata:
+    """The distinct passages of a block, compiled over words, in automata of a bounded number of words."""
+
+    def __init__(self, window: int):
+        self.window, self.parts, self.words, self.seen, self.compiled = window, [[]], 0, set(), None
+
+    def add(self, content: bytes, mask: int) -> None:
+        """The runs of recurring windows of a content."""
+        words, first = content.split(b" "), 0
+        while mask >> first:
+            if not mask >> first & 1:
+                first += 1
+                continue
+            last = first
+            while mask >> last + 1 & 1:
+                last += 1
+            passage = words[first : last + self.window]
+            name = b" ".join(passage)
+            if name not in self.seen:
+                self.seen.add(name)
+                if self.words and self.words + len(passage) > AUTOMATON_WORDS:
+                    self.parts.append([])
+                    self.words = 0
+                self.parts[-1].append(name)
+                self.words += len(passage)
+            first = last + 1
+
+    def _compile(self, part: list[bytes]):
+        letters: dict[bytes, str] = {}
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for passage in part:
+            words = passage.split(b" ")
+            automaton.add_word("".join([letters.setdefault(w, chr(FIRST_LETTER + len(letters))) for w in words]))
+        automaton.make_automaton()
+        return automaton, letters
+
+    def located(self, rows: list[list[bytes]]) -> list[np.ndarray]:
+        """For each row of words: which of them lie in an occurrence of a passage."""
+        changes = [np.zeros(len(words) + 1, np.int64) for words in rows]
+        for part in filter(None, self.parts):
+            if self.compiled is None or len(self.parts) > 1:
+                self.compiled = self._compile(part)
+            automaton, letters = self.compiled
+            for words, change in zip(rows, changes):
+                for last, size in automaton.iter("".join([letters.get(w, "\0") for w in words])):
+                    change[last - size + 1] += 1
+                    change[last + 1] -= 1
+        return [np.cumsum(change[:-1]) > 0 for change in changes]
 
 
 def _remove(window: int):
+    """Rows of a block follow each other, its passages first; rows without a block have no passages."""
+
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, out = _Shard(), []
+        block, automata, ids, rows, held = None, _Automata(window), [], [], 0
 
-        def finish():
-            for doc_id, words, inside in shard.located():
-                sizes = np.fromiter((len(w) + 1 for w in words), np.int64, len(words))
-                starts = np.cumsum(sizes) - sizes
-                gone = inside[starts] if len(words) else np.zeros(0, bool)
+        def finish() -> pa.RecordBatch:
+            out = []
+            for doc_id, words, gone in zip(ids, rows, automata.located(rows)):
                 kept = [w for w, g in zip(words, gone.tolist()) if not g] if gone.any() else words
-                digest = hashlib.sha256(" ".join(kept).encode()).hexdigest()
+                digest = hashlib.sha256(b" ".join(kept)).hexdigest()
                 out.append((None if doc_id == regions.NO_ID else doc_id, len(words), int(gone.sum()), digest))
-
-        def table():
-            columns = list(zip(*out)) or [()] * 4
-            out.clear()
+            ids.clear()
+            rows.clear()
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
             names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+            arrays = [pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 4, kinds)]
+            return pa.RecordBatch.from_arrays(arrays, names)
 
         for batch in batches:
-            columns = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
+            columns = [batch.column(k) for k in range(batch.num_columns)]
             for k in range(batch.num_rows):
-                raw = regions.unpacked(columns["z"][k].as_py(), columns["size"][k].as_py())
-                words = [w.decode() for w in raw.split()]  # at space and the controls 9 to 13
-                listed = columns["listed"][k].as_py() or []
-                arrays = [np.array([r[c] for r in listed], np.int64) for c in ("place", "n", "mask")]
-                for first, end in _passages(*arrays, len(words), window):
-                    passage = " " + " ".join(words[first:end]) + " "
-                    if passage not in shard.passages:
-                        shard.passages[passage] = None
-                        shard.chars += len(passage)
-                shard.rows.append(columns["doc_id"][k].as_py())
-                shard.texts.append(" " + " ".join(words) + " ")
-                shard.chars += len(raw) // 8
-                if shard.chars >= AUTOMATON_CHARS:
-                    finish()
-                    shard = _Shard()
-                    yield table()
-        finish()
-        yield table()
+                lead, part, doc_id, z, size, mask = (c[k].as_py() for c in columns)
+                if (lead, part) != block:
+                    if rows:
+                        yield finish()
+                    block, automata, held = (lead, part), _Automata(window), 0
+                if mask is not None:
+                    automata.add(z, mask)
+                    continue
+                ids.append(doc_id)
+                rows.append(regions.unpacked(z, size).split())  # at space and the controls 9 to 13
+                held += size
+                if held >= HELD_BYTES:
+                    yield finish()
+                    held = 0
+        yield finish()
 
     return remove
 
 
 def remove_repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """doc_id, n_words, n_removed and the SHA-256 of the kept words joined by spaces, of every document."""
+    if not 0 < window - gram + 1 <= MASK_BITS:
+        raise ValueError(f"a region has up to {window - gram + 1} windows, a mask {MASK_BITS} bits")
     ship(docs.sparkSession)
     texts = regions.keyed(docs)
-    marked = recurring_windows(texts, window, gram)
-    listed = marked.groupBy(*regions.KEY).agg(F.collect_set(F.struct("place", "n", "mask")).alias("listed"))
-    joined = regions.with_texts(texts, listed, "left").select("doc_id", "z", "size", "listed")
-    return joined.mapInArrow(_remove(window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    found = regions.recurring(texts, _scan(window, gram))
+    passages = stage(recurring_passages(texts, found, window), "passages")
+
+    leads = found.groupBy(*regions.KEY).agg(F.min("anchor").alias("lead"), F.count(F.lit(1)).alias("k"))
+    leads = stage(leads, "leads")
+    sizes = leads.groupBy("lead").agg(F.ceil(F.sum("k") / BLOCK_REGIONS).alias("parts"))
+    leads = stage(leads.join(stage(sizes, "sizes"), "lead"), "leads")
+    # written, so that a row keeps its part of the block when a task runs again
+    part = F.pmod(F.monotonically_increasing_id(), F.col("parts")).alias("part")
+    dealt = regions.with_texts(texts, leads.select(*regions.KEY, "lead", "parts"), "left")
+    dealt = stage(dealt.select("lead", part, *regions.KEY, "z", "size"), "dealt")
+
+    without = F.lit(None).cast("long").alias("mask")
+    columns = ["lead", "part", "doc_id", "z", "size"]
+    searched = dealt.filter(F.col("lead").isNotNull())
+    held = found.select(*regions.KEY, *CONTENT).distinct()
+    blocks = searched.select("lead", "part", *regions.KEY).distinct()
+    wanted = stage(blocks.join(held, regions.KEY).select("lead", "part", *CONTENT).distinct(), "wanted")
+    none = F.lit(None).cast("long")
+    brought = wanted.join(passages, CONTENT).select(
+        "lead", "part", none.alias("doc_id"), F.col("words").alias("z"), none.alias("size"), "mask"
+    )
+    together = brought.unionAll(searched.select(*columns, without)).repartition("lead", "part")
+    ordered = together.sortWithinPartitions("lead", "part", F.col("mask").isNull())
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+    alone = dealt.filter(F.col("lead").isNull()).select(*columns, without)
+    return ordered.mapInArrow(_remove(window), schema).unionAll(alone.mapInArrow(_remove(window), schema))

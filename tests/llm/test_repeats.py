@@ -99,6 +99,14 @@ def test_words_equal_brute_force(spark):
     assert [rows[k] for k in range(len(texts))] == _brute_words(texts, 12)
 
 
+def test_automata_mark_rows_that_passages_were_not_taken_from():
+    automata = phrases._Automata(3)
+    automata.add(b"a b c d e f g", 0b10011)
+    rows = [b"x a b c d y e f g".split(), b"a b c".split(), b"c d e".split(), [], b"b c d e f g".split()]
+    marked = ["".join("01"[int(g)] for g in gone) for gone in automata.located(rows)]
+    assert marked == ["011110111", "000", "000", "", "000111"]
+
+
 @pytest.fixture
 def spread(spark):
     """Every exchange keeps its partitions, so that identical rows meet other texts in tasks of their own."""
@@ -131,9 +139,10 @@ def test_bounds_that_numbers_cannot_hold_are_refused(spark, tmp_path):
         repeated_starts(np.zeros(3, np.uint8), 1 << 15, str(tmp_path))
 
 
-def test_long_passages_are_cut_and_automata_bounded(spark, monkeypatch):
-    monkeypatch.setattr(phrases, "PASSAGE_WORDS", 50)
-    monkeypatch.setattr(phrases, "AUTOMATON_CHARS", 300)
+def test_blocks_and_automata_of_a_small_size(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "AUTOMATON_WORDS", 60)
+    monkeypatch.setattr(phrases, "HELD_BYTES", 100)
+    monkeypatch.setattr(phrases, "BLOCK_REGIONS", 9)
     text = " ".join(f"w{k}" for k in range(400))
     texts = [text, "start " + text, text[:900] + " end", "w1 w2 w3"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
