@@ -42,8 +42,11 @@ CONTENT = ["anchor", "c1", "c2"]
 AUTOMATON_WORDS = 1 << 18
 FIRST_LETTER = 0x10000
 
+#: Contents that a task holds before it passes them on.
+ROWS_AT_ONCE = 10_000
+
 #: Regions of a block's documents beyond which it is cut in parts, and bytes of the texts that are searched at once.
-BLOCK_REGIONS = 20_000
+BLOCK_REGIONS = 5_000
 HELD_BYTES = 4 << 20
 
 #: Windows of a region that its mask has bits for.
@@ -68,10 +71,16 @@ def _contents(window: int):
     """Of each listed region: the words of its windows, joined by one space."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = None
+        seen, out = None, []
+
+        def table() -> pa.RecordBatch:
+            kinds = [pa.int64()] * 4 + [pa.bool_(), pa.int32(), pa.binary()]
+            arrays = [pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 7, kinds)]
+            out.clear()
+            return pa.RecordBatch.from_arrays(arrays, ["anchor", "c1", "c2", "copies", "mixed", "n", "words"])
+
         for batch in batches:
             columns = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
-            out = []
             for k in range(batch.num_rows):
                 key = columns["doc_id"][k].as_py(), columns["row_hash"][k].as_py()
                 if key == seen:  # an identical row
@@ -81,9 +90,9 @@ def _contents(window: int):
                 for r in columns["listed"][k].as_py():
                     text = b" ".join(words[r["place"] : r["place"] + r["n"] + window - 1])
                     out.append((*(r[c] for c in ("anchor", "c1", "c2", "copies", "mixed", "n")), text))
-            kinds = [pa.int64()] * 4 + [pa.bool_(), pa.int32(), pa.binary()]
-            arrays = [pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 7, kinds)]
-            yield pa.RecordBatch.from_arrays(arrays, ["anchor", "c1", "c2", "copies", "mixed", "n", "words"])
+                    if len(out) >= ROWS_AT_ONCE:
+                        yield table()
+        yield table()
 
     return emit
 
@@ -93,8 +102,8 @@ def _window_hashes(window: int):
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks = [batch.column(k).to_numpy() for k in range(4)]
-            data, offsets = text_bytes(batch.column(4).cast(pa.large_binary()).cast(pa.large_string()))
+            marks = [batch.column(k).to_numpy() for k in range(2)]
+            data, offsets = text_bytes(batch.column(2).cast(pa.large_binary()).cast(pa.large_string()))
             for a, b in row_blocks(offsets):
                 words = spaced_words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 first = words.first[:-1]
@@ -105,15 +114,16 @@ def _window_hashes(window: int):
                 prefixes = prefix_hash(words.hash), prefix_hash(mix(words.hash))
                 hashes = [span_hash(p, start, start + window).view(np.int64) for p in prefixes]
                 arrays = [*(m[a:b][which] for m in marks), step.astype(np.int32), *hashes]
-                names = ["anchor", "c1", "c2", "copies", "step", "h1", "h2"]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["uid", "copies", "step", "h1", "h2"])
 
     return emit
 
 
-def recurring_passages(texts: DataFrame, found: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Each content of the recurring regions once, from one row that has it: its ``words``, and the bits of the windows
-    among them that stand more than once in ``mask``; contents without such windows are left out."""
+def recurring_passages(texts: DataFrame, found: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """The contents of recurring regions, each from one row that has it, and the bits of their recurring windows.
+
+    Two written tables: ``uid`` and ``words``; and anchor, c1, c2, ``uid`` and ``mask`` of the contents with such windows.
+    """
     chosen = found.groupBy(*CONTENT, "mixed").agg(
         F.count(F.lit(1)).alias("copies"), F.min(F.struct(*regions.KEY, "place", "n")).alias("at")
     )
@@ -121,18 +131,20 @@ def recurring_passages(texts: DataFrame, found: DataFrame, window: int = WINDOW)
     listed = chosen.select("at.doc_id", "at.row_hash", entry).groupBy(*regions.KEY)
     with_text = regions.with_texts(texts, listed.agg(F.collect_list("entry").alias("listed")))
     schema = "anchor long, c1 long, c2 long, copies long, mixed boolean, n int, words binary"
-    contents = stage(with_text.mapInArrow(_contents(window), schema), "contents")
-    mixed = contents.filter("mixed").select(*CONTENT, "copies", "words")
-    schema = "anchor long, c1 long, c2 long, copies long, step int, h1 long, h2 long"
-    windows = stage(mixed.mapInArrow(_window_hashes(window), schema), "windows")
+    contents = with_text.mapInArrow(_contents(window), schema).withColumn("uid", F.monotonically_increasing_id())
+    contents = stage(contents, "contents")
+    windows = contents.filter("mixed").select("uid", "copies", "words")
+    schema = "uid long, copies long, step int, h1 long, h2 long"
+    windows = stage(windows.mapInArrow(_window_hashes(window), schema), "windows")
     several = windows.groupBy("h1", "h2").agg(F.sum("copies").alias("k")).filter(F.col("k") > 1).select("h1", "h2")
-    # a content of several rows recurs as a whole; an identical row may have given its words once more
+    # a content of several rows recurs as a whole; identical rows may have given it several times
     single = F.col("copies") == 1
     bit = F.bit_or(F.expr("shiftleft(1L, step)")).alias("mask")
-    masks = windows.filter(single).join(stage(several, "several"), ["h1", "h2"]).groupBy(*CONTENT).agg(bit)
-    partly = contents.filter(single).join(masks, CONTENT).select(*CONTENT, "words", "mask")
-    once = contents.filter(~single).groupBy(*CONTENT).agg(F.first("words").alias("words"), F.first("n").alias("n"))
-    return partly.unionAll(once.select(*CONTENT, "words", F.expr("shiftleft(1L, n) - 1").alias("mask")))
+    masks = windows.filter(single).join(stage(several, "several"), ["h1", "h2"]).groupBy("uid").agg(bit)
+    partly = contents.filter(single).select(*CONTENT, "uid").join(masks, "uid").select(*CONTENT, "uid", "mask")
+    once = contents.filter(~single).groupBy(*CONTENT).agg(F.min("uid").alias("uid"), F.max("n").alias("n"))
+    marks = partly.unionAll(once.select(*CONTENT, "uid", F.expr("shiftleft(1L, n) - 1").alias("mask")))
+    return contents.select("uid", "words"), stage(marks, "marks")
 
 
 class _Automata:
@@ -233,7 +245,7 @@ def remove_repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     ship(docs.sparkSession)
     texts = regions.keyed(docs)
     found = regions.recurring(texts, _scan(window, gram))
-    passages = stage(recurring_passages(texts, found, window), "passages")
+    contents, marks = recurring_passages(texts, found, window)
 
     leads = found.groupBy(*regions.KEY).agg(F.min("anchor").alias("lead"), F.count(F.lit(1)).alias("k"))
     leads = stage(leads, "leads")
@@ -250,8 +262,9 @@ def remove_repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     held = found.select(*regions.KEY, *CONTENT).distinct()
     blocks = searched.select("lead", "part", *regions.KEY).distinct()
     wanted = stage(blocks.join(held, regions.KEY).select("lead", "part", *CONTENT).distinct(), "wanted")
+    wanted = stage(wanted.join(marks, CONTENT).select("lead", "part", "uid", "mask"), "wanted")
     none = F.lit(None).cast("long")
-    brought = wanted.join(passages, CONTENT).select(
+    brought = wanted.join(contents, "uid").select(
         "lead", "part", none.alias("doc_id"), F.col("words").alias("z"), none.alias("size"), "mask"
     )
     together = brought.unionAll(searched.select(*columns, without)).repartition("lead", "part")
