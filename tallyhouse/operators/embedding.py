@@ -13,11 +13,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyhouse.functions.batches import row_cuts
 from tallyhouse.functions.text import word_buckets
 from tallyhouse.session import arrow_uri, scratch_path, stage
 
 #: Buckets that words are hashed to; their weights are the only fitted numbers (8 bytes each).
 DIM = 1 << 18
+
+#: Words that a task counts at once (some 100 bytes of memory each); a longer text is counted alone.
+WORDS_AT_ONCE = 1 << 18
 BUCKETS = "_buckets"
 SPARSE = T.StructType(
     [T.StructField("bucket", T.ArrayType(T.IntegerType())), T.StructField("weight", T.ArrayType(T.DoubleType()))]
@@ -83,6 +87,8 @@ def embed_corpus(df: DataFrame, key: str, text: str, vector: str, dim: int = DIM
 
 def _count_words(dim: int, stored: str, unseen: float, key: str, vector: str):
     # A closure with local imports only, so that executors need no installed copy of this package.
+    cut = row_cuts(WORDS_AT_ONCE)
+
     def count(batches):
         import numpy as np
         import pyarrow as pa
@@ -94,19 +100,20 @@ def _count_words(dim: int, stored: str, unseen: float, key: str, vector: str):
         values = np.full(dim, unseen)
         if fitted.num_rows:
             values[fitted.column("bucket").to_numpy()] = fitted.column("weight").to_numpy()
-        for batch in batches:
-            n = batch.num_rows
-            lists = batch.column(1)
-            lengths = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype("int64")
-            flat = lists.flatten().to_numpy(zero_copy_only=False).astype("int64")
-            pairs, times = np.unique(np.repeat(np.arange(n), lengths) * dim + flat, return_counts=True)
-            row, bucket = pairs // dim, pairs % dim
-            weight = values[bucket] * times
-            row, bucket, weight = (x[weight != 0] for x in (row, bucket, weight))
-            norms = np.sqrt(np.bincount(row, weights=weight * weight, minlength=n))
-            offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))]).astype("int32"))
-            arrays = [pa.ListArray.from_arrays(offsets, x) for x in (bucket.astype("int32"), weight / norms[row])]
-            vectors = pa.StructArray.from_arrays(arrays, names=["bucket", "weight"], mask=lists.is_null())
-            yield pa.RecordBatch.from_arrays([batch.column(0), vectors], names=[key, vector])
+        for whole in batches:
+            sizes = np.nan_to_num(whole.column(1).value_lengths().to_numpy(zero_copy_only=False)).astype("int64")
+            for first, end in cut(sizes):
+                batch, n, lengths = whole.slice(first, end - first), end - first, sizes[first:end]
+                lists = batch.column(1)
+                flat = lists.flatten().to_numpy(zero_copy_only=False).astype("int64")
+                pairs, times = np.unique(np.repeat(np.arange(n), lengths) * dim + flat, return_counts=True)
+                row, bucket = pairs // dim, pairs % dim
+                weight = values[bucket] * times
+                row, bucket, weight = (x[weight != 0] for x in (row, bucket, weight))
+                norms = np.sqrt(np.bincount(row, weights=weight * weight, minlength=n))
+                offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))]).astype("int32"))
+                arrays = [pa.ListArray.from_arrays(offsets, x) for x in (bucket.astype("int32"), weight / norms[row])]
+                vectors = pa.StructArray.from_arrays(arrays, names=["bucket", "weight"], mask=lists.is_null())
+                yield pa.RecordBatch.from_arrays([batch.column(0), vectors], names=[key, vector])
 
     return count

@@ -159,3 +159,36 @@ def test_unequal_lengths_and_unsound_numbers_have_no_distance(spark):
     assert [r["id"] for r in nearest(df, query, 9, key="id", vector="v").collect()] == [1, 5]
     with pytest.raises(Exception, match="more than one"):
         nearest(df, query.union(query), 1, key="id", vector="v").collect()
+
+
+def test_words_are_counted_in_bounded_pieces(tmp_path):
+    """A batch of long texts takes the memory of a piece, not that of the batch, and gives the same vectors."""
+    import tracemalloc
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from tallyhouse.operators import embedding
+
+    dim, rng = 1 << 12, np.random.default_rng(3)
+    pq.write_table(pa.table({"bucket": pa.array(range(dim), pa.int32()), "weight": np.linspace(0.5, 2.0, dim)}), f"{tmp_path}/w.parquet")
+    lengths = [0, 300_000, 3, *[40_000] * 60, 0]
+    flat = rng.integers(0, dim, sum(lengths)).astype("int32")
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype("int32")), pa.array(flat))
+    keys = pa.array(range(len(lengths)), pa.int64())
+    mask = [k == len(lengths) - 1 for k in range(len(lengths))]
+    lists = pa.ListArray.from_arrays(lists.offsets, lists.values, mask=pa.array(mask))
+    count = embedding._count_words(dim, f"file://{tmp_path}", 3.0, "id", "v")
+    tracemalloc.start()
+    parts = list(count(iter([pa.RecordBatch.from_arrays([keys, lists], names=["id", "words"])])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 35_000_000  # some 100 bytes a word of the longest text
+    got = {r["id"]: r["v"] for part in parts for r in part.to_pylist()}
+    assert list(got) == list(range(len(lengths))) and got[0] == {"bucket": [], "weight": []} and got[63] is None
+    weights, ends = np.linspace(0.5, 2.0, dim), np.cumsum(lengths)
+    for k in (1, 2, 30):
+        expected = np.bincount(flat[ends[k] - lengths[k] : ends[k]], minlength=dim) * weights
+        dense = np.zeros(dim)
+        dense[got[k]["bucket"]] = got[k]["weight"]
+        assert np.allclose(dense, expected / np.linalg.norm(expected))
