@@ -2,7 +2,8 @@
 
 The queries are written once to the shared folder. Every corpus task holds some rows and streams the queries past them,
 a block at a time: one pass over the corpus for any number of queries, and nothing in the driver. A task returns k rows
-per query and slice, and those are ranked again.
+per query and slice, and those are ranked again. Slices are bounded in rows and in numbers, so that long vectors make more
+slices, not larger ones; queries of many different buckets meet a slice in smaller blocks.
 
 A vector that is missing, zero, or holds null or non-finite numbers has no distance, nor have dense vectors of unequal
 length; such rows are left out. Distances are compared at 12 digits, so that equal vectors tie however the rows were
@@ -15,11 +16,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyhouse.functions.batches import row_cuts
 from tallyhouse.session import arrow_uri, scratch_path
 
 #: Corpus rows that meet the queries at once, queries of a block, and numbers of one dense slice.
 ROWS, BLOCK, SLICE = 16_384, 256, 4_000_000
 
+#: Numbers of the corpus rows that meet the queries at once (some 80 bytes of memory each); a longer vector stands alone.
+NUMBERS = 1 << 20
+
 
 def nearest(corpus: DataFrame, query: DataFrame, k: int, *, key: str, vector: str) -> DataFrame:
     """The ``k`` corpus rows nearest to the one vector that ``query`` returns, ties broken by key."""
@@ -83,8 +88,8 @@ def smallest_in_rows(k: int):
 
 def _search(stored: str, k: int, sparse: bool, block: int, names: list[str]):
     # A closure with local imports only, so that executors need no installed copy of this package.
-    rows_at_once, slice_numbers = ROWS, SLICE
-    smallest = smallest_in_rows(k)
+    rows_at_once, numbers_at_once, slice_numbers = ROWS, NUMBERS, SLICE
+    smallest, cut = smallest_in_rows(k), row_cuts(NUMBERS)
 
     def search(batches):
         import numpy as np
@@ -142,6 +147,11 @@ def _search(stored: str, k: int, sparse: bool, block: int, names: list[str]):
             if not len(query_rows) or not len(rows):
                 return
             vocabulary = np.unique(q_bucket)
+            if asked.num_rows > 1 and asked.num_rows * len(vocabulary) > slice_numbers:
+                half = asked.num_rows // 2
+                yield from sparse_match(table, asked.slice(0, half), ids)
+                yield from sparse_match(table, asked.slice(half), ids)
+                return
             targets = np.zeros((asked.num_rows, len(vocabulary)))
             np.add.at(targets, (q_row, np.searchsorted(vocabulary, q_bucket)), q_weight)
             targets = targets[query_rows]
@@ -158,15 +168,19 @@ def _search(stored: str, k: int, sparse: bool, block: int, names: list[str]):
             yield result(asked, query_rows, ids, rows, 1.0 - similarity[:, rows])
 
         def slices():
-            held, n = [], 0
+            held, n, numbers = [], 0, 0
             for batch in batches:
-                for first in range(0, batch.num_rows, rows_at_once):
-                    part = batch.slice(first, rows_at_once)
-                    held.append(part)
-                    n += part.num_rows
-                    if n >= rows_at_once:
-                        yield pa.Table.from_batches(held).combine_chunks()
-                        held, n = [], 0
+                lists = batch.column(1).flatten()[0] if sparse else batch.column(1)
+                lengths = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype("int64")
+                for start, end in cut(lengths):
+                    for first in range(start, end, rows_at_once):
+                        part = batch.slice(first, min(rows_at_once, end - first))
+                        size = int(lengths[first : first + part.num_rows].sum())
+                        if n and (n + part.num_rows > rows_at_once or numbers + size > numbers_at_once):
+                            yield pa.Table.from_batches(held).combine_chunks()
+                            held, n, numbers = [], 0, 0
+                        held.append(part)
+                        n, numbers = n + part.num_rows, numbers + size
             if n:
                 yield pa.Table.from_batches(held).combine_chunks()
 
