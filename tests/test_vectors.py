@@ -192,3 +192,44 @@ def test_words_are_counted_in_bounded_pieces(tmp_path):
         dense = np.zeros(dim)
         dense[got[k]["bucket"]] = got[k]["weight"]
         assert np.allclose(dense, expected / np.linalg.norm(expected))
+
+
+def test_long_sparse_vectors_meet_queries_in_bounded_slices(tmp_path):
+    """Long vectors, and queries of many buckets, take the memory of a slice, and the nearest are those of a direct product."""
+    import tracemalloc
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from tallyhouse.operators import vector_search
+
+    dim, rng = 1 << 15, np.random.default_rng(4)
+
+    def sparse(n, each):
+        buckets = np.sort(np.argsort(rng.random((n, dim)), axis=1)[:, :each], axis=1).astype("int32")
+        offsets = pa.array(np.arange(n + 1, dtype="int32") * each)
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x.ravel())) for x in (buckets, rng.random((n, each)))]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(range(n), pa.int64()), pa.StructArray.from_arrays(lists, names=["bucket", "weight"])], names=["id", "v"]
+        )
+
+    corpus, asked = sparse(250, 16_000), sparse(160, 300)
+    pq.write_table(pa.Table.from_batches([asked]), f"{tmp_path}/q.parquet")
+    search = vector_search._search(f"file://{tmp_path}", 2, True, 256, ["q", "id", "distance"])
+    tracemalloc.start()
+    parts = list(search(iter([corpus])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150_000_000  # all 4 million entries at once take over 250 MB
+
+    def dense(batch):
+        out = np.zeros((batch.num_rows, dim))
+        for k, v in enumerate(batch.column(1).to_pylist()):
+            out[k, v["bucket"]] = v["weight"]
+        return out / np.linalg.norm(out, axis=1, keepdims=True)
+
+    distances = 1 - dense(asked) @ dense(corpus).T
+    found = sorted((r["q"], round(r["distance"], 9), r["id"]) for part in parts for r in part.to_pylist())
+    for q in (0, 1, 80, 159):
+        best = np.argsort(distances[q])[:2]
+        assert [r[2] for r in found if r[0] == q][:2] == best.tolist()
