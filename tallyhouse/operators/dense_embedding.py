@@ -1,8 +1,9 @@
 """Dense text vectors of a fixed width: the sparse embedding projected on its strongest directions.
 
 A randomised range finder works through the sparse vectors a few times. Each pass turns every text into a short row (its
-words' rows added up, weighted) and adds the rows up again by word bucket, which is one aggregation over at most ``dim``
-buckets; sums of products of the short rows, a small square matrix, keep the directions apart. Texts are neither
+words' rows added up, weighted) and adds the rows up again by word bucket, in each task first: a pass has a task for each
+core, which sends at most one row a bucket, so that what is shuffled is bounded by ``dim`` rows a core for any number of
+texts. Sums of products of the short rows, a small square matrix, keep the directions apart. Texts are neither
 collected nor compared. The directions, one row a bucket, stay in the shared folder, and tasks load them.
 
 Defined cases: a null text has a null vector; a text without weighty words has zeros; a table with fewer independent texts
@@ -24,6 +25,9 @@ from tallyhouse.session import arrow_uri, scratch_path, stage
 EXTRA = 16
 PASSES = 2
 
+#: Bucket rows that a task sends at once.
+ROWS = 4096
+
 
 @dataclass(frozen=True)
 class DenseEmbedder:
@@ -51,8 +55,7 @@ def fit_dense(df: DataFrame, key: str, text: str, width: int, dim: int = DIM) ->
     wide = width + EXTRA
     stored = None
     for _ in range(PASSES + 1):
-        short = _short_rows(sparse, dim, stored and arrow_uri(stored), wide)
-        stored = _orthonormal(_by_bucket(short.filter("x IS NOT NULL"), wide), wide)
+        stored = _orthonormal(_by_bucket(sparse, dim, stored and arrow_uri(stored), wide), wide)
     total = sparse.select(F.explode("_sparse.weight").alias("w")).agg(F.sum(F.col("w") * F.col("w"))).first()[0] or 0.0
     # of the space that was found, the directions along which texts spread most
     values, turn = np.linalg.eigh(_gram(_short_rows(sparse, dim, arrow_uri(stored), wide).select("x"), wide))
@@ -66,20 +69,22 @@ def fit_dense(df: DataFrame, key: str, text: str, width: int, dim: int = DIM) ->
     return dense, dense.project(sparse, key, "_sparse", "vector")
 
 
-def _short_rows(sparse: DataFrame, dim: int, stored: str | None, width: int) -> DataFrame:
-    """(k, v, x): x adds up the bucket's rows by weight; without stored ones, random signs that the bucket's number gives."""
-    key = sparse.columns[0]
-    kind = sparse.schema[key].dataType.simpleString()
+def _row_sums(dim: int, stored: str | None, width: int):
+    """A function that loads the buckets' rows and returns one from batches to their texts' (buckets, weights, sum of rows).
+
+    Without stored rows, they are random signs that the bucket's number gives. A null text has None for all three.
+    """
 
-    def add_up(batches):
+    def load():
         import numpy as np
-        import pyarrow as pa
         import pyarrow.dataset as pads
         import pyarrow.fs as pafs
 
         if stored is None:
             # the same signs in every task, whatever it holds
-            table = np.random.default_rng(514).integers(0, 2, (dim, width), dtype=np.int8).astype(np.float32) * 2 - 1
+            table = np.random.default_rng(514).integers(0, 2, (dim, width), dtype=np.int8).astype(np.float32)
+            table *= 2
+            table -= 1
         else:
             table = np.zeros((dim, width), np.float32)
             system, place = pafs.FileSystem.from_uri(stored)
@@ -87,61 +92,75 @@ def _short_rows(sparse: DataFrame, dim: int, stored: str | None, width: int) ->
                 if part.num_rows:
                     rows = part.column(1).flatten().to_numpy(zero_copy_only=False)
                     table[part.column(0).to_numpy()] = rows.reshape(-1, width)
-        for batch in batches:
-            vectors = batch.column(1)
+
+        def add_up(vectors):
             buckets, weights = vectors.field(0), vectors.field(1)
             known = np.array(vectors.is_valid())
             lengths = np.where(known, np.nan_to_num(buckets.value_lengths().to_numpy(zero_copy_only=False)), 0).astype(np.int64)
-            x = np.zeros((batch.num_rows, width))
             ends = np.cumsum(lengths)
             places, values = (c.flatten().to_numpy(zero_copy_only=False) for c in (buckets, weights))
-            for k in np.flatnonzero(lengths):
+            for k in range(len(lengths)):
                 at = slice(ends[k] - lengths[k], ends[k])
-                x[k] = values[at] @ table[places[at]]
+                yield (places[at], values[at], values[at] @ table[places[at]]) if known[k] else (None, None, None)
+
+        return add_up
+
+    return load
+
+
+def _short_rows(sparse: DataFrame, dim: int, stored: str, width: int) -> DataFrame:
+    """(k, x): x adds up the rows of the text's buckets by weight."""
+    kind = sparse.schema[sparse.columns[0]].dataType.simpleString()
+    load = _row_sums(dim, stored, width)
+
+    def shorten(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        add_up = load()
+        for batch in batches:
+            x, known = np.zeros((batch.num_rows, width)), np.zeros(batch.num_rows, bool)
+            for k, (_, _, row) in enumerate(add_up(batch.column(1))):
+                if row is not None:
+                    x[k], known[k] = row, True
             offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * width)
             rows = pa.ListArray.from_arrays(offsets, pa.array(x.ravel()), mask=pa.array(~known))
-            yield pa.RecordBatch.from_arrays([batch.column(0), vectors, rows], ["k", "v", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), rows], ["k", "x"])
 
-    schema = f"k {kind}, v struct<bucket:array<int>,weight:array<double>>, x array<double>"
-    return sparse.mapInArrow(add_up, schema)
+    return sparse.mapInArrow(shorten, f"k {kind}, x array<double>")
 
 
-def _by_bucket(short: DataFrame, width: int) -> DataFrame:
-    """(bucket, x): the texts' rows added up by weight at each of their buckets, in each task first."""
+def _partial_sums(sparse: DataFrame, dim: int, stored: str | None, width: int) -> DataFrame:
+    """(bucket, x): the texts' short rows added up by weight at each of their buckets; a row for each core and bucket."""
+    load, rows_at_once = _row_sums(dim, stored, width), ROWS
 
     def partial(batches):
         import numpy as np
         import pyarrow as pa
 
-        sums, number = {}, 0
-
-        def table():
-            held = pa.array(np.fromiter(sums, np.int32, len(sums)))
-            flat = pa.array(np.concatenate(list(sums.values())) if sums else np.zeros(0))
-            offsets = pa.array(np.arange(len(sums) + 1, dtype=np.int32) * width)
-            return pa.RecordBatch.from_arrays([held, pa.ListArray.from_arrays(offsets, flat)], ["bucket", "x"])
-
+        add_up, sums, met = load(), np.zeros((dim, width)), np.zeros(dim, bool)
         for batch in batches:
-            vectors, rows = batch.column(0), batch.column(1)
-            x = rows.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-            lengths = vectors.field(0).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            places, values = (vectors.field(k).flatten().to_numpy(zero_copy_only=False) for k in (0, 1))
-            row = np.repeat(np.arange(len(lengths)), lengths)
-            order = np.argsort(places, kind="stable")
-            for some in np.split(order, np.flatnonzero(np.diff(places[order])) + 1) if len(order) else ():
-                bucket = int(places[some[0]])
-                added = values[some] @ x[row[some]]
-                sums[bucket] = sums[bucket] + added if bucket in sums else added
-            if len(sums) > 1 << 16:
-                yield table()
-                sums = {}
-        yield table()
-
-    found = short.select("v", "x").mapInArrow(partial, "bucket int, x array<double>")
-    at = F.posexplode("x").alias("place", "value")
-    summed = found.select("bucket", at).groupBy("bucket", "place").agg(F.sum("value").alias("value"))
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda e: e["value"])
-    return stage(summed.groupBy("bucket").agg(listed.alias("x")), "sums")
+            for places, values, row in add_up(batch.column(0)):
+                if row is not None and len(places):
+                    sums[places] += values[:, None] * row  # a text has a bucket once
+                    met[places] = True
+        held = np.flatnonzero(met).astype(np.int32)
+        for first in range(0, len(held), rows_at_once):
+            some = held[first : first + rows_at_once]
+            offsets = pa.array(np.arange(len(some) + 1, dtype=np.int32) * width)
+            rows = pa.ListArray.from_arrays(offsets, pa.array(sums[some].ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(some), rows], ["bucket", "x"])
+
+    # a task for each core, however many files there are: each sends a row for every bucket that it met
+    vectors = sparse.select("_sparse").coalesce(sparse.sparkSession.sparkContext.defaultParallelism)
+    return vectors.mapInArrow(partial, "bucket int, x array<double>")
+
+
+def _by_bucket(sparse: DataFrame, dim: int, stored: str | None, width: int) -> DataFrame:
+    """(bucket, x): the texts' short rows added up by weight at each of their buckets."""
+    found = _partial_sums(sparse, dim, stored, width).repartition("bucket")
+    summed = found.groupBy("bucket").agg(*[F.sum(F.get("x", F.lit(k))).alias(f"x{k}") for k in range(width)])
+    return stage(summed.select("bucket", F.array(*[f"x{k}" for k in range(width)]).alias("x")), "sums")
 
 
 def _gram(rows: DataFrame, width: int) -> np.ndarray:

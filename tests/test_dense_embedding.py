@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tallyhouse.operators import dense_embedding
 from tallyhouse.operators.dense_embedding import fit_dense
 
 
@@ -50,3 +51,22 @@ def test_few_or_no_texts(spark):
     assert none.captured == 0.0 and vectors.count() == 0
     nulls, vectors = fit_dense(df.withColumn("text", F.lit(None).cast("string")), "id", "text", 4, dim=64)
     assert [r["vector"] for r in vectors.collect()] == [None] * 3
+
+
+def test_sums_by_bucket_are_sent_once_a_core(spark):
+    """However many files the texts lie in, a pass sends at most a row a bucket from each core, and the sums are right."""
+    rng, dim, width = np.random.default_rng(9), 64, 4
+    texts = [(k, sorted(rng.choice(dim, 5, replace=False).tolist()), rng.random(5).tolist()) for k in range(400)]
+    schema = "id long, _sparse struct<bucket:array<int>,weight:array<double>>"
+    df = spark.createDataFrame([(k, (b, w)) for k, b, w in texts] + [(400, None), (401, ([], []))], schema).repartition(32)
+    sums = dense_embedding._by_bucket(df, dim, None, width)
+    signs = np.random.default_rng(514).integers(0, 2, (dim, width), dtype=np.int8) * 2.0 - 1
+    matrix = np.zeros((400, dim))
+    for k, b, w in texts:
+        matrix[k, b] = w
+    got = np.zeros((dim, width))
+    for r in sums.collect():
+        got[r["bucket"]] = r["x"]
+    assert np.allclose(got, matrix.T @ (matrix @ signs)) and sums.count() == dim
+    sent = dense_embedding._partial_sums(df, dim, None, width)
+    assert sent.count() <= spark.sparkContext.defaultParallelism * dim
