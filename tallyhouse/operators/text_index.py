@@ -1,8 +1,8 @@
 """Posting lists of embedded texts, for exact nearest-text queries that skip what cannot matter.
 
 An index has the fitted weights, the vectors by key, and for each word bucket the list of (key, weight) of the texts that
-hold it, with its length and its largest weight. Lists are sorted by bucket and long ones span several files, so that a
-query reads its own lists only. For each query, lists are ordered by the most that they can add to a score, the query's
+hold it, with its length and its largest weight. A list lies in blocks, one for each batch of texts, so that building sorts
+blocks, not entries. Blocks are sorted by bucket and long lists span several files, so that a query reads its own lists only. For each query, lists are ordered by the most that they can add to a score, the query's
 weight times the largest of the list:
 
 1. The first lists, up to half of what all can add, are added up. The k-th best sum is a score that must be beaten.
@@ -21,7 +21,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tallyhouse.functions.batches import row_cuts
 from tallyhouse.operators.embedding import DIM, Embedder, bucket_words, fit_embedder
 from tallyhouse.session import broadcast_within, stage
 from tallyhouse.sources.files import write_clustered
@@ -29,10 +31,41 @@ from tallyhouse.sources.files import write_clustered
 #: Share of what all lists can add that the first round reads, and what rounding may take from a sum.
 FIRST_SHARE, SLACK = 0.5, 1e-9
 
+#: Entries of the texts that building puts into blocks at once (some 60 bytes of memory each).
+ENTRIES = 1 << 20
+
 #: Buckets that are named in a scan's filter.
 MOST_LITERALS = 2000
 
 
+def _block_schema(vectors: DataFrame, key: str) -> T.StructType:
+    kinds = {"bucket": T.IntegerType(), "key": T.ArrayType(vectors.schema[key].dataType), "weight": T.ArrayType(T.DoubleType())}
+    return T.StructType([T.StructField(name, kind) for name, kind in kinds.items()])
+
+
+def _by_bucket():
+    # A closure with local imports only, so that executors need no installed copy of this package.
+    cut = row_cuts(ENTRIES)
+
+    def turn(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            sizes = batch.column(1).flatten()[0].value_lengths().to_numpy(zero_copy_only=False).astype("int64")
+            for first, end in cut(sizes):
+                part = batch.slice(first, end - first)
+                buckets, weights = (c.flatten().to_numpy(zero_copy_only=False) for c in part.column(1).flatten())
+                order = np.argsort(buckets, kind="stable")
+                held, starts = np.unique(buckets[order], return_index=True)
+                offsets = pa.array(np.concatenate([starts, [len(order)]]).astype("int32"))
+                keys = part.column(0).take(pa.array(np.repeat(np.arange(end - first), sizes[first:end])[order]))
+                lists = [pa.ListArray.from_arrays(offsets, x) for x in (keys, pa.array(weights[order]))]
+                yield pa.RecordBatch.from_arrays([pa.array(held), *lists], names=["bucket", "key", "weight"])
+
+    return turn
+
+
 @dataclass(frozen=True)
 class TextSearch:
     """``found`` has (query_key, key, distance); ``touched`` the texts that each query gave a sum."""
@@ -68,11 +101,11 @@ class TextIndex:
         fitted.table.write.parquet(f"{path}/weights")
         vectors = fitted.weigh(bucketed, key, "_vector").filter(F.size("_vector.bucket") > 0)
         vectors.write.parquet(f"{path}/vectors")
-        entries = F.inline(F.arrays_zip("_vector.bucket", "_vector.weight"))
-        listed = spark.read.parquet(f"{path}/vectors").select(key, entries)
-        write_clustered(listed.select("bucket", key, "weight"), f"{path}/postings", "bucket", key)
-        postings = spark.read.parquet(f"{path}/postings")
-        lists = postings.groupBy("bucket").agg(F.count(F.lit(1)).alias("length"), F.max("weight").alias("most"))
+        stored = spark.read.parquet(f"{path}/vectors").select(key, "_vector")
+        blocks = stored.mapInArrow(_by_bucket(), _block_schema(stored, key))
+        write_clustered(blocks, f"{path}/postings", "bucket", "key")
+        postings = spark.read.parquet(f"{path}/postings").select("bucket", F.size("key").alias("n"), F.array_max("weight").alias("most"))
+        lists = postings.groupBy("bucket").agg(F.sum("n").alias("length"), F.max("most").alias("most"))
         lists.write.parquet(f"{path}/lists")
         facts = json.dumps({"key": key, "dim": dim, "unseen": fitted.unseen})
         spark.createDataFrame([(facts,)], "value string").coalesce(1).write.text(f"{path}/facts")
@@ -125,6 +158,7 @@ class TextIndex:
         few = [r["bucket"] for r in named.limit(MOST_LITERALS + 1).collect()]
         lists = self.postings if len(few) > MOST_LITERALS else self.postings.filter(F.col("bucket").isin(few))
         met = lists.join(broadcast_within(asked), "bucket")
+        met = met.select("_query", "_weight", F.inline(F.arrays_zip(F.col("key").alias(self.key), "weight")))
         parts = met.select("_query", self.key, (F.col("_weight") * F.col("weight")).alias("score"))
         return stage(self._summed(parts), "added")
 

@@ -122,3 +122,19 @@ def test_a_text_index_of_nothing(spark):
     queries = spark.createDataFrame([("a", "some words")], "q string, words string")
     search = index.search(queries, 3, query_key="q", text="words")
     assert search.found.count() == 0 and search.share_scored(index) == 0
+
+
+def test_posting_lists_lie_in_blocks(spark):
+    """Building sorts a block for each bucket and batch of texts, not a row for each word of each text."""
+    texts = _texts(np.random.default_rng(8), 400) + [None, ""]
+    corpus = spark.createDataFrame([(f"k{k}", t) for k, t in enumerate(texts)], "id string, t string").repartition(2)
+    index = TextIndex.build(corpus, session.scratch_path(spark, "texts"), key="id", text="t")
+    entries = {
+        (b, r["id"]): w for r in index.vectors.collect() for b, w in zip(r["_vector"]["bucket"], r["_vector"]["weight"])
+    }
+    blocks = index.postings.collect()
+    assert {(r["bucket"], k): w for r in blocks for k, w in zip(r["key"], r["weight"])} == entries
+    assert sum(len(r["key"]) for r in blocks) == len(entries) and len(blocks) < len(entries) / 3
+    lists = {r["bucket"]: (r["length"], r["most"]) for r in index.lists.collect()}
+    assert {b: n for b, (n, _) in lists.items()} == {b: sum(c == b for c, _ in entries) for b in lists}
+    assert all(most == max(w for (c, _), w in entries.items() if c == b) for b, (_, most) in list(lists.items())[:20])
