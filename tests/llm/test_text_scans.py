@@ -92,6 +92,12 @@ def test_secrets_anywhere_in_a_word(spark):
     assert [clean[k] for k in range(len(clean))] == expected + plain
 
 
+def test_labelled_findings_make_little_generated_code(spark, capsys):
+    """Executors compile what is generated; some 24,000 lines filled their heaps and were too large to compile."""
+    secret_scan.labelled_findings(spark, 100).explain("codegen")
+    assert 0 < capsys.readouterr().out.count("\n") < 3000
+
+
 def test_the_forest_on_unseen_findings(spark):
     made = secret_scan.labelled_findings(spark, 9000).filter(F.col("word").isNotNull())
     model = secret_scan.train(secret_scan.labelled_findings(spark))
