@@ -23,8 +23,6 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -223,8 +221,24 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(self.constant + shape + words, -30, 30)))
 
 
+def _sparse(looked: Looked, n_words: int) -> pa.StructArray:
+    """The logarithmic word counts and the patterns of each text, in the form that Spark stores sparse vectors in."""
+    n = len(looked.patterns)
+    row, pattern = np.nonzero(looked.patterns > np.array(list(PATTERNS.values())))
+    rows, places = np.concatenate([looked.row, row]), np.concatenate([looked.place, n_words + pattern])
+    order = np.lexsort((places, rows))
+    values = np.concatenate([looked.strength, np.ones(len(row))])[order]
+    offsets = pa.array(np.searchsorted(rows[order], np.arange(n + 1)).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (places[order].astype(np.int32), values)]
+    kind, size = np.zeros(n, np.int8), np.full(n, n_words + len(PATTERNS), np.int32)
+    return pa.StructArray.from_arrays([pa.array(kind), pa.array(size), *lists], ["type", "size", "indices", "values"])
+
+
 def _features(rows: DataFrame, voters: Voters, hashes: np.ndarray) -> DataFrame:
-    """label, votes as a bit pattern, the logarithmic word counts and the patterns of each text."""
+    """label, votes as a bit pattern, and features of each text.
+
+    A text holds few of the words that are looked for; as arrays of all of them the rows filled the executors' heaps.
+    """
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,17 +246,15 @@ def _features(rows: DataFrame, voters: Voters, hashes: np.ndarray) -> DataFrame:
             for a, b in row_blocks(offsets):
                 part, where = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 votes = voters.votes(_look(part, where, voters.hashes))
-                looked = _look(part, where, hashes)
-                x = np.zeros((b - a, len(hashes) + len(PATTERNS)))
-                x[looked.row, looked.place] = looked.strength
-                x[:, len(hashes) :] = looked.patterns > np.array(list(PATTERNS.values()))
                 bits = votes @ (1 << np.arange(votes.shape[1]))
+                features = _sparse(_look(part, where, hashes), len(hashes))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(1).slice(a, b - a).cast(pa.int32()), pa.array(bits.astype(np.int64)), pa.array(list(x))],
-                    ["label", "votes", "x"],
+                    [batch.column(1).slice(a, b - a).cast(pa.int32()), pa.array(bits.astype(np.int64)), features],
+                    ["label", "votes", "features"],
                 )
 
-    return rows.select("text", "label").mapInArrow(look, "label int, votes long, x array<double>")
+    vector = "struct<type: tinyint, size: int, indices: array<int>, values: array<double>>"
+    return rows.select("text", "label").mapInArrow(look, f"label int, votes long, features {vector}")
 
 
 def _bits(patterns: np.ndarray, n: int) -> np.ndarray:
@@ -251,6 +263,10 @@ def _bits(patterns: np.ndarray, n: int) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Classifier:
     """The classifier; only bounded tables come to the driver (word features, counts of vote patterns)."""
+    # imported here, as workers import this module too and would hold pandas with it
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.linalg import VectorUDT
+
     spark = ship(docs.sparkSession)
     path = scratch_path(spark, "toxicity")
     training_rows(docs, labels, rows).select("text", "label").write.parquet(f"{path}/rows")
@@ -277,7 +293,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Classi
     hashes = np.unique(np.concatenate([np.array([as_hash(r["word"]) for r in strong], np.uint64), voters.hashes]))
 
     _features(training, voters, hashes).write.parquet(f"{path}/features")
-    table = spark.read.schema("label int, votes long, x array<double>").parquet(f"{path}/features")
+    stored = T.StructType().add("label", T.IntegerType()).add("votes", T.LongType()).add("features", VectorUDT())
+    table = spark.read.schema(stored).parquet(f"{path}/features")
     counted = table.groupBy("votes", "label").agg(F.count(F.lit(1)).alias("n")).collect()
     patterns = np.array([r["votes"] for r in counted], np.int64)
     given = np.array([r["label"] for r in counted], np.int64)
@@ -286,7 +303,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Classi
     posterior = {(int(v), int(g)): float(p) for v, g, p in zip(patterns, given, model.posterior(votes, given))}
 
     known = spark.createDataFrame([(v, g, p) for (v, g), p in posterior.items()], "votes long, label int, p double")
-    joined = table.join(F.broadcast(known), ["votes", "label"]).withColumn("features", array_to_vector("x"))
+    joined = table.join(F.broadcast(known), ["votes", "label"])
     sides = [joined.select("features", F.lit(float(y)).alias("y"), w.alias("w")) for y, w in ((1, F.col("p")), (0, 1 - F.col("p")))]
     regression = LogisticRegression(
         featuresCol="features", labelCol="y", weightCol="w", regParam=REGULARISATION, maxIter=60, standardization=False

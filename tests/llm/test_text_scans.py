@@ -1,5 +1,6 @@
 """Toxicity, secrets and licenses."""
 
+import os
 import re
 from collections import Counter
 
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 
 from tallyhouse.llm import licenses, secret_scan, toxicity
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
 
 @pytest.fixture(scope="module")
 def judged(spark):
@@ -47,6 +50,31 @@ def test_label_model_weighs_copies_of_a_voter_less():
     assert ((model.posterior(votes) > 0.5) == truth).mean() > 0.8
 
 
+def test_training_features_take_little_room(spark):
+    """A text of few known words is a short sparse vector, not a number for each word that is looked for."""
+    words = [f"word{k}" for k in range(400)]
+    hashes = np.unique(toxicity._hash_words(words))
+    voters = toxicity.Voters.make([])
+    rows = [("word3 word3 WORD7 other", 1), ("", 0), (None, 0), ("AAAA!!!!", 1)]
+    made = toxicity._features(spark.createDataFrame(rows, "text string, label int").coalesce(1), voters, hashes).collect()
+    size = len(words) + len(toxicity.PATTERNS)
+    assert [(r["label"], r["features"]["type"], r["features"]["size"]) for r in made] == [(y, 0, size) for _, y in rows]
+    place = {w: int(np.searchsorted(hashes, toxicity._hash_words([w])[0])) for w in ("word3", "word7")}
+    first = dict(zip(made[0]["features"]["indices"], made[0]["features"]["values"]))
+    assert {k: v for k, v in first.items() if k < len(words)} == {place["word3"]: 1 + np.log(2), place["word7"]: 1.0}
+    assert made[0]["features"]["indices"] == sorted(first) and made[1]["features"]["indices"] == made[2]["features"]["indices"] == []
+    assert made[3]["features"]["indices"] == [len(words), len(words) + 1]
+
+
+def test_workers_do_not_load_the_training_library():
+    """Workers import the module to score; pandas, which the library brings, took some 30 MB of each."""
+    import subprocess
+    import sys
+
+    code = "import sys, tallyhouse.llm.toxicity; print('pandas' in sys.modules, 'pyspark.ml' in sys.modules)"
+    assert subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=ROOT).stdout.split() == ["False", "False"]
+
+
 def test_toxicity_odd_rows(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(4, 1, 1), (9, 1, None), (None, 1, 1), (3, 0, 0), (3, 0, 0)], "doc_id long, quality int, toxic int")
     rows = toxicity.judge(odd_docs, labels).collect()
