@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once (some 80 bytes of memory each); a longer text is worked on alone.
-BLOCK_BYTES = 512 << 10
+BLOCK_BYTES = 256 << 10
 
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
