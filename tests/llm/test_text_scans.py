@@ -121,7 +121,7 @@ def test_secrets_anywhere_in_a_word(spark):
 
 
 def test_labelled_findings_make_little_generated_code(spark, capsys):
-    """Executors compile what is generated; some 24,000 lines filled their heaps and were too large to compile."""
+    """Some 24,000 generated lines were too many to compile."""
     secret_scan.labelled_findings(spark, 100).explain("codegen")
     assert 0 < capsys.readouterr().out.count("\n") < 3000
 
